@@ -121,6 +121,10 @@ def _pooled(rows: DataFrame, by: list[str], n_chars: int, n_bins: int) -> DataFr
     )
 
 
+def _fixed(values: list[float | None]) -> Column:
+    return F.array(*[F.lit(v).cast("double") for v in values])
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -135,11 +139,11 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", t
     n_chars, n_bins = 7, len(common_words()) + 1
     good = counts.where(~F.col("base_failed"))
     by_lang = _pooled(good, ["_lang"], n_chars, n_bins).where(F.col("_docs") >= limits.min_docs).drop("_docs")
-    overall = _pooled(good, [], n_chars, n_bins).select(F.col("_ref_chars").alias("_all_chars"), F.col("_ref_bins").alias("_all_bins"))
-    refs = counts.select("_lang").distinct().join(by_lang, "_lang", "left").crossJoin(overall).select(
-        "_lang", F.coalesce("_ref_chars", "_all_chars").alias("_ref_chars"), F.coalesce("_ref_bins", "_all_bins").alias("_ref_bins")
-    )
-    joined = counts.join(refs, "_lang", "left")
+    overall = _pooled(good, [], n_chars, n_bins).first()  # one row of fixed width, whatever the input
+    joined = counts.join(by_lang, "_lang", "left").withColumns({
+        "_ref_chars": F.coalesce("_ref_chars", _fixed(overall["_ref_chars"])),
+        "_ref_bins": F.coalesce("_ref_bins", _fixed(overall["_ref_bins"])),
+    })
     long_enough = F.col("word_chars") >= limits.min_chars, F.col("n_words") >= limits.min_words
     char_d = F.when(long_enough[0], js_distance(_share(F.col("_chars")), F.col("_ref_chars")))
     word_d = F.when(long_enough[1], js_distance(_share(F.col("_bins")), F.col("_ref_bins")))

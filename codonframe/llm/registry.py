@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from .bpe import encode_documents
+from .packing import pack
 from .quality_rules import quality_rules
 from .shared import table
 
 
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
+def op9_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op8_bpe, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql():

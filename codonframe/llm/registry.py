@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .bpe import encode_documents
+from .language_id import identify
 from .packing import pack
+from .quality_model import score_quality
 from .quality_rules import quality_rules
-from .shared import table
+from .shared import in_fold, table
+from .toxicity import score_toxicity
+
+THRESHOLD = 0.7
 
 
 def word_bpe_path() -> str:
@@ -14,6 +21,28 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _predicted():
+    return F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
+
+
+def op4_quality_model(spark, sf_dir):
+    held_out = in_fold("doc_id", 4, 2)
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", _predicted())
+
+
+def op6_toxicity(spark, sf_dir):
+    held_out = in_fold("doc_id", 3, 1)
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", _predicted())
+
+
+def op7_language_id(spark, sf_dir):
+    held_out = in_fold("doc_id", 4, 2)
+    found = identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -27,7 +56,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op8_bpe, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op4_quality_model, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql():

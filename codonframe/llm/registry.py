@@ -11,6 +11,7 @@ from .quality_model import score_quality
 from .quality_rules import quality_rules
 from .shared import in_fold, table
 from .toxicity import score_toxicity
+from .warc import read_records, write_archives
 
 THRESHOLD = 0.7
 
@@ -25,6 +26,10 @@ def _predicted():
     return F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
 
 
+def op1_warc(spark, sf_dir):
+    return read_records(write_archives(table(spark, sf_dir, "pages")))
+
+
 def op4_quality_model(spark, sf_dir):
     held_out = in_fold("doc_id", 4, 2)
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
@@ -56,8 +61,19 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_quality_model, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op4_quality_model, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
+
+
+ORACLE = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT p.page_id, p.url, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+               CASE WHEN first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id <> p.page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)""",
+}
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)

@@ -10,6 +10,7 @@ from .packing import pack
 from .quality_model import score_quality
 from .quality_rules import quality_rules
 from .shared import in_fold, table
+from .suffix_dedup import dedup
 from .toxicity import score_toxicity
 from .warc import read_records, write_archives
 
@@ -36,6 +37,10 @@ def op4_quality_model(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", _predicted())
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     held_out = in_fold("doc_id", 3, 1)
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
@@ -61,7 +66,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op4_quality_model, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op4_quality_model, op5_suffix_dedup, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
 
 
 ORACLE = {

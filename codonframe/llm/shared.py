@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 
@@ -27,7 +26,7 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage ends here."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .language_id import identify
+from .minhash import near_duplicates
 from .packing import pack
 from .quality_model import score_quality
 from .quality_rules import quality_rules
@@ -31,6 +32,10 @@ def op1_warc(spark, sf_dir):
     return read_records(write_archives(table(spark, sf_dir, "pages")))
 
 
+def op2_minhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_model(spark, sf_dir):
     held_out = in_fold("doc_id", 4, 2)
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
@@ -66,7 +71,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op4_quality_model, op5_suffix_dedup, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash, op4_quality_model, op5_suffix_dedup, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
 
 
 ORACLE = {

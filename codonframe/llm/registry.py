@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .embedding_dedup import near_duplicates as near_vectors
 from .language_id import identify
 from .minhash import near_duplicates
 from .packing import pack
@@ -36,6 +37,10 @@ def op2_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_model(spark, sf_dir):
     held_out = in_fold("doc_id", 4, 2)
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
@@ -71,7 +76,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op2_minhash, op4_quality_model, op5_suffix_dedup, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_embedding_dedup, op4_quality_model, op5_suffix_dedup, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
 
 
 ORACLE = {

@@ -290,24 +290,45 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
     return b"".join(out), removed, runs
 
 
-def dedup(docs: DataFrame, id_col="doc_id", text_col="text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; ``with_text`` adds what is left.
+def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` and, as ``__spans``, the runs of starts to remove; null where there are none."""
+    spans = repeats(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
+    return docs.join(spans.withColumnRenamed("doc", "__doc"), docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
 
-    A character of which only some bytes are left is dropped from that text.
-    """
+
+def _cut(text: str | None, spans) -> tuple[bytes, bytes, int, int]:
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return data, *kept_bytes(data, [(s["first"], s["last"]) for s in spans or ()])
+
+
+def dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     key = docs.select(id_col).schema[0].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-    spans = repeats(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "_text", "_spans")
+    rows = _with_spans(docs.select(id_col, text_col), id_col, text_col)
+
+    def measure(batches):
+        for batch in batches:
+            cut = [_cut(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            counts = [pa.array(x, pa.int64()) for x in ([len(c[0]) for c in cut], [c[2] for c in cut], [c[3] for c in cut])]
+            columns = [*counts, pa.array([hashlib.sha256(c[1]).hexdigest() for c in cut], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return rows.mapInArrow(measure, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """``docs`` with its columns, each text less its repeated bytes.
+
+    A character of which only some bytes are left is dropped. Texts that lose
+    nothing stay as they are, null ones too.
+    """
+    at = docs.columns.index(text_col)
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                kept, removed, runs = kept_bytes(data, [(s["first"], s["last"]) for s in spans or ()])
-                out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"),) if with_text else ()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 5 if with_text else 4]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]], names)
+            texts = [t if not s else _cut(t, s)[1].decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return rows.mapInArrow(cut, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    return _with_spans(docs, id_col, text_col).mapInArrow(cut, docs.schema)

@@ -37,7 +37,7 @@ from .shared import stored
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
 #: Contexts of one anchor in a block; bytes of contexts sorted together.
-BLOCK, SORTED_BYTES = 512, 1 << 20
+BLOCK, SORTED_BYTES = 1024, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -218,20 +218,27 @@ def edges(contexts: DataFrame) -> DataFrame:
     def find(batches):
         for rows in _blocks(batches):
             texts = [r[5] for r in rows]
-            found = repeated_starts(texts, [r[3] for r in rows], [r[4] for r in rows])
-            out = [(rows[i][3], rows[i][4] + a, rows[i][4] + b, None, None) for i, a, b in found]
-            if any(r[2] > 1 for r in rows):
-                gone = [np.zeros(len(t) - LENGTH + 2, np.int32) if r[2] > 1 else None for t, r in zip(texts, rows)]
-                for i, a, b in found:
-                    if gone[i] is not None:
-                        gone[i][a] += 1
-                        gone[i][b + 1] -= 1
-                for r, t, g in zip(rows, texts, gone):
-                    if g is not None:
-                        starts = np.flatnonzero(np.cumsum(g[:-1]) == 0)
-                        one = hashes(prefix_sums(np.frombuffer(t, np.uint8)), starts, starts + LENGTH).view(np.int64)
-                        two = hashes(prefix_sums(np.frombuffer(t, np.uint8) ^ 0xA5), starts, starts + LENGTH).view(np.int64)
-                        out += [(r[3], r[4] + s, r[4] + s, x, y) for s, x, y in zip(starts.tolist(), one.tolist(), two.tolist())]
+            covered: dict[int, list[tuple[int, int]]] = {}
+            for i, a, b in repeated_starts(texts, [r[3] for r in rows], [r[4] for r in rows]):
+                covered.setdefault(i, []).append((a, b))
+            out = []
+            for i, (_, _, blocks, doc, first, text) in enumerate(rows):
+                runs: list[list[int]] = []
+                for a, b in sorted(covered.get(i, ())):
+                    if runs and a <= runs[-1][1] + 1:
+                        runs[-1][1] = max(runs[-1][1], b)
+                    else:
+                        runs.append([a, b])
+                out += [(doc, first + a, first + b, None, None) for a, b in runs]
+                if blocks > 1:
+                    data = np.frombuffer(text, np.uint8)
+                    free = np.ones(len(data) - LENGTH + 1, bool)
+                    for a, b in runs:
+                        free[a : b + 1] = False
+                    starts = np.flatnonzero(free)
+                    one = hashes(prefix_sums(data), starts, starts + LENGTH).view(np.int64)
+                    two = hashes(prefix_sums(data ^ 0xA5), starts, starts + LENGTH).view(np.int64)
+                    out += [(doc, first + s, first + s, x, y) for s, x, y in zip(starts.tolist(), one.tolist(), two.tolist())]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["doc", "first", "last", "one", "two"])
 

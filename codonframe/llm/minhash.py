@@ -1,7 +1,8 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A document is the weighted set of its five-word shingles, each weighing as often
-as it occurs; a text of fewer words is one shingle. Every shingle sends arrivals
+A document is the weighted set of its five-word shingles, each weighing 1 and the
+logarithm of how often it occurs, so that a line repeated hundreds of times does
+not stand for the whole text; a text of fewer words is one shingle. Every shingle sends arrivals
 of a Poisson process, its weight the rate, to random registers; a register keeps
 the shingle that came first. Shingles stop once their next arrival is later than
 every register's first. Two registers agree with the probability that is the
@@ -12,10 +13,10 @@ Texts of equal words are one class from the start. Classes that agree in a band
 of registers are candidates. In each band the class that meets most others is
 held against all the rest, and links are exact: the similarity is computed from
 both texts. Components are then found, and only bands that still hold several go
-on; what a few rounds leave is compared pair by pair, except where the distances
-to a common class rule a link out (one less the similarity is a metric). So a
-large group costs one comparison for each member, and no link between
-candidates is lost. A pair of similarity 0.8 is no candidate once in 20,000 times.
+on. What a few rounds leave is compared pair by pair, except where a bound rules a
+link out: the distances to a common class (one less the similarity is a metric),
+or the shingles that no other open text has. So a large group costs a few
+comparisons for each member, and no link between candidates is lost. A pair of similarity 0.8 is no candidate once in 20,000 times.
 
 Null texts and texts without a word never link. Rows with a null id form no
 group: their component is null and they are kept. Rows that share an id are one document.
@@ -23,7 +24,6 @@ group: their component is null and they are kept. Rows that share an id are one
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,17 +69,18 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a sequence of word hashes, and how often each occurs."""
+    """Distinct shingles of a sequence of word hashes, and their weights: 1 and the logarithm of how often each occurs."""
     n = len(words) - SHINGLE + 1
     if not len(words):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0)
     if n < 1:
         n, total = 1, np.array([np.bitwise_xor.reduce(mixed(words * ODD[1] + np.arange(1, len(words) + 1, dtype=np.uint64)))])
     else:
         total = np.zeros(n, np.uint64)
         for j in range(SHINGLE):
             total = mixed(total * ODD[2] + words[j : j + n])
-    return np.unique(total, return_counts=True)
+    keys, times = np.unique(total, return_counts=True)
+    return keys, 1 + np.log(times)
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
@@ -103,7 +104,7 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
     return kept
 
 
-def probability_jaccard(x: Counter, y: Counter) -> float:
+def probability_jaccard(x: dict, y: dict) -> float:
     """Probability Jaccard similarity of two weighted sets."""
     both = list(x.keys() | y.keys())
     if not both:
@@ -159,7 +160,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
     def compare(batches):
         def weighted(text):
-            return Counter(dict(zip(*(x.tolist() for x in shingles(_words(text))))))
+            return dict(zip(*(x.tolist() for x in shingles(_words(text)))))
 
         held = (None, None)
         for batch in batches:
@@ -173,6 +174,28 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return rows.mapInArrow(compare, "a long, b long, similarity double")
 
 
+def rarity(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """class_id, n, lone, heavy of the texts with these ids.
+
+    n distinct shingles, of which ``lone`` are in no other of these texts; heavy
+    is the share of the weight that lies on shingles which occur more than once in the text.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("text")).join(ids, "class_id")
+
+    def cut(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = [shingles(_words(t)) for t in batch.column(1)[begin : begin + 500].to_pylist()]
+                owner = batch.column(0)[begin : begin + 500].to_numpy(zero_copy_only=False).repeat([len(k) for k, _ in part])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([k for k, _ in part]).view(np.int64)), pa.array(np.concatenate([n for _, n in part]))], ["class_id", "shingle", "weight"])
+
+    rows = stored(texts.select("class_id", "text").mapInArrow(cut, "class_id long, shingle long, weight double"))
+    lone = rows.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("class_id").alias("class_id")).where(F.col("_n") == 1).groupBy("class_id").agg(F.count("*").alias("lone"))
+    heavy = F.sum(F.when(F.col("weight") > 1, F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    found = rows.groupBy("class_id").agg(F.count("*").alias("n"), heavy.alias("heavy"))
+    return found.join(lone, "class_id", "left").select("class_id", "n", F.coalesce("lone", F.lit(0)).alias("lone"), "heavy")
+
+
 def _pairs(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -200,10 +223,17 @@ def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_co
         if round_ < options.star_rounds:
             pairs = open_.where(F.col("component") != F.col("hub_component")).select(*_pairs("class_id", "hub")).distinct()
         else:
-            x, y = (open_.select("band", *[F.col(c).alias(f"{k}_{c}") for c in ("class_id", "component", "far")]) for k in "xy")
-            bound = 1 - options.similarity + 1e-9
-            apart = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) > bound, F.lit(False))
-            pairs = x.join(y, "band").where((F.col("x_class_id") < F.col("y_class_id")) & (F.col("x_component") != F.col("y_component")) & ~apart).select(*_pairs("x_class_id", "y_class_id")).distinct()
+            # Shingles that no other open text has cannot be shared: with o shared at most, single shingles
+            # add o / (n + n' - o) to the similarity at most, and repeated ones their share of the weight.
+            counts = stored(rarity(open_.select("class_id").distinct(), docs, id_col, text_col))
+            least = options.similarity - 1e-9
+            able = open_.join(counts.where((F.col("n") - F.col("lone")) / F.col("n") + F.col("heavy") >= least), "class_id")
+            able = stored(able)
+            x, y = (able.select("band", *[F.col(c).alias(f"{k}_{c}") for c in ("class_id", "component", "far", "n", "lone", "heavy")]) for k in "xy")
+            apart = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) > 1 - least, F.lit(False))
+            most = F.least(F.col("x_n") - F.col("x_lone"), F.col("y_n") - F.col("y_lone"))
+            able_pair = most / (F.col("x_n") + F.col("y_n") - most) + F.col("x_heavy") + F.col("y_heavy") >= least
+            pairs = x.join(y, "band").where((F.col("x_class_id") < F.col("y_class_id")) & (F.col("x_component") != F.col("y_component")) & ~apart & able_pair).select(*_pairs("x_class_id", "y_class_id")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(verified(stored(pairs), docs, id_col, text_col))

@@ -61,7 +61,7 @@ def _keys(codes: np.ndarray, longest: int) -> list[np.ndarray]:
     keys, total = [np.zeros(len(c), np.uint64)], np.zeros(len(c), np.uint64)
     for k in range(longest):
         total = total.copy()
-        total[k:] += c[: len(c) - k] * np.uint64(pow(MULTIPLIER, k, 1 << 64))
+        total[k:] += c[: max(len(c) - k, 0)] * np.uint64(pow(MULTIPLIER, k, 1 << 64))
         keys.append(total)
     return keys
 

@@ -48,14 +48,10 @@ def run_between(spark, a) -> None:
 def run_windows(spark, a) -> None:
     df = tables.read_codon_results(spark, a.codon_file)
     by = tuple(c for c in ("group", "product", "group_1", "group_2") if c in df.columns)
-    found = windows.row_windows(df, a.sliding_window_size, a.sliding_window_step, a.min_defined_codons, a.numerator, a.denominator, by)
     if a.num_bootstraps:
-        spans = windows.sliding_windows(df, a.sliding_window_size, a.sliding_window_step, by)
-        inside = bootstrap.window_codons(df, spans, by)
-        reps = bootstrap.replicates(inside, a.num_bootstraps, a.seed, (*by, "window"))
-        tested = bootstrap.with_z_test(spans, bootstrap.standard_errors(reps, (*by, "window")), (*by, "window"))
-        tested = bootstrap.with_p_values(tested).join(bootstrap.achieved_significance(reps, (*by, "window")), [*by, "window"])
-        tables.write_tsv(tested, f"{a.out}/sliding_windows_bootstrap")
+        found = bootstrap.row_window_tests(df, a.sliding_window_size, a.num_bootstraps, a.seed, a.sliding_window_step, a.min_defined_codons, a.numerator, a.denominator, a.jukes_cantor, by=by)
+    else:
+        found = windows.row_windows(df, a.sliding_window_size, a.sliding_window_step, a.min_defined_codons, a.numerator, a.denominator, by)
     tables.write_tsv(found, f"{a.out}/sliding_windows_d{a.numerator}d{a.denominator}")
 
 
@@ -106,6 +102,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min_defined_codons", type=int, default=2)
     p.add_argument("--num_bootstraps", type=int, default=0)
     p.add_argument("--seed", type=int, default=1)
+    p.add_argument("--jukes_cantor", action="store_true")
     p.add_argument("--numerator", choices=("N", "T"), default="N")
     p.add_argument("--denominator", choices=("S", "N"), default="S")
     p = command("pool", run_pool, "snpreport", "fasta", "gtf")

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codonframe.functions.stats import jukes_cantor as corrected
 from codonframe.functions.stats import ratio, ratio_p, stars, two_sided_p, z_score
 
 from .between import with_jukes_cantor
+from .windows import row_windows
 from .within import MEASURES, rates
 
 
@@ -86,3 +88,45 @@ def achieved_significance(reps: DataFrame, by: tuple[str, ...] = ("product",)) -
     found = found.withColumns({"ASL_dN_gt_dS_P": F.try_divide(F.col("dN_lt_dS_count"), total), "ASL_dN_lt_dS_P": F.try_divide(F.col("dN_gt_dS_count"), total)})
     two = 2 * F.least("ASL_dN_gt_dS_P", "ASL_dN_lt_dS_P")
     return found.withColumn("ASL_dNdS_P", F.when(two.isNull(), 1.0).when(two == 0, 1 / F.col("_reps")).otherwise(two)).drop("_reps")
+
+
+def row_window_tests(
+    codons: DataFrame, size: int, reps: int, seed: int, step: int = 1, min_defined: int = 2, numerator: str = "N", denominator: str = "S",
+    jukes_cantor: bool = False, ratio_null: float = 0.0, by: tuple[str, ...] = ("product",), arithmetic: bool = False,
+) -> DataFrame:
+    """``row_windows`` with their bootstrap: sw_boot_ standard errors, P values and counts, and sw_ASL_ levels.
+
+    One resampling of a window's rows serves all statistics. With ``jukes_cantor``
+    the corrected rates take the place of dN and dS.
+    """
+    keys = list(by)
+    found = row_windows(codons, size, step, min_defined, numerator, denominator, by)
+    place = Window.partitionBy(*keys).orderBy("codon_num")
+    chosen = {"N_diffs": f"{numerator}_diffs", "N_sites": f"{numerator}_sites", "S_diffs": f"{denominator}_diffs", "S_sites": f"{denominator}_sites"}
+    rows = codons.where(F.col("num_defined_seqs") >= min_defined)
+    rows = rows.select(*keys, "codon_num", F.row_number().over(place).alias("_row"), *[F.col(c).alias(m) for m, c in chosen.items()])
+    # A row belongs to the windows that begin at most size - 1 rows before it.
+    starts = F.explode(F.sequence(F.greatest(F.col("_row") - size + 1, F.lit(1)), F.col("_row"))).alias("_start")
+    inside = rows.select(*keys, "codon_num", *MEASURES, starts).where((F.col("_start") - 1) % step == 0)
+    first = rows.select(*keys, F.col("_row").alias("_start"), F.col("codon_num").alias("sw_start"))
+    inside = inside.join(first, [*keys, "_start"]).drop("_start")
+    drawn = rates(replicates(inside, reps, seed, (*by, "sw_start"), arithmetic))
+    if jukes_cantor:
+        both = {"sw_dN": corrected(F.col("sw_dN")), "sw_dS": corrected(F.col("sw_dS"))}
+        found = found.withColumns(both).withColumns({"sw_dNdS": ratio(F.col("sw_dN"), F.col("sw_dS")), "sw_dN_m_dS": F.col("sw_dN") - F.col("sw_dS")})
+        drawn = drawn.withColumns({"dN": corrected(F.col("dN")), "dS": corrected(F.col("dS"))})
+        drawn = drawn.withColumns({"dN_minus_dS": F.col("dN") - F.col("dS"), "dN_over_dS": ratio(F.col("dN"), F.col("dS"))})
+    diff = F.col("dN_minus_dS")
+    tests = drawn.groupBy(*keys, "sw_start").agg(
+        F.count("*").alias("sw_num_replicates"), F.stddev_samp("dN").alias("sw_boot_dN_SE"), F.stddev_samp("dS").alias("sw_boot_dS_SE"),
+        F.stddev_samp("dN_over_dS").alias("sw_boot_dN_over_dS_SE"), F.stddev_samp(diff).alias("sw_boot_dN_m_dS_SE"),
+        F.count_if(diff > 0).alias("sw_boot_dN_gt_dS_count"), F.count_if(diff == 0).alias("sw_boot_dN_eq_dS_count"), F.count_if(diff < 0).alias("sw_boot_dN_lt_dS_count"),
+    )
+    total = F.col("sw_boot_dN_gt_dS_count") + F.col("sw_boot_dN_eq_dS_count") + F.col("sw_boot_dN_lt_dS_count")
+    tests = tests.withColumns({"sw_ASL_dN_gt_dS_P": F.try_divide(F.col("sw_boot_dN_lt_dS_count"), total), "sw_ASL_dN_lt_dS_P": F.try_divide(F.col("sw_boot_dN_gt_dS_count"), total)})
+    two = 2 * F.least("sw_ASL_dN_gt_dS_P", "sw_ASL_dN_lt_dS_P")
+    tests = tests.withColumn("sw_ASL_dNdS_P", F.when(two.isNull(), 1.0).when(two == 0, 1 / F.col("sw_num_replicates")).otherwise(two))
+    return found.join(tests, [*keys, "sw_start"], "left").withColumns({
+        "sw_boot_dN_over_dS_P": ratio_p(F.col("sw_dNdS"), F.col("sw_boot_dN_over_dS_SE"), ratio_null),
+        "sw_boot_dN_m_dS_P": two_sided_p(z_score(F.col("sw_dN_m_dS"), F.col("sw_boot_dN_m_dS_SE"))),
+    })

@@ -351,6 +351,20 @@ def boot_asl(spark, d):
     return rounded(bootstrap.achieved_significance(_boot(spark, d), ("group", "product")))
 
 
+_ROWS = """, ok AS (SELECT *, row_number() OVER (PARTITION BY grp, product ORDER BY codon_num) AS r FROM wc WHERE n >= 50),
+top AS (SELECT grp, product, max(r) AS m FROM ok GROUP BY ALL),
+st AS (SELECT ok.grp, ok.product, ok.r, ok.codon_num AS sw_start FROM ok JOIN top USING (grp, product) WHERE (r - 1) % 2 = 0 AND r + 9 <= m),
+rd AS (SELECT st.*, rep, ((rep * 7919 + dr * 104729 + 3 * 31) % 1000003) % 10 AS i FROM st, range(1, 21) t(rep), range(1, 11) u(dr)),
+rb AS (SELECT rd.grp, rd.product, sw_start, rep, sum(N_sites) AS N_sites, sum(S_sites) AS S_sites, sum(N_diffs) AS N_diffs, sum(S_diffs) AS S_diffs FROM rd JOIN ok ON ok.grp = rd.grp AND ok.product = rd.product AND ok.r = rd.r + rd.i GROUP BY ALL)"""
+
+
+@query(W + _ROWS + f""" SELECT grp AS "group", product, sw_start, count(*) AS sw_num_replicates, round(stddev_samp({o.DN}), 8) AS "sw_boot_dN_SE", round(stddev_samp({o.DN} - {o.DS}), 8) AS "sw_boot_dN_m_dS_SE",
+ count(*) FILTER (WHERE {o.DN} - {o.DS} > 0) AS "sw_boot_dN_gt_dS_count", count(*) FILTER (WHERE {o.DN} - {o.DS} < 0) AS "sw_boot_dN_lt_dS_count" FROM rb GROUP BY ALL""")
+def boot_row_windows(spark, d):
+    found = bootstrap.row_window_tests(_within(spark, d), 10, 20, 3, 2, 50, by=("group", "product"), arithmetic=True)
+    return rounded(found.select("group", "product", "sw_start", "sw_num_replicates", "sw_boot_dN_SE", "sw_boot_dN_m_dS_SE", "sw_boot_dN_gt_dS_count", "sw_boot_dN_lt_dS_count"))
+
+
 @query()
 def boot_product_random(spark, d):
     """Hashed draws: a standard error for each product, held against the analytic one in the tests."""

@@ -9,12 +9,23 @@ MEASURES = ("N_sites", "S_sites", "N_diffs", "S_diffs")
 
 
 def read_codon_results(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated codon table with its columns by name; measures as doubles, ``codon_num`` from ``codon`` where that holds numbers."""
-    raw = spark.read.option("sep", "\t").option("header", True).csv(path)
+    """A tab- or comma-separated codon table with its columns by name; measures as doubles, ``codon_num`` from ``codon`` where that holds numbers."""
+    raw = spark.read.option("sep", detect_delimiter(spark, path)).option("header", True).csv(path)
     typed = raw.withColumns({c: F.col(c).try_cast("double") for c in raw.columns if c in MEASURES or c.endswith("_diffs_vs_ref") or c.startswith("num_defined")})
     return with_codon_numbers(typed)
 
 
+def detect_delimiter(spark: SparkSession, path: str) -> str:
+    """Tab or comma, by the header: the first line that is no ``##`` comment."""
+    lines = [r[0] for r in spark.read.text(path).where(~F.col("value").startswith("##") & (F.trim("value") != "")).limit(1).collect()]
+    if not lines:
+        raise ValueError(f"{path} has no header")
+    found = "\t" if "\t" in lines[0] else "," if "," in lines[0] else None
+    if found is None:
+        raise ValueError(f"the header of {path} has neither tabs nor commas")
+    return found
+
+
 def codon_schema(df: DataFrame) -> str:
     """``pool``, ``between`` or ``within``, by the columns that are there."""
     if "N_diffs_vs_ref" in df.columns:

@@ -87,20 +87,24 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
     """The element each of ``m`` registers keeps."""
     first, kept = np.full(m, np.inf), np.zeros(m, np.uint64)
     time, active, step = np.zeros(len(elements)), np.arange(len(elements)), 0
-    block = max(-(-4 * m // len(elements)), 1)
     while len(active):
+        # As many arrivals as will probably reach the last register's first, or fill the registers.
+        last = first.max()
+        wanted = ((last - time[active]) * weights[active]).max() + 2 if np.isfinite(last) else 3 * m / len(active)
+        block = max(int(min(wanted, 60_000 / len(active))), 1)
         draw = mixed(elements[active][:, None] + np.arange(step + 1, step + block + 1, dtype=np.uint64) * ODD[0])
         wait = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / weights[active][:, None]
         at = time[active][:, None] + np.cumsum(wait, axis=1)
         register = (mixed(draw ^ ODD[3]) % np.uint64(m)).astype(np.int64)
-        early = at < first[register]
-        t, r, e = at[early], register[early], np.broadcast_to(elements[active][:, None], at.shape)[early]
-        order = np.argsort(t, kind="stable")
-        r, where = np.unique(r[order], return_index=True)
-        first[r], kept[r] = t[order][where], e[order][where]
+        row, column = np.nonzero(at < first[register])
+        t, r = at[row, column], register[row, column]
+        order = np.argsort(-t, kind="stable")
+        best = np.full(m, -1)
+        best[r[order]] = order  # the earliest is written last
+        hit = np.flatnonzero(best >= 0)
+        first[hit], kept[hit] = t[best[hit]], elements[active[row[best[hit]]]]
         time[active] = at[:, -1]
-        active = active[at[:, -1] < first.max()]
-        step, block = step + block, max(block // 4, 1)
+        active, step = active[at[:, -1] < first.max()], step + block
     return kept
 
 

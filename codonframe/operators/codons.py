@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,13 @@ def codon_columns(seqs: DataFrame, products: DataFrame) -> DataFrame:
     known = products.select("product", "segments").limit(MAX_PRODUCTS + 1).collect()
     if len(known) > MAX_PRODUCTS:
         raise ValueError(f"more than {MAX_PRODUCTS} products; analyse the annotation in parts")
-    dim = seqs.sparkSession.createDataFrame([(p["product"], p["segments"]) for p in known], products.select("product", "segments").schema)
-    per_group = dim.select(F.collect_list(F.struct("product", "segments")).alias("_all")).first()["_all"] if known else []
-    each = F.from_json(F.lit(_as_json(per_group)), "array<struct<product:string,segments:array<struct<start:int,stop:int>>>>")
+    each = F.from_json(F.lit(_as_json(known)), "array<struct<product:string,segments:array<struct<start:int,stop:int>>>>")
     rows = seqs.select("group", "seq", F.explode(each).alias("_p"))
     rows = rows.select("group", F.col("_p.product").alias("product"), F.posexplode(codons(spliced(F.col("seq"), F.col("_p.segments")))).alias("_at", "codon"))
     return rows.select("group", "product", (F.col("_at") + 1).alias("codon_num"), "codon")
 
 
 def _as_json(rows) -> str:
-    import json
-
     return json.dumps([{"product": r["product"], "segments": [{"start": s["start"], "stop": s["stop"]} for s in r["segments"]]} for r in rows])
 
 

@@ -18,12 +18,9 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _pull(pairs: DataFrame, wanted) -> DataFrame:
-    """For each node a of (a, b): links from the b that are ``wanted`` to the least of a and its b."""
-    pairs = stored(pairs)
-    least = stored(pairs.groupBy("a").agg(F.min("b").alias("_m")))
-    joined = pairs.join(least, "a").withColumn("_m", F.least("_m", "a"))
-    return joined.where(wanted).select(F.col("b").alias("x"), F.col("_m").alias("y"))
+def _least(pairs: DataFrame) -> DataFrame:
+    """For each node a of (a, b): the least of a and its b."""
+    return stored(pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
 
 
 def _ordered(links: DataFrame) -> DataFrame:
@@ -40,11 +37,12 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         # Large star: greater neighbours of a go to the least near a. Small star: a and its lesser neighbours do.
-        large = _ordered(_pull(_both(edges), F.col("b") > F.col("a")))
+        pairs = _both(edges)
+        large = stored(_ordered(pairs.join(_least(pairs), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))))
         down = large.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        pulled = _pull(down, F.lit(True))
-        own = down.groupBy("a").agg(F.min("b").alias("y")).select(F.col("a").alias("x"), "y")
-        edges = stored(_ordered(pulled.unionByName(own)))
+        least = _least(down)
+        pulled = down.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
+        edges = stored(_ordered(pulled.unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))))
         before, mark = mark, _mark(edges)
         if before == mark:
             break

@@ -13,10 +13,11 @@ Texts of equal words are one class from the start. Classes that agree in a band
 of registers are candidates. In each band the class that meets most others is
 held against all the rest, and links are exact: the similarity is computed from
 both texts. Components are then found, and only bands that still hold several go
-on. What a few rounds leave is compared pair by pair, except where a bound rules a
-link out: the distances to a common class (one less the similarity is a metric),
-or the shingles that no other open text has. So a large group costs a few
-comparisons for each member, and no link between candidates is lost. A pair of similarity 0.8 is no candidate once in 20,000 times.
+on. What two rounds leave is compared pair by pair. After the first round, bounds
+rule pairs out without comparing texts: the shingles that no other open text has,
+and the distances to a common class (one less the similarity is a metric). So a
+large group costs a few comparisons for each member, and no link between
+candidates is lost. A pair of similarity 0.8 is no candidate once in 20,000 times.
 
 Null texts and texts without a word never link. Rows with a null id form no
 group: their component is null and they are kept. Rows that share an id are one document.
@@ -43,7 +44,7 @@ class ProbMinHash:
     bands: int = 25
     rows: int = 5
     similarity: float = 0.8
-    star_rounds: int = 4
+    star_rounds: int = 2
 
 
 _space = np.zeros(256, bool)
@@ -204,6 +205,15 @@ def _pairs(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _able(x, y, least: float):
+    """False where the counts of two texts rule out a similarity of ``least``.
+
+    Of n + n' distinct shingles o are shared at most, so single ones add o / (n + n' - o) at most, and repeated ones their share of the weight.
+    """
+    most = F.least(x[0] - x[1], y[0] - y[1])
+    return most / (x[0] + y[0] - most) + x[2] + y[2] >= least
+
+
 def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, class_id, component_id and kept of every row; kept is the smallest id of each component.
 
@@ -217,6 +227,7 @@ def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_co
     score = stored(bands.groupBy("class_id").agg(F.sum("_n").alias("met")))
     open_ = bands.select("band", "class_id").join(score, "class_id").withColumn("component", F.col("class_id")).withColumn("used", F.lit(False)).withColumn("far", F.lit(None).cast("double"))
     tested = links = labels = None
+    least = options.similarity - 1e-9
     for round_ in range(options.star_rounds + 1):
         open_ = stored(open_)
         spans = open_.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.max(F.when(~F.col("used"), F.struct("met", F.negate("class_id").alias("no"), "component"))).alias("_hub"))
@@ -224,20 +235,21 @@ def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_co
         if spans.isEmpty():
             break
         open_ = stored(open_.join(spans, "band"))
+        if round_ == 1 or round_ == options.star_rounds == 0:
+            # Shingles that no other open text has cannot be shared. A text of which they leave too little links with nothing.
+            counts = stored(rarity(open_.select("class_id").distinct(), docs, id_col, text_col))
+            open_ = stored(open_.join(counts.where((F.col("n") - F.col("lone")) / F.col("n") + F.col("heavy") >= least), "class_id"))
         if round_ < options.star_rounds:
-            pairs = open_.where(F.col("component") != F.col("hub_component")).select(*_pairs("class_id", "hub")).distinct()
+            candidates = open_.where(F.col("component") != F.col("hub_component"))
+            if round_:
+                hubs = counts.select(F.col("class_id").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("n", "lone", "heavy")])
+                candidates = candidates.join(hubs, "hub").where(_able(*[[F.col(k + c) for c in ("n", "lone", "heavy")] for k in ("", "hub_")], least))
+            pairs = candidates.select(*_pairs("class_id", "hub")).distinct()
         else:
-            # Shingles that no other open text has cannot be shared: with o shared at most, single shingles
-            # add o / (n + n' - o) to the similarity at most, and repeated ones their share of the weight.
-            counts = stored(rarity(open_.select("class_id").distinct(), docs, id_col, text_col))
-            least = options.similarity - 1e-9
-            able = open_.join(counts.where((F.col("n") - F.col("lone")) / F.col("n") + F.col("heavy") >= least), "class_id")
-            able = stored(able)
-            x, y = (able.select("band", *[F.col(c).alias(f"{k}_{c}") for c in ("class_id", "component", "far", "n", "lone", "heavy")]) for k in "xy")
+            x, y = (open_.select("band", *[F.col(c).alias(f"{k}_{c}") for c in ("class_id", "component", "far", "n", "lone", "heavy")]) for k in "xy")
             apart = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) > 1 - least, F.lit(False))
-            most = F.least(F.col("x_n") - F.col("x_lone"), F.col("y_n") - F.col("y_lone"))
-            able_pair = most / (F.col("x_n") + F.col("y_n") - most) + F.col("x_heavy") + F.col("y_heavy") >= least
-            pairs = x.join(y, "band").where((F.col("x_class_id") < F.col("y_class_id")) & (F.col("x_component") != F.col("y_component")) & ~apart & able_pair).select(*_pairs("x_class_id", "y_class_id")).distinct()
+            able = _able(*[[F.col(f"{k}_{c}") for c in ("n", "lone", "heavy")] for k in "xy"], least)
+            pairs = x.join(y, "band").where((F.col("x_class_id") < F.col("y_class_id")) & (F.col("x_component") != F.col("y_component")) & ~apart & able).select(*_pairs("x_class_id", "y_class_id")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(verified(stored(pairs), docs, id_col, text_col))
@@ -249,8 +261,9 @@ def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_co
             far = found.select("a", "b", (1 - F.col("similarity")).alias("_d"))
             keyed = open_.withColumns({"a": F.least("class_id", "hub"), "b": F.greatest("class_id", "hub")})
             open_ = keyed.join(far, ["a", "b"], "left").withColumn("far", F.when(F.col("class_id") == F.col("hub"), 0.0).otherwise(F.col("_d")))
-        open_ = open_.select("band", "class_id", "met", (F.col("used") | (F.col("class_id") == F.col("hub"))).alias("used"), "far")
-        open_ = open_.join(labels, F.col("class_id") == F.col("node"), "left").select("band", "class_id", "met", "used", "far", F.coalesce("component", "class_id").alias("component"))
+        rest = ["n", "lone", "heavy"] if round_ else []
+        open_ = open_.select("band", "class_id", "met", (F.col("used") | (F.col("class_id") == F.col("hub"))).alias("used"), "far", *rest)
+        open_ = open_.join(labels, F.col("class_id") == F.col("node"), "left").select("band", "class_id", "met", "used", "far", *rest, F.coalesce("component", "class_id").alias("component"))
     member = signed.select("doc_id", "one", "two").join(classes.select("one", "two", "class_id"), ["one", "two"]).select("doc_id", "class_id")
     if labels is None:
         member = member.withColumn("component_id", F.col("class_id"))

@@ -131,7 +131,10 @@ def _words(text: str | None) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, options: ProbMinHash, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, one and two (the text's words as two hashes), bands; of texts with words."""
+    """doc_id, one and two (the text's words as two hashes), bands, n, heavy; of texts with words.
+
+    n distinct shingles; heavy is the share of their weight that lies on those which occur more than once.
+    """
     m = options.bands * options.rows
 
     def sign(batches):
@@ -143,25 +146,25 @@ def signatures(docs: DataFrame, options: ProbMinHash, id_col: str, text_col: str
                     continue
                 place = np.arange(1, len(words) + 1, dtype=np.uint64)
                 one, two = (np.bitwise_xor.reduce(mixed(words * ODD[k] + place * ODD[k - 1])) for k in (2, 4))
-                kept = signature(*shingles(words), m).reshape(options.bands, options.rows)
+                keys, weights = shingles(words)
+                kept = signature(keys, weights, m).reshape(options.bands, options.rows)
                 band = np.arange(1, options.bands + 1, dtype=np.uint64)
                 for j in range(options.rows):
                     band = mixed(band * ODD[1] + kept[:, j])
-                out.append((i, one.view(np.int64), two.view(np.int64), band.view(np.int64)))
+                out.append((i, one.view(np.int64), two.view(np.int64), band.view(np.int64), len(keys), float(weights[weights > 1].sum() / weights.sum())))
             if out:
                 flat = pa.array(np.concatenate([x[3] for x in out]))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * options.bands), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in out])), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), bands], ["doc_id", "one", "two", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in out])), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), bands, pa.array([x[4] for x in out], pa.int64()), pa.array([x[5] for x in out], pa.float64())], ["doc_id", "one", "two", "bands", "n", "heavy"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(sign, "doc_id long, one long, two long, bands array<long>")
+    return rows.mapInArrow(sign, "doc_id long, one long, two long, bands array<long>, n long, heavy double")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """a, b and their exact similarity."""
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = pairs.join(texts.withColumnRenamed("_text", "_one"), F.col("a") == F.col("_id")).drop("_id")
-    rows = rows.join(texts.withColumnRenamed("_text", "_two"), F.col("b") == F.col("_id")).select("a", "b", "_one", "_two")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and their exact similarity, from (class_id, text)."""
+    side = lambda key, name: texts.select(F.col("class_id").alias(key), F.col("text").alias(name))
+    rows = pairs.hint("merge").join(side("a", "_one"), "a").hint("merge").join(side("b", "_two"), "b").select("a", "b", "_one", "_two")
 
     def compare(batches):
         def weighted(text):
@@ -179,26 +182,18 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return rows.mapInArrow(compare, "a long, b long, similarity double")
 
 
-def rarity(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """class_id, n, lone, heavy of the texts with these ids.
-
-    n distinct shingles, of which ``lone`` are in no other of these texts; heavy
-    is the share of the weight that lies on shingles which occur more than once in the text.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("text")).join(ids, "class_id")
+def lone_shingles(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """class_id, lone: how many of a text's shingles are in no other of the texts with these ids; none left out that has one."""
 
     def cut(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                part = [shingles(_words(t)) for t in batch.column(1)[begin : begin + 500].to_pylist()]
-                owner = batch.column(0)[begin : begin + 500].to_numpy(zero_copy_only=False).repeat([len(k) for k, _ in part])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([k for k, _ in part]).view(np.int64)), pa.array(np.concatenate([n for _, n in part]))], ["class_id", "shingle", "weight"])
+                part = [shingles(_words(t))[0] for t in batch.column(1)[begin : begin + 500].to_pylist()]
+                owner = batch.column(0)[begin : begin + 500].to_numpy(zero_copy_only=False).repeat([len(k) for k in part])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(part).view(np.int64))], ["class_id", "shingle"])
 
-    rows = stored(texts.select("class_id", "text").mapInArrow(cut, "class_id long, shingle long, weight double"))
-    lone = rows.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("class_id").alias("class_id")).where(F.col("_n") == 1).groupBy("class_id").agg(F.count("*").alias("lone"))
-    heavy = F.sum(F.when(F.col("weight") > 1, F.col("weight")).otherwise(0.0)) / F.sum("weight")
-    found = rows.groupBy("class_id").agg(F.count("*").alias("n"), heavy.alias("heavy"))
-    return found.join(lone, "class_id", "left").select("class_id", "n", F.coalesce("lone", F.lit(0)).alias("lone"), "heavy")
+    rows = texts.join(ids.hint("merge"), "class_id").select("class_id", "text").mapInArrow(cut, "class_id long, shingle long")
+    return rows.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("class_id").alias("class_id")).where(F.col("_n") == 1).groupBy("class_id").agg(F.count("*").alias("lone"))
 
 
 def _pairs(x, y):
@@ -220,12 +215,15 @@ def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_co
     class_id is the smallest id with the same words, component_id the smallest that links reach.
     """
     signed = stored(signatures(docs, options, id_col, text_col))
-    classes = stored(signed.groupBy("one", "two").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")))
+    classes = stored(signed.groupBy("one", "two").agg(F.min("doc_id").alias("class_id"), *[F.first(c).alias(c) for c in ("bands", "n", "heavy")]))
     bands = stored(classes.select("class_id", F.explode("bands").alias("band")))
     shared = stored(bands.groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") > 1))
     bands = stored(bands.join(shared, "band"))
     score = stored(bands.groupBy("class_id").agg(F.sum("_n").alias("met")))
     open_ = bands.select("band", "class_id").join(score, "class_id").withColumn("component", F.col("class_id")).withColumn("used", F.lit(False)).withColumn("far", F.lit(None).cast("double"))
+    # The texts of all classes that share a band, fetched once.
+    wanted = score.select("class_id").hint("merge")
+    texts = stored(docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("text")).join(wanted, "class_id", "left_semi"))
     tested = links = labels = None
     least = options.similarity - 1e-9
     for round_ in range(options.star_rounds + 1):
@@ -236,9 +234,13 @@ def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_co
             break
         open_ = stored(open_.join(spans, "band"))
         if round_ == 1 or round_ == options.star_rounds == 0:
-            # Shingles that no other open text has cannot be shared. A text of which they leave too little links with nothing.
-            counts = stored(rarity(open_.select("class_id").distinct(), docs, id_col, text_col))
-            open_ = stored(open_.join(counts.where((F.col("n") - F.col("lone")) / F.col("n") + F.col("heavy") >= least), "class_id"))
+            # Shingles that no other open text has cannot be shared. A text of which they leave too little links with
+            # nothing, and is not open any more; so once again.
+            for _ in range(2):
+                lone = stored(lone_shingles(open_.select("class_id").distinct(), texts))
+                counts = classes.select("class_id", "n", "heavy").join(lone, "class_id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+                counts = stored(counts.where((F.col("n") - F.col("lone")) / F.col("n") + F.col("heavy") >= least))
+                open_ = stored(open_.drop("n", "lone", "heavy").join(counts, "class_id"))
         if round_ < options.star_rounds:
             candidates = open_.where(F.col("component") != F.col("hub_component"))
             if round_:
@@ -246,13 +248,15 @@ def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_co
                 candidates = candidates.join(hubs, "hub").where(_able(*[[F.col(k + c) for c in ("n", "lone", "heavy")] for k in ("", "hub_")], least))
             pairs = candidates.select(*_pairs("class_id", "hub")).distinct()
         else:
-            x, y = (open_.select("band", *[F.col(c).alias(f"{k}_{c}") for c in ("class_id", "component", "far", "n", "lone", "heavy")]) for k in "xy")
+            held = open_.join(classes.select("class_id", "bands"), "class_id")
+            x, y = (held.select("band", *[F.col(c).alias(f"{k}_{c}") for c in ("class_id", "component", "far", "n", "lone", "heavy", "bands")]) for k in "xy")
+            once = F.col("band") == F.array_min(F.array_intersect("x_bands", "y_bands"))  # of several bands that a pair shares
             apart = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) > 1 - least, F.lit(False))
             able = _able(*[[F.col(f"{k}_{c}") for c in ("n", "lone", "heavy")] for k in "xy"], least)
-            pairs = x.join(y, "band").where((F.col("x_class_id") < F.col("y_class_id")) & (F.col("x_component") != F.col("y_component")) & ~apart & able).select(*_pairs("x_class_id", "y_class_id")).distinct()
+            pairs = x.join(y.withColumnRenamed("band", "y_band"), F.col("band") == F.col("y_band")).where((F.col("x_class_id") < F.col("y_class_id")) & (F.col("x_component") != F.col("y_component")) & ~apart & able & once).select(*_pairs("x_class_id", "y_class_id")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(verified(stored(pairs), docs, id_col, text_col))
+        found = stored(verified(stored(pairs), texts))
         tested = found if tested is None else stored(tested.unionByName(found))
         more = found.where(F.col("similarity") >= options.similarity).select("a", "b")
         links = more if links is None else links.unionByName(more)

@@ -553,10 +553,10 @@ def geneious_parse(spark, d):
 
 
 @query("""
-WITH l AS (SELECT l_partkey AS a, l_partkey + l_suppkey * 3 - 1 AS b, 'G' || CAST(l_suppkey % 7 AS VARCHAR) AS g, l_linenumber % 3 AS kind FROM lineitem)
+WITH l AS (SELECT l_partkey AS a, l_partkey + l_suppkey * 3 + 2 AS b, 'G' || CAST(l_suppkey % 7 AS VARCHAR) AS g, l_linenumber % 3 AS kind FROM lineitem)
 SELECT g AS product, CAST(a AS INT) AS start, CAST(b AS INT) AS stop, '+' AS strand FROM l WHERE kind = 1""")
 def gtf_parse(spark, d):
     kind = F.col("l_linenumber") % 3
     gene = F.concat(F.when(F.col("l_suppkey") % 2 == 0, 'gene_id "gene:').otherwise('gene_id "'), F.lit("G"), (F.col("l_suppkey") % 7).cast("string"), F.lit('"; x "1";'))
-    line = F.concat_ws("\t", F.lit("ref"), F.lit("CALLER"), F.when(kind == 0, "exon").otherwise("CDS"), F.col("l_partkey").cast("string"), (F.col("l_partkey") + F.col("l_suppkey") * 3 - 1).cast("string"), F.lit("."), F.when(kind == 2, "-").otherwise("+"), F.lit("0"), gene)
+    line = F.concat_ws("\t", F.lit("ref"), F.lit("CALLER"), F.when(kind == 0, "exon").otherwise("CDS"), F.col("l_partkey").cast("string"), (F.col("l_partkey") + F.col("l_suppkey") * 3 + 2).cast("string"), F.lit("."), F.when(kind == 2, "-").otherwise("+"), F.lit("0"), gene)
     return gtf.parse_gtf(views.table(spark, d, "lineitem").select(line.alias("value")))

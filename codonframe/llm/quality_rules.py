@@ -6,6 +6,13 @@ histograms of each language over all documents that pass the base rules. A
 document fails when the Jensen-Shannon distance to its language's reference is
 too large; documents shorter than the guards are not judged by a histogram.
 
+How far a text without common words lies from its reference depends on their
+share in the language (0.35 at a quarter), and chance alone takes a short text
+further than a long one. So each language and length, by powers of two, has a
+word limit of its own: the median distance of the documents that pass the base
+rules, plus a multiple of the median absolute deviation, within two fixed
+bounds. A length with few documents has the limit of its whole language.
+
 Null or empty texts have no words: every count is 0 and the base rules fail.
 Null languages form a language of their own. A language with few documents is
 held against the reference of all languages together.
@@ -33,10 +40,17 @@ COMMON = {
 
 @dataclass(frozen=True)
 class Limits:
-    """min_chars and min_words guard the two distances; a reference needs min_docs documents."""
+    """min_chars and min_words guard the two distances; a reference needs min_docs documents, and so does a spread.
+
+    The word limit is the median and word_spreads deviations, but at least
+    min_word_limit, so that many copies of one text do not narrow it, and at
+    most max_word_distance, which also holds where there is no spread.
+    """
 
     max_char_distance: float = 0.30
     max_word_distance: float = 0.55
+    min_word_limit: float = 0.25
+    word_spreads: float = 4.0
     min_chars: int = 300
     min_words: int = 80
     min_docs: int = 30
@@ -125,15 +139,33 @@ def _fixed(values: list[float | None]) -> Column:
     return F.array(*[F.lit(v).cast("double") for v in values])
 
 
+#: Texts of 1,024 words and more are one band.
+TOP_BAND = 10
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def word_limits(scored: DataFrame, limits: Limits) -> DataFrame:
+    """_key, _band, _word_limit: from the distances in steps of 0.0001, so a band has 10,001 rows at most. Band 0 is the whole language."""
+    near = scored.where(~F.col("base_failed") & F.col("word_distance").isNotNull())
+    steps = near.groupBy("_key", "_band", F.round(F.col("word_distance") * 10_000).cast("long").alias("_step")).agg(F.count("*").alias("_n"))
+    steps = steps.select("_key", F.explode(F.array(F.lit(0), "_band")).alias("_band"), "_step", "_n")
+    by = ["_key", "_band"]
+    middle = steps.groupBy(*by).agg(F.percentile("_step", 0.5, F.col("_n")).alias("_median"), F.sum("_n").alias("_judged"))
+    spread = steps.join(middle, by).groupBy(*by, "_median", "_judged").agg(F.percentile(F.abs(F.col("_step") - F.col("_median")), 0.5, F.col("_n")).alias("_spread"))
+    limit = (F.col("_median") + limits.word_spreads * F.col("_spread")) / 10_000
+    return spread.where(F.col("_judged") >= limits.min_docs).select(*by, F.least(F.greatest(limit, F.lit(limits.min_word_limit)), F.lit(limits.max_word_distance)).alias("_word_limit"))
+
+
 def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
     """Counts, both distances and the verdict of every document, one row each.
 
     The per-document counts are written once; the references come from all of
     them. Languages are few rows: a plain join that Spark may broadcast by size.
+    The word limits come from all distances, so those are written once too;
+    languages without a reference of their own share one limit.
     """
     counts = stored(text_counts(docs, id_col, text_col, lang_col).withColumn("base_failed", base_failed()))
     n_chars, n_bins = 7, len(common_words()) + 1
@@ -141,12 +173,19 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", t
     by_lang = _pooled(good, ["_lang"], n_chars, n_bins).where(F.col("_docs") >= limits.min_docs).drop("_docs")
     overall = _pooled(good, [], n_chars, n_bins).first()  # one row of fixed width, whatever the input
     joined = counts.join(by_lang, "_lang", "left").withColumns({
+        "_band": F.least(F.floor(F.log2(F.greatest("n_words", F.lit(2)))), F.lit(TOP_BAND)).cast("int"),
+        "_key": F.when(F.col("_ref_bins").isNotNull(), F.concat(F.lit("="), F.col("_lang"))).otherwise(""),
         "_ref_chars": F.coalesce("_ref_chars", _fixed(overall["_ref_chars"])),
         "_ref_bins": F.coalesce("_ref_bins", _fixed(overall["_ref_bins"])),
     })
     long_enough = F.col("word_chars") >= limits.min_chars, F.col("n_words") >= limits.min_words
     char_d = F.when(long_enough[0], js_distance(_share(F.col("_chars")), F.col("_ref_chars")))
     word_d = F.when(long_enough[1], js_distance(_share(F.col("_bins")), F.col("_ref_bins")))
-    scored = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", char_d.alias("char_distance"), word_d.alias("word_distance"))
-    near = (F.coalesce("char_distance", F.lit(0.0)) <= limits.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.max_word_distance)
-    return scored.withColumn("kept", ~F.col("base_failed") & near)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance"]
+    scored = stored(joined.select("_key", "_band", *columns[:-2], char_d.alias("char_distance"), word_d.alias("word_distance")))
+    found = word_limits(scored, limits)  # at most 11 rows a language: dealing the documents out by language would put a common one in one task
+    whole = found.where("_band = 0").select("_key", F.col("_word_limit").alias("_whole_limit"))
+    judged = scored.join(F.broadcast(found), ["_key", "_band"], "left").join(F.broadcast(whole), "_key", "left")
+    word_limit = F.coalesce("_word_limit", "_whole_limit", F.lit(limits.max_word_distance))
+    near = (F.coalesce("char_distance", F.lit(0.0)) <= limits.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
+    return judged.select(*columns, (~F.col("base_failed") & near).alias("kept"))

@@ -111,6 +111,26 @@ def test_rules_reject_what_is_far_from_its_language(spark):
     assert quality_rules.quality_rules(awkward(spark, [])).count() == 0
 
 
+def mixed(seed, n, share):
+    """Invented words, of which a share are common English ones."""
+    rnd = random.Random(seed)
+    common = quality_rules.COMMON["en"].split()
+    return " ".join(rnd.choice(common) if rnd.random() < share else w for w in prose(seed, n).split())
+
+
+def test_rules_reject_long_texts_without_common_words(spark):
+    rows = [(i, mixed(i, 90 + i, 0.25), "en") for i in range(300)] + [(1000 + i, prose(i, 100 + 20 * i), "en") for i in range(20)]
+    # Two fifths and more of a language may be copies of one text: its prose is still kept.
+    rows += [(2000 + i, mixed(7, 300, 0.25), "fr") for i in range(120)] + [(3000 + i, mixed(i, 200, 0.25), "fr") for i in range(60)] + [(4000, prose(5, 400), "fr")]
+    # Too few for a spread.
+    rows += [(5000 + i, mixed(i, 200, 0.25), "xx") for i in range(3)] + [(5100, prose(1, 60), "en")]
+    found = {r.doc_id: r for r in quality_rules.quality_rules(awkward(spark, rows)).collect()}
+    assert len(found) == len(rows) and found[5100].kept and found[5100].word_distance is None
+    bare = {*range(1000, 1020), 4000}
+    assert {i for i, r in found.items() if not r.kept} == bare
+    assert all(found[i].word_distance < 0.55 and not found[i].base_failed for i in bare)
+
+
 def test_rules_are_native(spark):
     plan = quality_rules.quality_rules(awkward(spark, [(1, "a", "en")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

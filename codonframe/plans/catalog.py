@@ -390,16 +390,18 @@ h AS (SELECT *, list_sum(list_transform(range(1, CAST(n AS INT)), lambda i: 1.0:
 e AS (SELECT *, ((m + 1) / (3 * (m - 1)) - 1 / a1) / a1 AS e1, (2 * (m * m + m + 3) / (9 * m * (m - 1)) - (m + 2) / (a1 * m) + a2 / (a1 * a1)) / (a1 * a1 + a2) AS e2 FROM h)"""
 
 
-def _tajima(spark, d):
+def _tajima(spark, d, most=None):
+    """``most`` bounds the sample size, as the SQL of tajima_d does."""
+    n = F.count("*") if most is None else F.least(F.count("*"), F.lit(most))
     rows = views.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(
-        F.least(F.count("*"), F.lit(400)).alias("n"), (F.count_distinct("l_partkey") % 97 + 1).alias("s"), ((F.sum("l_linenumber") % 1000) / 37.0).alias("k"), F.count("*").alias("_all")
+        n.alias("n"), (F.count_distinct("l_partkey") % 97 + 1).alias("s"), ((F.sum("l_linenumber") % 1000) / 37.0).alias("k"), F.count("*").alias("_all")
     )
     return rows.where(F.col("_all") > 1).select("id", "n", "s", tajima.tajima_d(F.col("n"), F.col("s"), F.col("k")).alias("D"))
 
 
 @query(_TAJIMA + ' SELECT id, n, s, round((k - s / a1) / sqrt(e1 * s + e2 * s * (s - 1)), 6) AS "D" FROM e')
 def tajima_d(spark, d):
-    return rounded(_tajima(spark, d), 6)
+    return rounded(_tajima(spark, d, 400), 6)
 
 
 @query()

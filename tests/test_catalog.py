@@ -34,6 +34,20 @@ def test_other_queries_run(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
 
 
+def test_significance_belongs_to_the_whole_group(spark):
+    """n is every row of a supplier, and D is that of n."""
+    con = duckdb.connect()
+    sizes = dict(con.sql(f"SELECT l_suppkey, count(*) FROM '{DATA}/lineitem.parquet' GROUP BY 1 HAVING count(*) > 1").fetchall())
+    inputs = {i: (s, k) for i, s, k in con.sql(f"SELECT l_suppkey, count(DISTINCT l_partkey) % 97 + 1, (sum(l_linenumber) % 1000) / 37.0 FROM '{DATA}/lineitem.parquet' GROUP BY 1").fetchall()}
+    rows = catalog.queries()["tajima_sig"](spark, DATA).collect()
+    assert {r.id: r.n for r in rows} == sizes and len(set(sizes.values())) > 1
+    for r in rows:
+        n, (s, k) = r.n, inputs[r.id]
+        a1, a2 = sum(1 / i for i in range(1, n)), sum(1 / i**2 for i in range(1, n))
+        e1, e2 = ((n + 1) / (3 * (n - 1)) - 1 / a1) / a1, (2 * (n * n + n + 3) / (9 * n * (n - 1)) - (n + 2) / (a1 * n) + a2 / a1**2) / (a1**2 + a2)
+        assert s == r.s and abs((float(k) - s / a1) / (e1 * s + e2 * s * (s - 1)) ** 0.5 - r.D) < 1e-5
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -13,13 +13,22 @@ names: NFC, white space to one space, lower case; contractions, runs of letters,
 single digits, runs of other signs; byte alphabet; a mark on a word's last
 symbol. Special tokens in a text stand for themselves.
 
-Null texts are empty: no tokens, and the empty text on decoding.
+The library's tables are of three Unicode versions: normal forms of version 9,
+letter and number classes of version 16, lower case of version 17. Texts whose
+characters are the same in all of them and in this Python's tables take the
+short way; the others are split, normalised and lower-cased by those versions.
+
+Null texts are empty: no tokens, and the empty text on decoding. Texts of any
+length are encoded whole, one at a time. Rows that share an id, or have a null
+one, are encoded each for itself. An empty table gives an empty table. Columns
+beyond id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from itertools import chain
 
@@ -34,6 +43,57 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+"
 MAX_WORDS, MAX_PAIRS = 250_000, 1_000_000
 LAST = 0x1000
 
+# What Unicode has changed between the versions that the library's tables and Python's are of.
+#: Letters, and numbers, that version 16.0 added to 15.1.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Combining marks added after version 9.0, and the second half of a composition added after it: starters to the library.
+MARKS_10 = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE),
+    (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070),
+    (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34),
+    (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+#: Capitals that versions 16.0 and 17.0 added, and their small letters.
+LOWER_17 = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
+class Characters:
+    """Normalising and splitting by the library's Unicode versions, for texts in which the versions matter."""
+
+    def __init__(self):
+        kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
+        #: True for characters on which Python's tables and the library's may differ.
+        self.special = np.array([k == "Cn" for k in kinds])
+        for a, b in MARKS_10:
+            self.special[a : b + 1] = True
+
+        def ranges(initial, more):
+            at = np.array([k[0] == initial for k in kinds])
+            for a, b in more:
+                at[a : b + 1] = True
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], at.view(np.int8), [0]])))
+            return "".join(f"\\U{a:08X}-\\U{b - 1:08X}" for a, b in zip(edges[::2], edges[1::2]))
+
+        letters, numbers = ranges("L", LETTERS_16), ranges("N", NUMBERS_16)
+        self.find_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[" + letters + "]+|[" + numbers + "]|[^" + SPACE + letters + numbers + "]+").findall
+        self.split = re.compile("([" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in MARKS_10) + "])").split
+
+    def matter(self, text: str) -> bool:
+        return bool(self.special[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
+
+    def words(self, text: str) -> list[str]:
+        composed = "".join([unicodedata.normalize("NFC", part) for part in self.split(text)])
+        return self.find_words(composed.translate(LOWER_17).replace("Σ", "σ").lower())
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte."""
@@ -69,6 +129,7 @@ class BacktrackingEncoder:
         self.special = special
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.find_words = regex.compile(WORDS).findall
+        self.characters: Characters | None = None
         self.bytes = byte_alphabet()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, list[int]] = {}
@@ -131,14 +192,22 @@ class BacktrackingEncoder:
             self.words[word] = known
         return known
 
+    def split_words(self, part: str) -> list[str]:
+        """The words, normalised. Lower case letter by letter: a final sigma takes no form of its own. No word holds white space, so folding it changes nothing."""
+        if not part.isascii():
+            self.characters = self.characters or Characters()
+            if self.characters.matter(part):
+                return self.characters.words(part)
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        return self.find_words(part.lower())
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for i, part in enumerate(self.split_special.split(text) if self.split_special else [text]):
             if i % 2:
                 ids.append(self.special[part])
                 continue
-            # Lower case letter by letter: a final sigma takes no form of its own. No word holds white space, so folding it changes nothing.
-            words = self.find_words(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+            words = self.split_words(part)
             known = list(map(self.words.get, words))
             if None in known:
                 known = [self.remembered(w) if k is None else k for w, k in zip(words, known)]

@@ -9,6 +9,7 @@ from codonframe.llm import embedding_dedup as E
 def expected(vectors):
     ids = sorted(vectors)
     x = np.array([vectors[i] for i in ids])
+    x = x / np.abs(x).max(axis=1)[:, None]  # else squares overflow or vanish
     x = x / np.linalg.norm(x, axis=1)[:, None]
     linked = x @ x.T >= 0.9
     parent = list(range(len(ids)))

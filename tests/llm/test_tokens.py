@@ -32,6 +32,21 @@ def test_bpe_matches_the_library(spark):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_every_character_is_encoded_as_by_the_library():
+    """Code points between letters, before marks that may join, and doubled after a mark; several to a text, apart by a space."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(word_bpe_path())
+    with open(word_bpe_path(), encoding="utf-8") as f:
+        e = bpe.BacktrackingEncoder(f.read())
+    # Two planes whole; of the others, whose characters are alike, every 61st and those around the ends of their blocks.
+    ends = {e + k for e in (0x2A6E0, 0x2B740, 0x2B820, 0x2CEB0, 0x2EBF0, 0x2F800, 0x2FA20, 0x31350, 0x323B0, 0x3347A, 0xE0000, 0xE0200) for k in range(-3, 3)}
+    every = [chr(c) for c in sorted({*range(0x20000), *range(0x20000, 0x110000, 61), *ends}) if not 0xD800 <= c < 0xE000]
+    for form in ("a%sb1", "a%s\u0301\u0316x", "e\u0316%s\u0327%s"):
+        for begin in range(0, len(every), 64):
+            text = " ".join(form.replace("%s", c) for c in every[begin : begin + 64])
+            assert e.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(ord(every[begin]))
+
+
 def test_backtracking_equals_merging():
     with open(word_bpe_path(), encoding="utf-8") as f:
         e = bpe.BacktrackingEncoder(f.read())

@@ -7,16 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where the
-    setting is missing (tests on one machine) a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``. Without the
+    setting a local session takes a temporary folder; a cluster has no other
+    folder that all its machines see, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -38,3 +42,10 @@ def in_fold(column: str, modulus: int, remainder: int):
     """True where crc32 of the id as text leaves ``remainder``; false for null ids."""
     crc = F.crc32(F.col(column).cast("string").cast("binary"))
     return F.coalesce(crc % modulus == remainder, F.lit(False))
+
+
+def whole_ids(df: DataFrame, column: str) -> None:
+    """An error unless the ids are whole numbers, which the operators that compare documents order and join by."""
+    kind = df.select(column).schema[0].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"{column} must hold whole numbers, not {kind.simpleString()}")

@@ -4,40 +4,52 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier:
 in a document with a smaller id, or before in the same document. The strings
 compared are those of the input.
 
-All strings of ``LENGTH`` bytes share their anchor, the least hash among the
-``GRAM``-byte grams in them, so equal strings meet at equal anchors. The
-neighbouring strings with one anchor form a context of at most 2 ``LENGTH``
-bytes. Anchors that occur once need nothing more. Where all contexts of an anchor are
-equal, all but the first are repeats as a whole. Only where they differ, at the edges
-of repeated passages, are texts fetched, for the first context of each content: in blocks
-of bounded size their suffixes are sorted, the common-prefix intervals are
-walked with a stack, and those whose left neighbours differ are the maximal
-repeats, with all their occurrences. An anchor with more contexts than a block
-holds is spread over several; the strings that come first in their block meet once more by hash.
+Every string of ``LENGTH`` bytes has an anchor, the least hash among its
+``GRAM``-byte grams, so equal strings meet at equal anchors. The neighbouring
+strings with one anchor form a context of at most 2 ``LENGTH`` bytes. Anchors
+that occur once need nothing more. Where all contexts of an anchor are equal, all
+but the first are repeats as a whole; anchor and content together are 128 bits of
+hash. Only where they differ, at the edges of repeated passages, are texts
+fetched, for the first context of each content. Their suffixes are sorted by
+text, the common-prefix intervals are walked with a stack, and those whose left
+neighbours differ are the maximal repeats, with all their occurrences.
+
+Anchors with up to ``BLOCK`` such contexts are walked whole. The contexts of the
+others are sorted over all tasks, first by what stands left of the anchor, read
+backwards, then by what follows it. A context shares most with a neighbour in
+each order, so what its neighbours do not share is cut off, and hardly more than
+the repeated part is left. Blocks of neighbours are walked; the strings that come first in a block meet
+those of other blocks by hash. Each context gives a few rows at every size of its group.
 
 No task holds a group that grows with the corpus: counts are combined before they
-are shuffled, joins on hot anchors can be split by Spark, blocks are bounded.
-
-Null texts are empty; texts shorter than ``LENGTH`` bytes lose nothing. Rows
-with a null id are not compared and stay whole. Ids are taken to be unique: rows
-that share one count as the same document.
+are shuffled, joins on hot anchors can be split by Spark, sorts are by range of
+whole contents, blocks are bounded.
+
+Null texts are empty; texts shorter than ``LENGTH`` bytes lose nothing. Texts of
+any length are taken whole; a document's first occurrence of a string stays.
+Rows with a null id are not compared and stay whole. Rows with equal id and text
+are one document; rows that share an id but not the text are documents of their
+own, in an order of the texts' hashes. Ids are whole numbers. An empty table
+gives an empty table. Columns beyond id and text are not read, or, in
+``without_repeats``, go through as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, whole_ids
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
-#: Contexts of one anchor in a block; bytes of contexts sorted together.
-BLOCK, SORTED_BYTES = 1024, 1 << 20
+#: Contexts of one anchor walked together; bytes of contexts sorted together.
+BLOCK, SORTED_BYTES = 1024, 1 << 19
 BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -85,49 +97,63 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return begin, last, grams[place[begin]], hashes(sums, begin, last + LENGTH)
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, first, last, anchor, context of each context that comes first in its batch; the others as repeats without an anchor."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __doc and __sub: the id, and the text's hash where rows with unlike texts share the id, else 0; null for a null id."""
+    whole_ids(docs, id_col)
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    several = docs.select(F.col(id_col).cast("long").alias("__id"), mark.alias("_m")).groupBy("__id").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
+    several = stored(several.where("_lo <> _hi").select("__id", F.lit(True).alias("__several")))
+    found = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__mark": mark}).join(several, F.col("__doc") == F.col("__id"), "left")
+    return found.withColumn("__sub", F.when(F.col("__several"), F.col("__mark")).otherwise(F.lit(0).cast("long"))).select(*[docs[c] for c in docs.columns], "__doc", "__sub")
+
+
+PLACE = ["doc", "sub", "first"]
+
+
+def scan(rows: DataFrame) -> DataFrame:
+    """From (doc, sub, text): doc, sub, first, last, anchor, context of each context that comes first in its batch; the others as repeats without an anchor."""
+    names = [*PLACE, "last", "anchor", "context"]
 
     def find(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             parts = []
-            for i in np.argsort(ids, kind="stable"):
-                text = batch.column(1)[int(i)].as_py()
+            for i in np.lexsort((subs, ids)):
+                text = batch.column(2)[int(i)].as_py()
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 if len(data) >= LENGTH:
                     begin, last, anchor, context = anchors(data)
-                    parts.append((np.full(len(begin), ids[i]), begin.astype(np.int32), last.astype(np.int32), anchor.view(np.int64), context.view(np.int64)))
+                    parts.append((np.full(len(begin), ids[i]), np.full(len(begin), subs[i]), begin.astype(np.int32), last.astype(np.int32), anchor.view(np.int64), context.view(np.int64)))
             if not parts:
                 continue
-            doc, begin, last, anchor, context = (np.concatenate(x) for x in zip(*parts))
+            doc, sub, begin, last, anchor, context = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((context, anchor))  # stable: by document and place within equal contexts
-            a, c = anchor[order], context[order]
+            earlier, later = order[:-1], order[1:]
             again = np.zeros(len(order), dtype=bool)
-            again[order[1:]] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
-            # An identical row of the same id and place is the same document again.
+            again[later] = (anchor[later] == anchor[earlier]) & (context[later] == context[earlier])
+            # The same place of the same document is no repeat.
             same = np.zeros(len(order), dtype=bool)
-            same[order[1:]] = again[order[1:]] & (doc[order[1:]] == doc[order[:-1]]) & (begin[order[1:]] == begin[order[:-1]])
+            same[later] = again[later] & (doc[later] == doc[earlier]) & (sub[later] == sub[earlier]) & (begin[later] == begin[earlier])
             new = np.flatnonzero(~again)
-            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (doc, begin, last, anchor, context)], ["doc", "first", "last", "anchor", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (doc, sub, begin, last, anchor, context)], names)
             old = np.flatnonzero(again & ~same)
             if len(old):  # neighbouring runs become one
-                cut = np.flatnonzero(np.concatenate([[True], (doc[old][1:] != doc[old][:-1]) | (begin[old][1:] != last[old][:-1] + 1)]))
+                change = (doc[old][1:] != doc[old][:-1]) | (sub[old][1:] != sub[old][:-1]) | (begin[old][1:] != last[old][:-1] + 1)
+                cut = np.flatnonzero(np.concatenate([[True], change]))
                 ends = np.concatenate([cut[1:], [len(old)]]) - 1
                 none = pa.nulls(len(cut), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(doc[old][cut]), pa.array(begin[old][cut]), pa.array(last[old][ends]), none, none], ["doc", "first", "last", "anchor", "context"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[old][cut]) for x in (doc, sub, begin)], pa.array(last[old][ends]), none, none], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
-    return rows.mapInArrow(find, "doc long, first int, last int, anchor long, context long")
+    return rows.where(F.col("doc").isNotNull()).mapInArrow(find, "doc long, sub long, first int, last int, anchor long, context long")
 
 
 def suffixes(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The enhanced suffix array of the contexts' suffixes of ``LENGTH`` bytes and more.
 
-    owner and offset of each suffix in an order in which equal prefixes are
-    neighbours, the common prefix with the suffix before (0 where it is shorter
-    than ``LENGTH``), and the byte to the left (-1 at a context's start).
-    Suffixes that share no prefix of that length with another are left out.
+    owner and offset of each suffix in the order of the texts, the common prefix
+    with the suffix before (0 where it is shorter than ``LENGTH``), and the byte
+    to the left (-1 at a context's start). Suffixes that share no prefix of that
+    length with another are left out.
     """
     sizes = np.array([len(c) for c in contexts])
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -144,16 +170,23 @@ def suffixes(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         none = np.empty(0, np.int64)
         return none, none, none, none
     owner, offset, at, key = owner[some], offset[some], at[some], key[some]
-    # Ranked by the first LENGTH bytes, then byte by byte; the bytes of UTF-8 leave room for an end mark of 0.
+    # By text: the heads of ``LENGTH`` bytes are ranked once for each content, then the rest; UTF-8 leaves room for an end mark of 0.
+    heads = np.ascontiguousarray(data[at[:, None] + np.arange(LENGTH)])
+    _, one, group = np.unique(key, return_index=True, return_inverse=True)
+    if (heads[one][group] != heads).any():  # equal hashes of unlike heads
+        _, one, group = np.unique(heads.view(f"S{LENGTH}").ravel(), return_index=True, return_inverse=True)
+    rank = np.empty(len(one), np.int64)
+    rank[np.argsort(heads[one].view(f"S{LENGTH}").ravel(), kind="stable")] = np.arange(len(one))
+    head = rank[group]
     left = (starts[owner + 1] - at - LENGTH).astype(np.int64)
     width = max(int(left.max()), 1)
     padded = np.concatenate([data, np.zeros(2 * LENGTH + width, np.uint8)])
     columns = np.arange(width)
     tails = np.where(columns < left[:, None], padded[(at + LENGTH)[:, None] + columns].astype(np.uint8) + np.uint8(1), np.uint8(0)).astype(np.uint8)
-    order = np.lexsort((np.ascontiguousarray(tails).view(f"S{width}").ravel(), key))
-    owner, offset, at, key, tails, left = owner[order], offset[order], at[order], key[order], tails[order], left[order]
+    order = np.lexsort((np.ascontiguousarray(tails).view(f"S{width}").ravel(), head))
+    owner, offset, at, head, tails = owner[order], offset[order], at[order], head[order], tails[order]
     equal = (tails[1:] == tails[:-1]) & (tails[1:] > 0)
-    prefix = np.concatenate([[0], np.where(key[1:] == key[:-1], LENGTH + np.cumprod(equal, axis=1, dtype=np.uint8).sum(axis=1), 0)])
+    prefix = np.concatenate([[0], np.where(head[1:] == head[:-1], LENGTH + np.cumprod(equal, axis=1, dtype=np.uint8).sum(axis=1), 0)])
     before = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1)
     return owner, offset, prefix.astype(np.int64), before
 
@@ -182,103 +215,222 @@ def maximal_repeats(prefix: np.ndarray, before: np.ndarray):
             stack.append([now, begin, byte])
 
 
-def repeated_starts(contexts: list[bytes], docs: list[int], firsts: list[int]) -> list[tuple[int, int, int]]:
-    """(context, from, to) offsets of the strings in each context that start earlier in another one."""
+def repeated_runs(contexts: list[bytes], places: list[tuple[int, int, int]]) -> list[list[list[int]]]:
+    """For each context, at its (doc, sub, first): runs of offsets (from, to) of the strings that start earlier in another one."""
     owner, offset, prefix, before = suffixes(contexts)
-    found = []
-    if len(owner):
-        order = np.lexsort((np.asarray(firsts, np.int64)[owner] + offset, np.asarray(docs, np.int64)[owner]))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        own, off = owner.tolist(), offset.tolist()
-        for length, a, b in maximal_repeats(prefix, before):
-            earliest = a + int(np.argmin(place[a:b])) if b - a > 2 else (a if place[a] < place[a + 1] else a + 1)
-            found += [(own[i], off[i], off[i] + length - LENGTH) for i in range(a, b) if i != earliest]
-    return found
-
-
-def _blocks(batches):
-    """Rows of whole (anchor, block) groups, about ``SORTED_BYTES`` bytes at a time; the rows come sorted."""
-    held, size, key = [], 0, None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:2] != key and size >= SORTED_BYTES:
-                yield held
-                held, size = [], 0
-            key = row[:2]
-            held.append(row)
-            size += len(row[5])
-    if held:
-        yield held
+    runs: list[list[list[int]]] = [[] for _ in contexts]
+    if not len(owner):
+        return runs
+    doc, sub, first = (np.array([p[i] for p in places], np.int64) for i in range(3))
+    order = np.lexsort((first[owner] + offset, sub[owner], doc[owner]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    own, off = owner.tolist(), offset.tolist()
+    covered: dict[int, list[tuple[int, int]]] = {}
+    for length, a, b in maximal_repeats(prefix, before):
+        earliest = a + int(np.argmin(place[a:b])) if b - a > 2 else (a if place[a] < place[a + 1] else a + 1)
+        for i in range(a, b):
+            if i != earliest:
+                covered.setdefault(own[i], []).append((off[i], off[i] + length - LENGTH))
+    for i, spans in covered.items():
+        held = runs[i]
+        for a, b in sorted(spans):
+            if held and a <= held[-1][1] + 1:
+                held[-1][1] = max(held[-1][1], b)
+            else:
+                held.append([a, b])
+    return runs
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+CONTEXT = [*PLACE, "last", "anchor", "bytes"]
+CONTEXT_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+CONTEXT_SCHEMA = "doc long, sub long, first int, last int, anchor long, bytes binary"
 
 
 def edges(contexts: DataFrame) -> DataFrame:
-    """From (anchor, block, blocks, doc, first, bytes): repeats as doc, first, last; and the strings first in their block with two hashes."""
+    """Repeats among contexts (anchor, block, doc, sub, first, last, bytes), sorted by anchor and place: doc, sub, first, last.
+
+    A block of -1 is walked whole. Contexts of other blocks pass, with anchor and bytes.
+    """
+
+    def walked(held):
+        runs = repeated_runs([r[6] for r in held], [r[2:5] for r in held])
+        return [(r[2], r[3], r[4] + a, r[4] + b, None, None) for r, own in zip(held, runs) for a, b in own]
 
     def find(batches):
-        for rows in _blocks(batches):
-            texts = [r[5] for r in rows]
-            covered: dict[int, list[tuple[int, int]]] = {}
-            for i, a, b in repeated_starts(texts, [r[3] for r in rows], [r[4] for r in rows]):
-                covered.setdefault(i, []).append((a, b))
+        held, size, last = [], 0, None
+        for batch in batches:
+            passed = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and row[:5] == last[:5]:
+                    continue  # an equal row of the same document
+                if row[1] >= 0:
+                    passed.append((*row[2:6], row[0], row[6]))
+                else:
+                    if held and row[0] != held[-1][0] and size >= SORTED_BYTES:
+                        yield _batch(walked(held), CONTEXT, CONTEXT_KINDS)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[6])
+                last = row
+            yield _batch(passed, CONTEXT, CONTEXT_KINDS)
+        if held:
+            yield _batch(walked(held), CONTEXT, CONTEXT_KINDS)
+
+    return contexts.mapInArrow(find, CONTEXT_SCHEMA)
+
+
+# --- anchors with many contexts ---------------------------------------------------------------------------------
+
+SIDES = ["anchor", "left", "right", *PLACE, "lo", "hi"]
+SIDE_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+SIDE_SCHEMA = "anchor long, left binary, right binary, doc long, sub long, first int, lo int, hi int"
+
+
+def sides(contexts: DataFrame) -> DataFrame:
+    """Contexts cut at the anchor: ``left`` runs backwards from it, ``right`` begins with it.
+
+    A string is named by the bytes it has left of the anchor; lo to hi of them are a context's strings.
+    """
+
+    def cut(batches):
+        for batch in batches:
             out = []
-            for i, (_, _, blocks, doc, first, text) in enumerate(rows):
-                runs: list[list[int]] = []
-                for a, b in sorted(covered.get(i, ())):
-                    if runs and a <= runs[-1][1] + 1:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-                out += [(doc, first + a, first + b, None, None) for a, b in runs]
-                if blocks > 1:
-                    data = np.frombuffer(text, np.uint8)
-                    free = np.ones(len(data) - LENGTH + 1, bool)
-                    for a, b in runs:
-                        free[a : b + 1] = False
-                    starts = np.flatnonzero(free)
-                    one = hashes(prefix_sums(data), starts, starts + LENGTH).view(np.int64)
-                    two = hashes(prefix_sums(data ^ 0xA5), starts, starts + LENGTH).view(np.int64)
-                    out += [(doc, first + s, first + s, x, y) for s, x, y in zip(starts.tolist(), one.tolist(), two.tolist())]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["doc", "first", "last", "one", "two"])
-
-    return contexts.mapInArrow(find, "doc long, first int, last int, one long, two long")
-
-
-def repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc, first, last: runs of starts of strings that also start earlier."""
-    found = stored(scan(docs, id_col, text_col))
-    rows = found.where(F.col("anchor").isNotNull())
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("context").alias("_a"), F.max("context").alias("_b")).where(F.col("_n") > 1)
-    again = stored(rows.join(stored(shared.select("anchor", (F.col("_a") != F.col("_b")).alias("differ"))), "anchor"))
-    firsts = stored(again.groupBy("anchor", "context").agg(F.min(F.struct("doc", "first", "last")).alias("_at"), F.first("differ").alias("differ")))
-    later = again.join(firsts.select("anchor", "context", F.col("_at.doc").alias("_doc"), F.col("_at.first").alias("_first")), ["anchor", "context"])
-    later = later.where((F.col("doc") != F.col("_doc")) | (F.col("first") != F.col("_first"))).select("doc", "first", "last")
+            for doc, sub, first, last, anchor, text in zip(*(c.to_pylist() for c in batch.columns)):
+                data = np.frombuffer(text, np.uint8)
+                at = np.arange(len(data) - GRAM + 1)
+                grams = hashes(prefix_sums(data), at, at + GRAM).view(np.int64)
+                place = last - first + int(np.argmax(grams[last - first :] == anchor))
+                out.append((anchor, text[:place][::-1], text[place:], doc, sub, first, place - (last - first), place))
+            yield _batch(out, SIDES, SIDE_KINDS)
+
+    return contexts.select(*CONTEXT).mapInArrow(cut, SIDE_SCHEMA)
+
+
+def _common(one: bytes, two: bytes) -> int:
+    n = min(len(one), len(two))
+    if one[:n] == two[:n]:
+        return n
+    differ = int.from_bytes(one[:n], "big") ^ int.from_bytes(two[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def _neighbours(batches, side: int):
+    """(row, most): how many bytes of that side a row shares with a neighbour of the same anchor, over rows sorted by it.
+
+    The first and the last row of a task may have a neighbour elsewhere: they share all they have.
+    """
+    held = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held is not None:
+                both = _common(held[0][side], row[side]) if held[0][0] == row[0] else 0
+                yield held[0], max(held[1], both)
+                held = (row, both)
+            else:
+                held = (row, len(row[side]))
+    if held is not None:
+        yield held[0], len(held[0][side])
+
+
+def trimmed(rows: DataFrame) -> DataFrame:
+    """``sides`` rows less the strings that reach further left than any other context does."""
+
+    def trim(batches):
+        out = []
+        for row, most in _neighbours(batches, 1):
+            hi = min(row[7], most)
+            if hi >= row[6]:
+                out.append((*row[:7], hi))
+            if len(out) >= 5000:
+                yield _batch(out, SIDES, SIDE_KINDS)
+                out = []
+        yield _batch(out, SIDES, SIDE_KINDS)
+
+    return rows.repartitionByRange("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right").mapInArrow(trim, SIDE_SCHEMA)
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """Repeats among ``trimmed`` rows as doc, sub, first, last; strings that come first in their block have two hashes.
+
+    Sorted by what follows the anchor, strings that need more of it than any other context shares go, and blocks of
+    neighbours are walked. A block that holds all of its anchor leaves no hashes.
+    """
+    names, kinds = [*PLACE, "last", "one", "two"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def walk(held, whole):
+        if not held:
+            return []
+        # Bytes from hi left of the anchor to what the string with lo of them needs to the right.
+        texts = [left[:hi][::-1] + right[: LENGTH - lo] for _, left, right, *_, lo, hi in held]
+        begins = [r[5] + len(r[1]) - r[7] for r in held]
+        runs = repeated_runs(texts, [(r[3], r[4], b) for r, b in zip(held, begins)])
+        out = []
+        for row, text, begin, own in zip(held, texts, begins, runs):
+            out += [(row[3], row[4], begin + a, begin + b, None, None) for a, b in own]
+            if not whole:
+                data = np.frombuffer(text, np.uint8)
+                free = np.ones(len(data) - LENGTH + 1, bool)
+                for a, b in own:
+                    free[a : b + 1] = False
+                at = np.flatnonzero(free)
+                one = hashes(prefix_sums(data), at, at + LENGTH).view(np.int64)
+                two = hashes(prefix_sums(data ^ 0xA5), at, at + LENGTH).view(np.int64)
+                out += [(row[3], row[4], begin + s, begin + s, x, y) for s, x, y in zip(at.tolist(), one.tolist(), two.tolist())]
+        return out
+
+    def find(batches):
+        held, whole, anchor = [], False, None  # a task's first anchor may have begun elsewhere
+        for row, most in _neighbours(batches, 2):
+            if anchor != row[0] or len(held) >= BLOCK:
+                yield _batch(walk(held, whole and anchor != row[0]), names, kinds)
+                whole, anchor, held = anchor is not None and anchor != row[0], row[0], []
+            lo = max(row[6], LENGTH - most)
+            if lo <= row[7]:
+                held.append((*row[:6], lo, row[7]))
+        yield _batch(walk(held, False), names, kinds)
+
+    return rows.repartitionByRange("anchor", "right", "left").sortWithinPartitions("anchor", "right", "left").mapInArrow(find, "doc long, sub long, first int, last int, one long, two long")
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """From (doc, sub, text): doc, sub, first, last, runs of starts of strings that also start earlier."""
+    found = stored(scan(rows))
+    held = found.where(F.col("anchor").isNotNull())
+    shared = held.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("context").alias("_a"), F.max("context").alias("_b")).where(F.col("_n") > 1)
+    again = stored(held.join(stored(shared.select("anchor", (F.col("_a") != F.col("_b")).alias("differ"))), "anchor"))
+    firsts = stored(again.groupBy("anchor", "context").agg(F.min(F.struct(*PLACE, "last")).alias("_at"), F.first("differ").alias("differ")))
+    runs = [*PLACE, "last"]
+    not_at = (F.col("doc") != F.col("_at.doc")) | (F.col("sub") != F.col("_at.sub")) | (F.col("first") != F.col("_at.first"))
+    later = again.join(firsts.select("anchor", "context", "_at"), ["anchor", "context"]).where(not_at).select(*runs)
     open_ = firsts.where("differ").select("anchor", "context", "_at.*")
-    sizes = stored(open_.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    placed = open_.join(sizes, "anchor").withColumn("block", F.pmod("context", "blocks").cast("int"))
-    per_doc = placed.groupBy("doc").agg(F.collect_list(F.struct("anchor", "block", "blocks", "first", "last")).alias("wanted"))
+    sizes = stored(open_.groupBy("anchor").agg(F.count("*").alias("_n")).select("anchor", F.when(F.col("_n") > BLOCK, F.ceil(F.col("_n") / BLOCK)).cast("int").alias("_blocks")))
+    placed = open_.join(sizes, "anchor").withColumn("block", F.coalesce(F.pmod("context", "_blocks").cast("int"), F.lit(-1)))
+    per_doc = placed.groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "block", "first", "last")).alias("wanted"))
 
     def fetch(batches):
         for batch in batches:
             out = []
-            for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, sub, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                out += [(w["anchor"], w["block"], w["blocks"], doc, w["first"], data[w["first"] : w["last"] + LENGTH]) for w in wanted if w["last"] + LENGTH <= len(data)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["anchor", "block", "blocks", "doc", "first", "bytes"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    contexts = texts.join(per_doc, "doc").mapInArrow(fetch, "anchor long, block int, blocks int, doc long, first int, bytes binary")
-    near = stored(edges(contexts.repartition("anchor", "block").sortWithinPartitions("anchor", "block")))
-    split = near.where(F.col("one").isNotNull())
-    several = stored(split.groupBy("one", "two").agg(F.count("*").alias("_n"), F.min(F.struct("doc", "first")).alias("_at")).where(F.col("_n") > 1).drop("_n"))
-    met = split.join(several, ["one", "two"]).where((F.col("doc") != F.col("_at.doc")) | (F.col("first") != F.col("_at.first"))).select("doc", "first", "last")
-    parts = [found.where(F.col("anchor").isNull()), later, near.where(F.col("one").isNull()), met]
-    whole = parts[0].select("doc", "first", "last")
-    for p in parts[1:]:
-        whole = whole.unionByName(p.select("doc", "first", "last"))
-    return whole
+                out += [(w["anchor"], w["block"], doc, sub, w["first"], w["last"], data[w["first"] : w["last"] + LENGTH]) for w in wanted]
+            yield _batch(out, ["anchor", "block", *CONTEXT[:4], "bytes"], [pa.int64(), pa.int32(), *CONTEXT_KINDS[:4], pa.binary()])
+
+    contexts = rows.join(per_doc, ["doc", "sub"]).mapInArrow(fetch, "anchor long, block int, doc long, sub long, first int, last int, bytes binary")
+    near = stored(edges(contexts.repartition("anchor", "block").sortWithinPartitions("anchor", "block", *PLACE)))
+    parts = [found.where(F.col("anchor").isNull()), later, near.where(F.col("anchor").isNull())]
+    many = near.where(F.col("anchor").isNotNull())
+    if not many.isEmpty():
+        split = stored(crowded(stored(trimmed(stored(sides(many))))))
+        parts.append(split.where(F.col("one").isNull()))
+        strings = split.where(F.col("one").isNotNull())
+        several = stored(strings.groupBy("one", "two").agg(F.count("*").alias("_n"), F.min(F.struct(*PLACE)).alias("_at")).where(F.col("_n") > 1).drop("_n"))
+        parts.append(strings.join(several, ["one", "two"]).where(not_at))
+    return reduce(DataFrame.unionByName, [p.select(*runs) for p in parts])
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -299,8 +451,10 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` and, as ``__spans``, the runs of starts to remove; null where there are none."""
-    spans = repeats(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    return docs.join(spans.withColumnRenamed("doc", "__doc"), docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
+    known = keyed(docs, id_col, text_col)
+    spans = repeats(known.select(F.col("__doc").alias("doc"), F.col("__sub").alias("sub"), F.col(text_col).alias("text")))
+    spans = spans.groupBy(F.col("doc").alias("__doc"), F.col("sub").alias("__sub")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
+    return known.join(spans, ["__doc", "__sub"], "left").select(*docs.columns, "__spans")
 
 
 def _cut(text: str | None, spans) -> tuple[bytes, bytes, int, int]:

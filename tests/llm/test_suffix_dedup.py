@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from codonframe.llm import suffix_dedup as S
+from codonframe.llm.shared import stored
 
 from .fixtures import awkward, prose
 
@@ -32,7 +33,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("block", [2, 1024])
+@pytest.mark.parametrize("block", [2, 5, 1024])
 def test_removed_bytes_match(spark, block, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", block)
     docs = awkward(spark, [(i, t, None) for i, t in ROWS] + [(None, prose(1, 40), None)])
@@ -49,9 +50,30 @@ def test_texts_without_repeats_keep_their_columns(spark):
     assert S.without_repeats(docs).schema == docs.schema
 
 
-def test_rows_that_share_an_id_keep_their_text(spark):
+def test_rows_that_share_an_id(spark):
     docs = awkward(spark, [(1, prose(1, 40), None), (1, prose(1, 40), None)])
     assert [r.n_removed for r in S.dedup(docs).collect()] == [0, 0]
+    # Unlike texts are documents of their own; what is in none but them stays.
+    one, two = prose(1, 25) + prose(3, 25), prose(2, 25) + prose(4, 25)
+    rows = [(1, one), (1, two), (1, one), (2, prose(5, 9) + one[40:200] + prose(6, 9)), (3, prose(7, 9) + two[40:200] + prose(8, 9))]
+    found = [tuple(r)[:4] for r in S.dedup(awkward(spark, [(i, t, None) for i, t in rows])).collect()]
+    want = expected([(1, one), (2, two), (3, rows[3][1]), (4, rows[4][1])])
+    assert sorted(found) == sorted([(1, *want[1][:3]), (1, *want[2][:3]), (1, *want[1][:3]), (2, *want[3][:3]), (3, *want[4][:3])])
+    assert want[1][1] == want[2][1] == 0 and want[3][1] >= 160 and want[4][1] >= 160
+    with pytest.raises(TypeError):
+        S.dedup(docs.selectExpr("cast(doc_id as string) doc_id", "text"))
+
+
+@pytest.mark.parametrize("n", [150, 2500])
+def test_rows_stay_few_around_a_passage_of_many_documents(spark, n, monkeypatch):
+    """Whatever the group's size, a context gives a few rows, and the result is that of the set of all strings."""
+    kept = []
+    monkeypatch.setattr(S, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    rows = [(i, prose(i, 9) + prose(77_000, 30)[:150] + prose(50_000 + i, 9)) for i in range(n)]
+    found = {r.doc_id: tuple(r)[1:] for r in S.dedup(awkward(spark, [(i, t, None) for i, t in rows], extra=False)).collect()}
+    assert found == expected(rows)
+    made = [x.count() for x in kept if {"last", "bytes"} <= set(x.columns) or {"last", "one"} <= set(x.columns) or "lo" in x.columns]
+    assert max(made) < 12 * n
 
 
 def test_no_documents(spark):

@@ -42,8 +42,3 @@ def ratio_p(value: Column, error: Column, ratio_null: float = 0.0) -> Column:
     """P value of a ratio; ``ratio_null`` is the value under the null hypothesis, 0 or 1."""
     return two_sided_p(z_score(value - ratio_null, error))
 
-
-def number_or(value: Column, missing: str, pattern: str | None = None) -> Column:
-    """Text of a number for reports; ``missing`` stands for null."""
-    text = F.format_string(pattern, value) if pattern else value.cast("string")
-    return F.when(value.isNull(), missing).otherwise(text)

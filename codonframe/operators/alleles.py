@@ -20,10 +20,9 @@ def variant_type(amino_acids: Column) -> Column:
 
 def variant_results(counts: DataFrame) -> DataFrame:
     """A row for each polymorphic codon place: alleles in alphabetical order with their counts, the consensus, the kind of variant."""
-    known = counts.where(F.col("codon").isNotNull())
-    held = known.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("codon", "cnt"))).alias("_a"), F.sum("cnt").alias("num_defined_seqs"), F.max("cnt").alias("max_codon_count"), F.count("*").alias("num_alleles")
-    )
+    # No filter on the codon: it would be pushed below the count, where the codon is made.
+    here = F.when(F.col("codon").isNotNull(), F.struct("codon", "cnt"))
+    held = counts.groupBy(*KEY).agg(F.array_sort(F.collect_list(here)).alias("_a"), F.sum(here["cnt"]).alias("num_defined_seqs"), F.max(here["cnt"]).alias("max_codon_count"), F.count("codon").alias("num_alleles"))
     held = held.where(F.col("num_alleles") > 1)
     part = lambda name: F.transform("_a", lambda x: x[name])
     acids = F.transform("_a", lambda x: translated(x["codon"]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codonframe.functions.stats import jukes_cantor, ratio
 from codonframe.genetics.code import with_differences, with_sites
 
-from .codons import KEY, mean_sites
+from .codons import places
 from .within import MEASURES, rates
 
 PAIR = ("product", "group_1", "group_2")
@@ -26,30 +26,31 @@ def between_codon(counts: DataFrame) -> DataFrame:
     Where one group has no defined codon, the other's least codon gives the
     sites and there is no difference.
     """
-    per_group = with_sites(counts).groupBy(*KEY).agg(*mean_sites(counts, KEY), F.min("codon").alias("_least"))
-    per_group = with_sites(per_group.withColumnRenamed("_least", "codon"), prefix="least_").withColumnRenamed("codon", "_least")
-    side = lambda i: per_group.select("product", "codon_num", F.col("group").alias(f"group_{i}"), *[F.col(c).alias(f"{c}_{i}") for c in ("_n", "_alleles", "N_sites", "S_sites", "_least", "least_n_sites", "least_s_sites")])
+    least = places(counts).withColumn("_least", F.get("alleles", F.lit(0))["codon"])
+    per_group = with_sites(least, "_least", "least_")
+    side = lambda i: per_group.select("product", "codon_num", F.col("group").alias(f"group_{i}"), *[F.col(c).alias(f"{c}_{i}") for c in ("num_defined", "alleles", "N_sites", "S_sites", "least_n_sites", "least_s_sites")])
     both = side(1).join(side(2), ["product", "codon_num"]).where(F.col("group_1") < F.col("group_2"))
-    known = counts.where(F.col("codon").isNotNull())
-    one = known.select("product", "codon_num", F.col("group").alias("group_1"), F.col("codon").alias("codon_a"), F.col("cnt").alias("cnt_a"))
-    two = known.select("product", "codon_num", F.col("group").alias("group_2"), F.col("codon").alias("codon_b"), F.col("cnt").alias("cnt_b"))
-    pairs = one.join(two, ["product", "codon_num"]).where((F.col("group_1") < F.col("group_2")) & (F.col("codon_a") != F.col("codon_b")))
-    weight = F.col("cnt_a") * F.col("cnt_b")
-    place = ["product", "codon_num", "group_1", "group_2"]
-    diffs = with_differences(pairs, "codon_a", "codon_b").groupBy(*place).agg(F.sum(weight * F.col("n_diff")).alias("_nd"), F.sum(weight * F.col("s_diff")).alias("_sd"))
-    compared = (F.col("_n_1") > 0) & (F.col("_n_2") > 0)
-    same = (F.col("_alleles_1") == 1) & (F.col("_alleles_2") == 1) & (F.col("_least_1") == F.col("_least_2"))
-    of_pairs = F.col("_n_1").cast("double") * F.col("_n_2")
+    unlike = F.flatten(F.transform("alleles_1", lambda x: F.transform(F.filter("alleles_2", lambda y: y["codon"] != x["codon"]), lambda y: F.struct(x["codon"].alias("a"), y["codon"].alias("b"), (x["cnt"] * y["cnt"]).alias("w")))))
+    compared = (F.col("num_defined_1") > 0) & (F.col("num_defined_2") > 0)
+    same = (F.size("alleles_1") == 1) & (F.size("alleles_2") == 1) & (F.col("alleles_1")[0]["codon"] == F.col("alleles_2")[0]["codon"])
 
-    def sites(kind: str, least: str) -> Column:
-        lone = F.coalesce(F.col(f"{least}_1"), F.col(f"{least}_2"), F.lit(0.0))
-        return F.when(compared, (F.col(f"{kind}_1") + F.col(f"{kind}_2")) / 2).otherwise(lone).alias(kind)
+    def sites(kind: str, lone: str) -> Column:
+        of_one = F.coalesce(F.col(f"{lone}_1"), F.col(f"{lone}_2"), F.lit(0.0))
+        return F.when(compared, (F.col(f"{kind}_1") + F.col(f"{kind}_2")) / 2).otherwise(of_one).alias(kind)
 
+    place = ["product", "codon_num", "group_1", "group_2"]
+    held = ["variability", "num_defined_1", "num_defined_2", "N_sites", "S_sites"]
+    rows = both.select(
+        *place, F.when(compared & ~same, "polymorphic").otherwise("conserved").alias("variability"), "num_defined_1", "num_defined_2",
+        sites("N_sites", "least_n_sites"), sites("S_sites", "least_s_sites"), F.explode_outer(unlike).alias("_p"),
+    ).select(*place, *held, F.col("_p.a").alias("_x"), F.col("_p.b").alias("_y"), F.col("_p.w").alias("_w"))
+    # The join has dealt the rows by place: the sums stay where they are.
+    sums = with_differences(rows, "_x", "_y").groupBy(*place).agg(*[F.first(c).alias(c) for c in held], F.sum(F.col("_w") * F.col("n_diff")).alias("_nd"), F.sum(F.col("_w") * F.col("s_diff")).alias("_sd"))
+    of_pairs = F.col("num_defined_1").cast("double") * F.col("num_defined_2")
     mean = lambda c: F.coalesce(F.try_divide(F.col(c), of_pairs), F.lit(0.0))
-    return both.join(diffs, place, "left").select(
-        *PAIR, "codon_num", F.when(compared & ~same, "polymorphic").otherwise("conserved").alias("variability"),
-        F.col("_n_1").alias("num_defined_codons_g1"), F.col("_n_2").alias("num_defined_codons_g2"),
-        sites("N_sites", "least_n_sites"), sites("S_sites", "least_s_sites"), mean("_nd").alias("N_diffs"), mean("_sd").alias("S_diffs"),
+    return sums.select(
+        *PAIR, "codon_num", "variability", F.col("num_defined_1").alias("num_defined_codons_g1"), F.col("num_defined_2").alias("num_defined_codons_g2"),
+        "N_sites", "S_sites", mean("_nd").alias("N_diffs"), mean("_sd").alias("S_diffs"),
     )
 
 

@@ -18,28 +18,29 @@ from .windows import row_windows
 from .within import MEASURES, rates
 
 
-def _index(n: Column, keys: list[str], seed: int, arithmetic: bool, legacy_index0: bool) -> Column:
+def _index(rep: Column, draw: Column, n: Column, keys: list[str], seed: int, arithmetic: bool, legacy_index0: bool) -> Column:
+    """The place, from 1, that a draw takes; 0 takes none."""
     if arithmetic:
-        return ((F.col("rep") * 7919 + F.col("draw") * 104729 + F.lit(seed) * 31) % 1000003) % n + 1
-    size = n + 1 if legacy_index0 else n
-    return F.pmod(F.xxhash64(*keys, "rep", "draw", F.lit(seed)), size) + (0 if legacy_index0 else 1)
+        return ((rep * 7919 + draw * 104729 + F.lit(seed) * 31) % 1000003) % n + 1
+    return F.pmod(F.xxhash64(*keys, rep, draw, F.lit(seed)), n + 1 if legacy_index0 else n) + (0 if legacy_index0 else 1)
 
 
 def replicates(codons: DataFrame, reps: int, seed: int, by: tuple[str, ...] = ("product",), arithmetic: bool = False, legacy_index0: bool = False, keep: Column | None = None) -> DataFrame:
     """by, rep and the four sums of as many drawn codons as the product has.
 
     Codons where ``keep`` is false are drawn and add nothing. ``legacy_index0`` draws a place before the first, too, which adds nothing.
+    A product's measures are one array, as long as the product; a replicate draws from it and adds up in its own row, so
+    that one shuffle by product is all.
     """
     keys = list(by)
     held = codons if keep is None else codons.withColumns({m: F.when(keep, F.col(m)).otherwise(0.0) for m in MEASURES})
-    rows = held.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("codon_num")).cast("long").alias("_i"), *MEASURES)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    draws = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    draws = draws.select(*keys, "rep", "_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("draw"))
-    draws = draws.select(*keys, "rep", _index(F.col("_n"), keys, seed, arithmetic, legacy_index0).cast("long").alias("_i"))
-    drawn = draws.groupBy(*keys, "rep", "_i").agg(F.count("*").alias("_w"))
-    sums = [F.coalesce(F.sum(F.col("_w") * F.col(m)), F.lit(0.0)).alias(m) for m in MEASURES]
-    return drawn.join(rows, [*keys, "_i"], "left").groupBy(*keys, "rep").agg(*sums)
+    rows = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("codon_num", *MEASURES))).alias("_a"))
+    rows = rows.select(*keys, "_a", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    size = F.size("_a")
+    take = lambda draw: F.get("_a", (_index(F.col("rep"), draw, size, keys, seed, arithmetic, legacy_index0) - 1).cast("int"))
+    drawn = rows.select(*keys, "rep", F.transform(F.sequence(F.lit(1), size), take).alias("_d"))
+    total = lambda m: F.aggregate("_d", F.lit(0.0), lambda s, x: s + F.coalesce(x[m].cast("double"), F.lit(0.0)))
+    return drawn.select(*keys, "rep", *[total(m).alias(m) for m in MEASURES])
 
 
 def window_codons(codons: DataFrame, windows: DataFrame, by: tuple[str, ...] = ("product",)) -> DataFrame:
@@ -60,14 +61,28 @@ def standard_errors(reps: DataFrame, by: tuple[str, ...] = ("product",), undefin
 
 
 def with_z_test(results: DataFrame, errors: DataFrame, by: tuple[str, ...] = ("product",)) -> DataFrame:
-    """``results`` with the errors, Z_value and significance of dN - dS."""
+    """``results`` with the errors, Z_value and significance of dN - dS; JC_Z_value and JC_significance where both tables hold corrected rates."""
     joined = results.join(errors, list(by), "left")
-    joined = joined.withColumn("Z_value", z_score(F.col("dN_minus_dS"), F.col("SE_dN_minus_dS")))
-    return joined.withColumn("significance", F.coalesce(stars(F.col("Z_value")), F.lit("NA")))
+    for prefix in ("", "JC_") if {"JC_dN_minus_dS", "SE_JC_dN_minus_dS"} <= set(joined.columns) else ("",):
+        joined = joined.withColumn(f"{prefix}Z_value", z_score(F.col(f"{prefix}dN_minus_dS"), F.col(f"SE_{prefix}dN_minus_dS")))
+        joined = joined.withColumn(f"{prefix}significance", F.coalesce(stars(F.col(f"{prefix}Z_value")), F.lit("NA")))
+    return joined
+
+
+def window_tests(codons: DataFrame, windows: DataFrame, reps: int, seed: int, by: tuple[str, ...] = ("product",), arithmetic: bool = False, keep: Column | None = None) -> DataFrame:
+    """``windows`` of codon numbers with standard errors, Z test and achieved significance levels of their own bootstrap.
+
+    A window's codons are drawn anew for each replicate; those where ``keep`` is false are drawn and add nothing.
+    """
+    of_window = (*by, "window")
+    held = codons if keep is None else codons.withColumns({m: F.when(keep, F.col(m)).otherwise(0.0) for m in MEASURES})
+    drawn = replicates(window_codons(held, windows, by), reps, seed, of_window, arithmetic)
+    found = with_z_test(windows, standard_errors(drawn, of_window), of_window)
+    return found.join(achieved_significance(drawn, of_window), list(of_window), "left")
 
 
 def with_p_values(results: DataFrame, ratio_null: float = 0.0) -> DataFrame:
-    """``results`` with normal P values of the difference and of the ratio against ``ratio_null``."""
+    """``results`` (with standard errors) with normal P values of the difference and of the ratio against ``ratio_null``."""
     return results.withColumns({
         "dN_minus_dS_P": two_sided_p(z_score(F.col("dN_minus_dS"), F.col("SE_dN_minus_dS"))),
         "dN_over_dS_P": ratio_p(F.col("dN_over_dS"), F.col("SE_dN_over_dS"), ratio_null),

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonframe.functions.sequence import codons, is_defined, spliced
+from codonframe.genetics.code import with_sites
 
 KEY = ("group", "product", "codon_num")
-#: Products whose coordinates go into a plan; every sequence is spliced for each.
-MAX_PRODUCTS = 200_000
+#: Products spliced out of a sequence together, and the size up to which an annotation is sent to all tasks.
+BUCKET_ROWS, BROADCAST_BYTES = 1_000, 64 << 20
 
 
 def validated(seqs: DataFrame) -> DataFrame:
@@ -24,20 +23,27 @@ def validated(seqs: DataFrame) -> DataFrame:
 def codon_columns(seqs: DataFrame, products: DataFrame) -> DataFrame:
     """group, product, codon_num, codon: a row for each codon of each sequence and product.
 
-    ``products`` holds product and segments. Coordinates of an annotation are
-    few beside the sequences: they become constants, up to ``MAX_PRODUCTS``.
+    ``products`` holds product and segments. They are dealt into buckets of some
+    ``BUCKET_ROWS``; each sequence meets each bucket and is spliced for all products in it at once, so
+    that only codons leave the row. An annotation of at most ``BROADCAST_BYTES``, by its
+    own measure, goes to the sequences; a larger one is joined by bucket. A
+    product that reaches beyond its sequence is an error when the codons are read.
     """
-    known = products.select("product", "segments").limit(MAX_PRODUCTS + 1).collect()
-    if len(known) > MAX_PRODUCTS:
-        raise ValueError(f"more than {MAX_PRODUCTS} products; analyse the annotation in parts")
-    each = F.from_json(F.lit(_as_json(known)), "array<struct<product:string,segments:array<struct<start:int,stop:int>>>>")
-    rows = seqs.select("group", "seq", F.explode(each).alias("_p"))
-    rows = rows.select("group", F.col("_p.product").alias("product"), F.posexplode(codons(spliced(F.col("seq"), F.col("_p.segments")))).alias("_at", "codon"))
-    return rows.select("group", "product", (F.col("_at") + 1).alias("codon_num"), "codon")
+    size = products.agg(F.count("*").alias("n"), F.sum(8 * F.size("segments") + F.coalesce(F.length("product"), F.lit(0)) + 32).alias("bytes")).first()
+    buckets = -(-size["n"] // BUCKET_ROWS) or 1
+    known = products.select(F.pmod(F.xxhash64("product"), F.lit(buckets)).cast("int").alias("_bucket"), F.struct("product", "segments").alias("_p"))
+    known = known.groupBy("_bucket").agg(F.collect_list("_p").alias("_products"))
+    if (size["bytes"] or 0) <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    rows = seqs.select("group", "seq", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket")).join(known, "_bucket")
 
+    def cut(p):
+        reach = F.array_max(F.transform(p["segments"], lambda s: s["stop"]))
+        beyond = F.raise_error(F.concat(F.lit("product beyond the end of a sequence: "), p["product"])).cast("string")
+        cds = F.when(reach <= F.length("seq"), spliced(F.col("seq"), p["segments"])).otherwise(beyond)
+        return F.transform(codons(cds), lambda c, i: F.struct(p["product"].alias("product"), (i + 1).alias("codon_num"), c.alias("codon")))
 
-def _as_json(rows) -> str:
-    return json.dumps([{"product": r["product"], "segments": [{"start": s["start"], "stop": s["stop"]} for s in r["segments"]]} for r in rows])
+    return rows.select("group", F.explode(F.flatten(F.transform("_products", cut))).alias("_c")).select("group", "_c.product", "_c.codon_num", "_c.codon")
 
 
 def codon_counts(columns: DataFrame, strict_reference_missing: bool = False) -> DataFrame:
@@ -50,17 +56,21 @@ def codon_counts(columns: DataFrame, strict_reference_missing: bool = False) ->
     return columns.withColumn("codon", F.when(defined, F.col("codon"))).groupBy(*KEY, "codon").agg(F.count("*").alias("cnt"))
 
 
+def places(counts: DataFrame) -> DataFrame:
+    """A row for each codon place: num_defined, mean N_sites and S_sites, and alleles, its defined codons with cnt in the order of the alphabet.
+
+    Everything that compares codons works on these rows: an array of at most 64,
+    or of the few ambiguity codes more that ``strict_reference_missing`` lets in.
+    The mean sites over all pairs of sequences are the mean over sequences, as each is in equally many pairs.
+    """
+    here = F.col("codon").isNotNull()
+    n = F.sum(F.when(here, F.col("cnt")).otherwise(0))
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.when(here, F.col("cnt") * F.coalesce(c, F.lit(0.0)))), n), F.lit(0.0))
+    alleles = F.array_sort(F.collect_list(F.when(here, F.struct("codon", "cnt"))))
+    return with_sites(counts).groupBy(*KEY).agg(n.alias("num_defined"), mean("n_sites").alias("N_sites"), mean("s_sites").alias("S_sites"), alleles.alias("alleles"))
+
+
 def defined_counts(counts: DataFrame) -> DataFrame:
     """group, product, codon_num, num_defined, num_alleles."""
     here = F.col("codon").isNotNull()
     return counts.groupBy(*KEY).agg(F.sum(F.when(here, F.col("cnt")).otherwise(0)).alias("num_defined"), F.count("codon").alias("num_alleles"))
-
-
-def mean_sites(counts: DataFrame, keys: tuple[str, ...]) -> list[Column]:
-    """Aggregates of mean sites over defined codons of rows that carry n_sites and s_sites.
-
-    The mean over all pairs of sequences is the mean over sequences, as each is in equally many pairs.
-    """
-    n = F.sum(F.when(F.col("codon").isNotNull(), F.col("cnt")).otherwise(0))
-    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col("cnt") * F.coalesce(c, F.lit(0.0)) * F.col("codon").isNotNull().cast("int")), n), F.lit(0.0))
-    return [n.alias("_n"), F.count("codon").alias("_alleles"), mean("n_sites").alias("N_sites"), mean("s_sites").alias("S_sites")]

@@ -20,9 +20,24 @@ def _bases() -> list[Column]:
     return [F.col(b) for b in BASES]
 
 
+#: Bases cut out of a long sequence together; buckets over which every codon meets every file.
+PIECE, BUCKETS = 10_000, 64
+
+
 def reference_sites(reference: DataFrame) -> DataFrame:
-    """site, ref_nt of a reference table (seq)."""
-    return reference.select(F.posexplode(F.split("seq", "")).alias("_at", "ref_nt")).where(F.col("ref_nt") != "").select((F.col("_at") + 1).alias("site"), "ref_nt")
+    """site, ref_nt of a reference table (seq). A chromosome is cut into pieces first, which are then dealt over tasks."""
+    raw = F.col("seq").cast("binary")
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / PIECE).cast("int"))
+    cut = reference.select(F.explode(F.transform(numbers, lambda i: F.struct(i.alias("i"), F.substring(raw, i * PIECE + 1, F.lit(PIECE)).cast("string").alias("s")))).alias("_p"))
+    letters = cut.repartition("_p.i").select((F.col("_p.i") * PIECE).alias("_before"), F.posexplode(F.split("_p.s", "")).alias("_at", "ref_nt")).where(F.col("ref_nt") != "")
+    return letters.select((F.col("_before") + F.col("_at") + 1).alias("site"), "ref_nt")
+
+
+def with_every_file(codons: DataFrame, variants: DataFrame) -> DataFrame:
+    """Each codon once for each file. Codons are dealt into buckets, and a file meets each of them: no task has all pairs."""
+    files = variants.select("file").distinct().select("file", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("_bucket"))
+    dealt = codons.withColumn("_bucket", F.pmod(F.xxhash64("product", "codon_num"), F.lit(BUCKETS)).cast("int"))
+    return dealt.join(files, "_bucket").drop("_bucket")
 
 
 def pool_counts(variants: DataFrame) -> DataFrame:
@@ -47,8 +62,8 @@ def reference_codons(cds: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def overlaps(cds: DataFrame) -> DataFrame:
-    """site, overlapping_ORFs: products that cover a site, less one."""
-    return cds.groupBy("site").agg((F.count_distinct("product") - 1).alias("overlapping_ORFs"))
+    """site, overlapping_ORFs: products that cover a site, less one; a product of the other strand is another one."""
+    return cds.groupBy("site").agg((F.count_distinct("product", *[c for c in ("strand",) if c in cds.columns]) - 1).alias("overlapping_ORFs"))
 
 
 def _alleles(counts: DataFrame, cds: DataFrame, codons: DataFrame) -> DataFrame:
@@ -61,10 +76,11 @@ def _alleles(counts: DataFrame, cds: DataFrame, codons: DataFrame) -> DataFrame:
     return rows.select("file", "site", "product", "codon_num", "position_in_codon", "ref_codon", "coverage", "ref_nt", F.col("_x.nt").alias("nt"), F.col("_x.cnt").alias("cnt"), made.alias("codon"))
 
 
-def pool_sites(variants: DataFrame, cds: DataFrame, reference: DataFrame) -> DataFrame:
+def pool_sites(variants: DataFrame, cds: DataFrame, reference: DataFrame, every_cds: DataFrame | None = None) -> DataFrame:
     """A row for each polymorphic site and product (``noncoding`` where none covers it), with its classes.
 
-    class compares the alleles of the sample with each other, class_vs_ref with the reference codon.
+    class compares the alleles of the sample with each other, class_vs_ref with the reference codon. ``every_cds``, in the
+    same coordinates, names the products of both strands, which all count as overlapping.
     """
     counts = with_diversity(pool_counts(variants)).where("polymorphic")
     codons = reference_codons(cds, reference)
@@ -76,20 +92,19 @@ def pool_sites(variants: DataFrame, cds: DataFrame, reference: DataFrame) -> Dat
     versus = F.when(F.forall("_other", lambda a: a == F.col("_ref")), "Synonymous").when(F.forall("_other", lambda a: a != F.col("_ref")), "Nonsynonymous").otherwise("Ambiguous")
     classes = classes.select("file", "site", "product", variant_type(F.col("_aa")).alias("class"), versus.alias("class_vs_ref"))
     placed = counts.join(cds.select("site", "product", "codon_num", "position_in_codon", "codon_start_site"), "site", "left").join(codons.select("product", "codon_num", "codon"), ["product", "codon_num"], "left")
-    found = placed.join(overlaps(cds), "site", "left").join(classes, ["file", "site", "product"], "left")
+    found = placed.join(overlaps(cds if every_cds is None else every_cds), "site", "left").join(classes, ["file", "site", "product"], "left")
     return found.select(
         "file", F.coalesce("product", F.lit("noncoding")).alias("product"), "site", "ref_nt", "maj_nt", "position_in_codon", F.coalesce("overlapping_ORFs", F.lit(0).cast("long")).alias("overlapping_ORFs"),
         "codon_start_site", "codon", "pi", "gdiv", "class_vs_ref", "class", "coverage", *BASES,
     )
 
 
-def pool_codons(variants: DataFrame, cds: DataFrame, reference: DataFrame) -> DataFrame:
-    """A row for each codon of each product: differences, sites and gene diversity; codons without variants have the reference's sites."""
+def pool_codons(variants: DataFrame, cds: DataFrame, reference: DataFrame, every_cds: DataFrame | None = None) -> DataFrame:
+    """A row for each codon of each product: differences, sites and gene diversity; codons without variants have the reference's sites. ``every_cds`` as in ``pool_sites``."""
     counts = with_diversity(pool_counts(variants))
     codons = reference_codons(cds, reference)
-    files = variants.select("file").distinct()
-    every = with_sites(codons).withColumnsRenamed({"n_sites": "N_sites_ref", "s_sites": "S_sites_ref"}).drop("aa").join(files)
-    covered = cds.join(overlaps(cds), "site").groupBy("product", "codon_num").agg(F.sum((F.col("overlapping_ORFs") > 0).cast("long")).alias("num_overlap_ORF_nts"))
+    every = with_every_file(with_sites(codons).withColumnsRenamed({"n_sites": "N_sites_ref", "s_sites": "S_sites_ref"}).drop("aa"), variants)
+    covered = cds.join(overlaps(cds if every_cds is None else every_cds), "site").groupBy("product", "codon_num").agg(F.sum((F.col("overlapping_ORFs") > 0).cast("long")).alias("num_overlap_ORF_nts"))
     alleles = _alleles(counts, cds, codons)
     place = ["file", "product", "codon_num"]
     share = F.try_divide(F.col("cnt"), F.col("coverage"))
@@ -158,10 +173,10 @@ def pool_population(codons: DataFrame, sites: DataFrame, cds: DataFrame, referen
     )
 
 
-def warnings(variants: DataFrame) -> DataFrame:
-    """file, site, message of what looks wrong in a report."""
+def warnings(variants: DataFrame, minfreq: float = 0.0) -> DataFrame:
+    """file, site, message of what looks wrong in a whole report, and of the alleles that ``minfreq`` leaves out."""
     rules = F.array(
         F.when(F.coalesce(F.col("coverage"), F.lit(0.0)) <= 0, "coverage is 0"), F.when(F.col("count") > F.col("coverage"), "more variant reads than coverage"),
-        F.when(F.length("ref") != F.length("alt"), "not a single-nucleotide variant"),
+        F.when(F.length("ref") != F.length("alt"), "not a single-nucleotide variant"), F.when(F.col("freq") < minfreq, F.concat(F.lit("left out by its frequency: "), "alt")),
     )
     return variants.select("file", "site", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("message"))

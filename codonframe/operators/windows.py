@@ -46,7 +46,7 @@ def between_windows(codons: DataFrame, size: int = 9, step: int = 1, min_total:
     keep = enough_taxa(min_total, min_group)
     sums = sliding_windows(codons, size, step, tuple(keys), keep)
     taxa = ["num_defined_codons_g1", "num_defined_codons_g2"]
-    rows = dense(codons.where(keep), keys, taxa)
+    rows = dense(codons.withColumns({t: F.when(keep, F.col(t)) for t in taxa}), keys, taxa)
     frame = Window.partitionBy(*keys).orderBy("codon_num").rangeBetween(0, size - 1)
     least = F.min(F.least(*taxa)).over(frame)
     stats = rows.select(
@@ -57,11 +57,12 @@ def between_windows(codons: DataFrame, size: int = 9, step: int = 1, min_total:
     return sums.join(stats, [*keys, "first_codon"], "left")
 
 
-def row_windows(codons: DataFrame, size: int, step: int = 1, min_defined: int = 2, numerator: str = "N", denominator: str = "S", by: tuple[str, ...] = ("product",)) -> DataFrame:
+def row_windows(codons: DataFrame, size: int, step: int = 1, min_defined: int = 2, numerator: str = "N", denominator: str = "S", by: tuple[str, ...] = ("product",), keep_columns: bool = False) -> DataFrame:
     """Windows of ``size`` rows, in order of codon number, over codons with at least ``min_defined`` sequences.
 
     numerator ``N`` or ``T`` and denominator ``S`` or ``N`` choose the columns.
-    Each window stands on its first codon's row: sw_start, sw_center, sw_end and sw_ columns.
+    Each window stands on its first codon's row: sw_start, sw_center, sw_end and sw_ columns. ``keep_columns``
+    returns every row of ``codons`` with all its columns; those on which no window begins have null sw_ columns.
     """
     keys = list(by)
     rows = codons.where(F.col("num_defined_seqs") >= min_defined)
@@ -75,7 +76,15 @@ def row_windows(codons: DataFrame, size: int, step: int = 1, min_defined: int =
     )
     found = found.where((F.col("_n") == size) & ((F.col("_row") - 1) % step == 0)).drop("_row", "_n")
     found = found.withColumns({"sw_dN": ratio(F.col("sw_N_diffs"), F.col("sw_N_sites")), "sw_dS": ratio(F.col("sw_S_diffs"), F.col("sw_S_sites"))})
-    return found.withColumns({"sw_dNdS": ratio(F.col("sw_dN"), F.col("sw_dS")), "sw_dN_m_dS": F.col("sw_dN") - F.col("sw_dS")})
+    found = found.withColumns({"sw_dNdS": ratio(F.col("sw_dN"), F.col("sw_dS")), "sw_dN_m_dS": F.col("sw_dN") - F.col("sw_dS")})
+    return on_rows(codons, found, by) if keep_columns else found
+
+
+def on_rows(codons: DataFrame, found: DataFrame, by: tuple[str, ...] = ("product",)) -> DataFrame:
+    """Every row of a codon table with its columns and, where a window begins, the window's; missing key values are equal to each other."""
+    other = found.select(*[F.col(c).alias(f"_{c}") for c in (*by, "codon_num")], *[c for c in found.columns if c not in codons.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "codon_num")]
+    return codons.join(other, same, "left").drop(*[f"_{c}" for c in (*by, "codon_num")])
 
 
 def with_excess_flag(windows: DataFrame, products: DataFrame, by: tuple[str, ...] = ("product",)) -> DataFrame:

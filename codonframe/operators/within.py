@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonframe.functions.stats import ratio
-from codonframe.genetics.code import with_differences, with_sites
+from codonframe.genetics.code import with_differences
 
-from .codons import KEY, mean_sites
+from .codons import KEY, places
 
 MEASURES = ("N_sites", "S_sites", "N_diffs", "S_diffs")
 
@@ -16,21 +16,20 @@ MEASURES = ("N_sites", "S_sites", "N_diffs", "S_diffs")
 def within_codon(counts: DataFrame) -> DataFrame:
     """A row for each codon place: variability, num_defined_seqs, comparisons, and the four measures.
 
-    Pairs are formed between the distinct codons of a place, at most 64, and weighted by their counts.
+    Pairs are formed inside a place's row, between its distinct codons, and weighted by their counts;
+    the sums over them need no shuffle of their own.
     """
-    sites = with_sites(counts).groupBy(*KEY).agg(*mean_sites(counts, KEY))
-    known = counts.where(F.col("codon").isNotNull())
-    pairs = known.withColumnsRenamed({"codon": "codon_a", "cnt": "cnt_a"}).join(known.withColumnsRenamed({"codon": "codon_b", "cnt": "cnt_b"}), list(KEY)).where(F.col("codon_a") < F.col("codon_b"))
-    weight = F.col("cnt_a") * F.col("cnt_b")
-    diffs = with_differences(pairs, "codon_a", "codon_b").groupBy(*KEY).agg(
-        F.sum(weight * F.col("n_diff")).alias("_nd"), F.sum(weight * F.col("s_diff")).alias("_sd"),
-        F.array_sort(F.collect_list(F.concat_ws("-", "codon_a", "codon_b"))).alias("comparisons"),
-    )
-    of_pairs = F.col("_n").cast("double") * (F.col("_n") - 1) / 2
+    a = F.col("alleles")
+    pairs = F.flatten(F.transform(a, lambda x, i: F.transform(F.slice(a, i + 2, F.size(a)), lambda y: F.struct(x["codon"].alias("a"), y["codon"].alias("b"), (x["cnt"] * y["cnt"]).alias("w")))))
+    rows = places(counts).withColumn("_pairs", pairs).withColumn("comparisons", F.transform("_pairs", lambda p: F.concat_ws("-", p["a"], p["b"])))
+    held = ["num_defined", "alleles", "comparisons", "N_sites", "S_sites"]
+    rows = rows.select(*KEY, *held, F.explode_outer("_pairs").alias("_p")).select(*KEY, *held, F.col("_p.a").alias("_x"), F.col("_p.b").alias("_y"), F.col("_p.w").alias("_w"))
+    sums = with_differences(rows, "_x", "_y").groupBy(*KEY).agg(*[F.first(c).alias(c) for c in held], F.sum(F.col("_w") * F.col("n_diff")).alias("_nd"), F.sum(F.col("_w") * F.col("s_diff")).alias("_sd"))
+    of_pairs = F.col("num_defined").cast("double") * (F.col("num_defined") - 1) / 2
     mean = lambda c: F.coalesce(F.try_divide(F.col(c), of_pairs), F.lit(0.0))
-    return sites.join(diffs, list(KEY), "left").select(
-        *KEY, F.when(F.col("_alleles") > 1, "polymorphic").otherwise("conserved").alias("variability"), F.col("_n").alias("num_defined_seqs"),
-        F.coalesce("comparisons", F.array().cast("array<string>")).alias("comparisons"), "N_sites", "S_sites", mean("_nd").alias("N_diffs"), mean("_sd").alias("S_diffs"),
+    return sums.select(
+        *KEY, F.when(F.size("alleles") > 1, "polymorphic").otherwise("conserved").alias("variability"), F.col("num_defined").alias("num_defined_seqs"),
+        "comparisons", "N_sites", "S_sites", mean("_nd").alias("N_diffs"), mean("_sd").alias("S_diffs"),
     )
 
 

@@ -35,9 +35,24 @@ def coding_products(segments: DataFrame) -> DataFrame:
 def cds_sites(segments: DataFrame) -> DataFrame:
     """product, strand, site, codon_num, position_in_codon (1 to 3), codon_start_site of each coding base; one row for a base and product."""
     products = coding_products(segments)
-    sites = products.select("product", "strand", F.posexplode(F.flatten(F.transform("segments", lambda s: F.sequence(s["start"], s["stop"])))).alias("_at", "site"), F.flatten(F.transform("segments", lambda s: F.sequence(s["start"], s["stop"]))).alias("_all"))
-    first = F.get("_all", (F.floor(F.col("_at") / 3) * 3).cast("int"))
-    return sites.select("product", "strand", "site", (F.floor(F.col("_at") / 3) + 1).cast("int").alias("codon_num"), (F.col("_at") % 3 + 1).cast("int").alias("position_in_codon"), first.alias("codon_start_site"))
+    # Each codon is made with its place, so that a base carries nothing of the rest of its product.
+    all_sites = F.flatten(F.transform("segments", lambda s: F.sequence(s["start"], s["stop"])))
+    rows = products.select("product", "strand", all_sites.alias("_all"))
+    numbers = F.sequence(F.lit(0), (F.size("_all") / 3).cast("int") - 1)
+    each = F.transform(numbers, lambda i: F.struct((i + 1).alias("n"), F.array(*[F.get("_all", i * 3 + k) for k in range(3)]).alias("at")))
+    found = rows.select("product", "strand", F.explode(each).alias("_c"))
+    found = found.select("product", "strand", F.col("_c.n").alias("codon_num"), F.col("_c.at")[0].alias("codon_start_site"), F.posexplode("_c.at").alias("_at", "site"))
+    return found.select("product", "strand", "site", "codon_num", (F.col("_at") + 1).cast("int").alias("position_in_codon"), "codon_start_site")
+
+
+def both_strands(segments: DataFrame, length) -> DataFrame:
+    """cds_sites of the products of both strands, in the coordinates of the + strand of a sequence of ``length``."""
+    from codonframe.operators.revcom import revcom_segments
+
+    other = cds_sites(revcom_segments(segments.where(F.col("strand") == "-"), length)).withColumn("strand", F.lit("-"))
+    size = F.lit(length) if isinstance(length, int) else length
+    turned = other.withColumns({"site": size - F.col("site") + 1, "codon_start_site": size - F.col("codon_start_site") + 1})
+    return cds_sites(segments.where(F.col("strand") == "+")).unionByName(turned)
 
 
 def write_gtf(segments: DataFrame, path: str, source: str = "codonframe") -> None:

@@ -37,13 +37,13 @@ def with_codon_numbers(df: DataFrame) -> DataFrame:
     """codon_num and num_defined_seqs for each kind of codon table.
 
     Between groups the smaller group counts. Pool tables name a codon's first
-    site: numbers follow from the sites where all of a product are in one frame, else from their order.
+    site: numbers follow from the sites where all of a product of a file are in one frame, else from their order.
     """
     kind = codon_schema(df)
     if kind == "pool":
         from pyspark.sql import Window
 
-        product = Window.partitionBy("product")
+        product = Window.partitionBy(*[c for c in ("file", "product", "strand") if c in df.columns])
         frame = (F.col("site").cast("int") - F.min(F.col("site").cast("int")).over(product)) / 3 + 1
         df = df.withColumn("_frame", frame).withColumn("_bad", F.max((F.col("_frame") != F.floor("_frame")).cast("int")).over(product))
         order = F.row_number().over(product.orderBy(F.col("site").cast("int")))

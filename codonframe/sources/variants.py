@@ -6,9 +6,12 @@ products (array of the annotations the report names; null where it names none).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codonframe.functions.sequence import reverse_complement_allele
+
 COLUMNS = ("file", "site", "ref", "alt", "count", "coverage", "freq", "products")
 CLC = {"site": "Reference Position", "type": "Type", "ref": "Reference", "alt": "Allele", "count": "Count", "coverage": "Coverage", "freq": "Frequency", "products": "Overlapping annotations"}
 GENEIOUS = {"site": "Minimum", "last": "Maximum", "type": "Polymorphism Type", "product": "product", "change": "Change", "coverage": "Coverage", "freq": "Variant Frequency"}
@@ -103,6 +106,40 @@ def read_vcf(spark: SparkSession, path: str, vcf_format: int) -> DataFrame:
     return parse_vcf(rows, vcf_format, names[9:])
 
 
+def read_vcf_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Rows of one VCF file with their columns as text and ``_line``, an order of the file; its ``##`` lines and its column names."""
+    lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("_line"))
+    head = [r["value"] for r in lines.where(F.col("value").startswith("#")).orderBy("_line").collect()]  # a header, not the variants
+    names = next((h.lstrip("#").split("\t") for h in head if h.startswith("#CHROM")), None)
+    if names is None:
+        raise ValueError(f"{path} has no #CHROM line")
+    part = F.split("value", "\t")
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("_line", *[F.get(part, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return rows.withColumn("POS", F.col("POS").cast("int")), [h for h in head if h.startswith("##")], names
+
+
+def write_vcf(rows: DataFrame, path: str, head: list[str], names: list[str]) -> None:
+    """Text files in the order of POS, each with the whole header, so that each is a VCF of its own."""
+    body = rows.select("POS", F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit(".")) for n in names]).alias("value"))
+    top = "\n".join([*head, "#" + "\t".join(names)])
+
+    def headed(batches):
+        begun = False
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun = True
+                yield pa.RecordBatch.from_arrays([pa.array([top])], schema=batch.schema)
+            yield batch
+
+    body.repartitionByRange("POS").sortWithinPartitions("POS").select("value").mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+
+
+def revcom_variants(variants: DataFrame, length: Column | int) -> DataFrame:
+    """Variants of one base as the other strand of a sequence of ``length`` has them."""
+    size = F.lit(length) if isinstance(length, int) else length
+    return variants.withColumns({"site": (size - F.col("site") + 1).cast("int"), "ref": reverse_complement_allele(F.col("ref")), "alt": reverse_complement_allele(F.col("alt"))})
+
+
 def merged(variants: DataFrame) -> DataFrame:
     """One row for a file, site and alternative: counts of repeated rows are summed."""
     key = ["file", "site", "ref", "alt"]

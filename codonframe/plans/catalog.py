@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from codonframe.functions import sequence, stats, tajima
 from codonframe.genetics.code import codon_dim, codon_pair_dim
 from codonframe.operators import alleles, between, bootstrap, codons, pool, revcom, windows, within
-from codonframe.sources import gtf, variants as reports
+from codonframe.sources import fasta, gtf, tables
+from codonframe.sources import variants as reports
 
 from . import oracle as o
 from . import views
@@ -107,9 +108,12 @@ def fasta_wrap(spark, d):
     return views.dna(spark, d).select("doc_id", sequence.wrapped(F.col("seq")).alias("wrapped"))
 
 
-@query(f"WITH {_DNA} SELECT doc_id, substr(seq, 1, 6) || substr(seq, 10, 6) AS cds FROM dna")
+@query(f"WITH {_DNA} SELECT doc_id, substr(seq, 1, length(seq) // 3) || substr(seq, length(seq) - length(seq) // 3 + 1, length(seq) // 3) AS cds FROM dna")
 def splice_segments(spark, d):
-    parts = F.array(F.struct(F.lit(1).alias("start"), F.lit(6).alias("stop")), F.struct(F.lit(10).alias("start"), F.lit(15).alias("stop")))
+    """The first and the last third of each sequence."""
+    size = F.length("seq")
+    third = F.floor(size / 3).cast("int")
+    parts = F.array(F.struct(F.lit(1).alias("start"), third.alias("stop")), F.struct((size - third + 1).alias("start"), size.alias("stop")))
     return views.dna(spark, d).select("doc_id", sequence.spliced(F.col("seq"), parts).alias("cds"))
 
 
@@ -142,6 +146,32 @@ def revcom_vcf(spark, d):
 # --- counts, within and between groups --------------------------------------------------------------------------
 
 
+def _from_fasta(spark, d):
+    seqs = codons.validated(fasta.parse_fasta(views.fasta_records(spark, d)))
+    return codons.codon_counts(codons.codon_columns(seqs, views.fasta_products(spark)))
+
+
+@query(o.with_(o.TABLES, o.FASTA) + ' SELECT grp AS "group", product, codon_num, codon, cnt FROM cc')
+def fasta_codons(spark, d):
+    """From FASTA records and annotated products to codon counts."""
+    return _from_fasta(spark, d)
+
+
+@query(o.with_(o.TABLES, o.FASTA, o.WITHIN) + f' SELECT grp AS "group", product, {o.FOUR}, {o.RATES} FROM wp')
+def fasta_within(spark, d):
+    return rounded(within.product_results(within.within_codon(_from_fasta(spark, d))))
+
+
+@query(o.with_(o.TABLES, o.FASTA, o.WITHIN, o.BETWEEN) + f" SELECT product, group_1, group_2, {o.FOUR}, {o.RATES} FROM bp")
+def fasta_between(spark, d):
+    return rounded(between.between_product(between.between_codon(_from_fasta(spark, d))))
+
+
+@query(o.with_(o.FASTA) + """ SELECT grp AS "group", CAST(i AS INT) AS site, count(*) FILTER (WHERE nt = 'A') AS "A", count(*) FILTER (WHERE nt = 'C') AS "C", count(*) FILTER (WHERE nt = 'G') AS "G", count(*) FILTER (WHERE nt = 'T') AS "T" FROM fb GROUP BY grp, i""")
+def fasta_sites(spark, d):
+    return alleles.site_counts(codons.validated(fasta.parse_fasta(views.fasta_records(spark, d))))
+
+
 @query(o.with_(o.TABLES, o.ALIGNMENT) + ' SELECT grp AS "group", product, codon_num, codon, cnt FROM cc')
 def codon_counts(spark, d):
     return _counts(spark, d)
@@ -287,11 +317,10 @@ def window_rows(spark, d):
 bspan AS (SELECT product, group_1, group_2, min(codon_num) AS lo, count(*) AS n FROM bc GROUP BY ALL),
 bst AS (SELECT product, group_1, group_2, CAST(unnest(range(lo, lo + n - 9 + 1, 1)) AS INT) AS f FROM bspan WHERE n >= 9)
 SELECT s.product, s.group_1, s.group_2, f AS first_codon, CAST(coalesce(sum(d1), 0) AS BIGINT) AS num_defined_codons_g1, CAST(coalesce(sum(d2), 0) AS BIGINT) AS num_defined_codons_g2,
- coalesce(sum(d1) + sum(d2), 0) / 2.0 AS mean_num_defined_codons, least(min(least(d1, d2)), 1000) AS min_num_defined_codons, round(coalesce(sum(N_diffs), 0), 8) AS N_diffs, round(coalesce(sum(S_sites), 0), 8) AS S_sites
-FROM bst s JOIN keep k ON k.product = s.product AND k.group_1 = s.group_1 AND k.group_2 = s.group_2 AND k.codon_num BETWEEN f AND f + 8 GROUP BY s.product, s.group_1, s.group_2, f""")
+ coalesce(sum(d1) + sum(d2), 0) / 2.0 AS mean_num_defined_codons, CAST(min(least(d1, d2)) AS BIGINT) AS min_num_defined_codons, round(coalesce(sum(N_diffs), 0), 8) AS N_diffs, round(coalesce(sum(S_sites), 0), 8) AS S_sites
+FROM bst s LEFT JOIN keep k ON k.product = s.product AND k.group_1 = s.group_1 AND k.group_2 = s.group_2 AND k.codon_num BETWEEN f AND f + 8 GROUP BY s.product, s.group_1, s.group_2, f""")
 def window_taxa_stats(spark, d):
-    found = windows.between_windows(_between(spark, d), 9, 1, 0, 40, 1000)
-    found = found.where(F.col("num_defined_codons_g1") > 0)
+    found = windows.between_windows(_between(spark, d), 9, 1, 0, 40)
     return rounded(found.select("product", "group_1", "group_2", "first_codon", "num_defined_codons_g1", "num_defined_codons_g2", "mean_num_defined_codons", F.col("min_num_defined_codons").cast("long").alias("min_num_defined_codons"), "N_diffs", "S_sites"))
 
 
@@ -302,6 +331,16 @@ def window_dn_gt_total_ds(spark, d):
     return windows.with_excess_flag(_windows(spark, d), products, ("group", "product")).select("group", "product", "first_codon", "dN_gt_total_dS")
 
 
+@query(W + """, ok AS (SELECT *, row_number() OVER (PARTITION BY grp, product ORDER BY codon_num) AS r FROM wc WHERE n >= 50),
+rw AS (SELECT s.grp, s.product, s.codon_num, max(e.codon_num) AS sw_end, sum(e.N_diffs + e.S_diffs) AS d FROM ok s JOIN ok e ON e.grp = s.grp AND e.product = s.product AND e.r BETWEEN s.r AND s.r + 9
+ WHERE (s.r - 1) % 2 = 0 GROUP BY s.grp, s.product, s.codon_num HAVING count(*) = 10)
+SELECT wc.grp AS "group", wc.product, wc.codon_num, wc.variability, wc.n AS num_defined_seqs, round(wc.N_sites, 8) AS N_sites, sw_end, round(d, 8) AS sw_diffs FROM wc LEFT JOIN rw ON rw.grp = wc.grp AND rw.product = wc.product AND rw.codon_num = wc.codon_num""")
+def window_rows_on_table(spark, d):
+    """Every row of the codon table with its columns, and the windows that begin there."""
+    found = windows.row_windows(_within(spark, d), 10, 2, 50, by=("group", "product"), keep_columns=True)
+    return rounded(found.select("group", "product", "codon_num", "variability", "num_defined_seqs", "N_sites", "sw_end", (F.col("sw_N_diffs") + F.col("sw_S_diffs")).alias("sw_diffs")))
+
+
 # --- bootstrap --------------------------------------------------------------------------------------------------
 
 REPS = 50
@@ -359,10 +398,70 @@ rb AS (SELECT rd.grp, rd.product, sw_start, rep, sum(N_sites) AS N_sites, sum(S_
 
 
 @query(W + _ROWS + f""" SELECT grp AS "group", product, sw_start, count(*) AS sw_num_replicates, round(stddev_samp({o.DN}), 8) AS "sw_boot_dN_SE", round(stddev_samp({o.DN} - {o.DS}), 8) AS "sw_boot_dN_m_dS_SE",
- count(*) FILTER (WHERE {o.DN} - {o.DS} > 0) AS "sw_boot_dN_gt_dS_count", count(*) FILTER (WHERE {o.DN} - {o.DS} < 0) AS "sw_boot_dN_lt_dS_count" FROM rb GROUP BY ALL""")
+ count(*) FILTER (WHERE {o.DN} - {o.DS} > 0) AS "sw_boot_dN_gt_dS_count", count(*) FILTER (WHERE {o.DN} - {o.DS} < 0) AS "sw_boot_dN_lt_dS_count",
+ round(CASE WHEN least(count(*) FILTER (WHERE {o.DN} - {o.DS} > 0), count(*) FILTER (WHERE {o.DN} - {o.DS} < 0)) = 0 THEN 1.0 / count(*)
+  ELSE 2.0 * least(count(*) FILTER (WHERE {o.DN} - {o.DS} > 0), count(*) FILTER (WHERE {o.DN} - {o.DS} < 0)) / count({o.DN} - {o.DS}) END, 8) AS "sw_ASL_dNdS_P" FROM rb GROUP BY ALL""")
 def boot_row_windows(spark, d):
     found = bootstrap.row_window_tests(_within(spark, d), 10, 20, 3, 2, 50, by=("group", "product"), arithmetic=True)
-    return rounded(found.select("group", "product", "sw_start", "sw_num_replicates", "sw_boot_dN_SE", "sw_boot_dN_m_dS_SE", "sw_boot_dN_gt_dS_count", "sw_boot_dN_lt_dS_count"))
+    return rounded(found.select("group", "product", "sw_start", "sw_num_replicates", "sw_boot_dN_SE", "sw_boot_dN_m_dS_SE", "sw_boot_dN_gt_dS_count", "sw_boot_dN_lt_dS_count", "sw_ASL_dNdS_P"))
+
+
+_WBOOT = """, {p}sums AS (SELECT {k}, f, rep, {sums} FROM {p}draw GROUP BY ALL),
+{p}se AS (SELECT {k}, f, stddev_samp({dn}) AS sn, stddev_samp({dn} - {ds}) AS sd, count(*) FILTER (WHERE {dn} - {ds} > 0) AS gt, count(*) FILTER (WHERE {dn} - {ds} = 0) AS eq, count(*) FILTER (WHERE {dn} - {ds} < 0) AS lt FROM {p}sums GROUP BY ALL),
+{p}z AS (SELECT {p}se.*, N_diffs, {dn} - {ds} AS x, CASE WHEN sd > 0 THEN ({dn} - {ds}) / sd END AS z FROM {p}se JOIN {p}win USING ({k}, f))
+SELECT {names}, CAST(f AS INT) AS first_codon, round(N_diffs, 8) AS N_diffs, round(sn, 8) AS "SE_dN", round(sd, 8) AS "SE_dN_minus_dS", round(z, 6) AS "Z_value", {stars} AS significance, gt AS "dN_gt_dS_count", lt AS "dN_lt_dS_count",
+ round(CASE WHEN gt + eq + lt = 0 THEN 1.0 WHEN least(gt, lt) = 0 THEN 1.0 / 20 ELSE 2.0 * least(gt, lt) / (gt + eq + lt) END, 8) AS "ASL_dNdS_P" FROM {p}z"""
+_WTESTS = ("first_codon", "N_diffs", "SE_dN", "SE_dN_minus_dS", "Z_value", "significance", "dN_gt_dS_count", "dN_lt_dS_count", "ASL_dNdS_P")
+
+
+def _window_tests(sql, p, k, names):
+    sums = ", ".join(f"sum({m}) AS {m}" for m in FOUR)
+    return sql + _WBOOT.format(p=p, k=k, names=names, dn=o.DN, ds=o.DS, sums=sums, stars=_STARS)
+
+
+def _tested(df, *by):
+    return rounded(df.withColumn("Z_value", F.round("Z_value", 6) + F.lit(0.0)).select(*by, *_WTESTS))
+
+
+_ZERO = ", ".join(f"coalesce({m}, 0) AS {m}" for m in FOUR)
+
+
+@query(_window_tests(W + _RANGE + f""", xwin AS (SELECT * FROM win),
+xdraw AS (SELECT s.grp, s.product, s.f, rep, {_ZERO} FROM starts s CROSS JOIN range(1, 21) t(rep) CROSS JOIN range(1, 10) u(dr)
+ LEFT JOIN wc ON wc.grp = s.grp AND wc.product = s.product AND wc.codon_num = s.f + ((rep * 7919 + dr * 104729 + 3 * 31) % 1000003) % 9)""", "x", "grp, product", 'grp AS "group", product'))
+def window_boot_within(spark, d):
+    by = ("group", "product")
+    return _tested(bootstrap.window_tests(_within(spark, d), _windows(spark, d), 20, 3, by, arithmetic=True), *by)
+
+
+@query(_window_tests(B + f""", keep AS (SELECT * FROM bc WHERE least(d1, d2) >= 40),
+bspan AS (SELECT product, group_1, group_2, min(codon_num) AS lo, count(*) AS n FROM bc GROUP BY ALL),
+bst AS (SELECT product, group_1, group_2, CAST(unnest(range(lo, lo + n - 9 + 1, 3)) AS INT) AS f FROM bspan WHERE n >= 9),
+ywin AS (SELECT s.product, s.group_1, s.group_2, f, {", ".join(f"coalesce(sum({m}), 0) AS {m}" for m in FOUR)} FROM bst s LEFT JOIN keep k ON k.product = s.product AND k.group_1 = s.group_1 AND k.group_2 = s.group_2 AND k.codon_num BETWEEN f AND f + 8 GROUP BY ALL),
+ydraw AS (SELECT s.product, s.group_1, s.group_2, s.f, rep, {_ZERO} FROM bst s CROSS JOIN range(1, 21) t(rep) CROSS JOIN range(1, 10) u(dr)
+ LEFT JOIN keep k ON k.product = s.product AND k.group_1 = s.group_1 AND k.group_2 = s.group_2 AND k.codon_num = s.f + ((rep * 7919 + dr * 104729 + 3 * 31) % 1000003) % 9)""", "y", "product, group_1, group_2", "product, group_1, group_2"))
+def window_boot_between(spark, d):
+    """Windows between groups with their bootstrap; codons with too few taxa are drawn and add nothing."""
+    codons_, by = _between(spark, d), ("product", "group_1", "group_2")
+    found = windows.between_windows(codons_, 9, 3, 0, 40)
+    return _tested(bootstrap.window_tests(codons_, found, 20, 3, by, arithmetic=True, keep=between.enough_taxa(0, 40)), *by)
+
+
+_BBOOT = f""", bn AS (SELECT product, group_1, group_2, count(*) AS n FROM bc GROUP BY ALL), bi AS (SELECT *, row_number() OVER (PARTITION BY product, group_1, group_2 ORDER BY codon_num) AS i FROM bc),
+bdraw AS (SELECT bn.product, bn.group_1, bn.group_2, rep, ((rep * 7919 + dr * 104729 + 3 * 31) % 1000003) % n + 1 AS i FROM bn, range(1, {REPS + 1}) t(rep), range(1, 61) u(dr) WHERE dr <= n),
+bb AS (SELECT bdraw.product, bdraw.group_1, bdraw.group_2, rep, {", ".join(f"sum({m}) AS {m}" for m in FOUR)} FROM bdraw JOIN bi ON bi.product = bdraw.product AND bi.group_1 = bdraw.group_1 AND bi.group_2 = bdraw.group_2 AND bi.i = bdraw.i GROUP BY ALL),
+bz AS (SELECT product, group_1, group_2, stddev_samp({_JC.format(o.DN)}) AS sjn, stddev_samp({_JC.format(o.DN)} - {_JC.format(o.DS)}) AS sjd FROM bb GROUP BY ALL),
+bx AS (SELECT product, group_1, group_2, {_JC.format(o.DN)} - {_JC.format(o.DS)} AS x FROM bp), byz AS (SELECT *, CASE WHEN sjd > 0 THEN x / sjd END AS z FROM bx JOIN bz USING (product, group_1, group_2))"""
+
+
+@query(B + _BBOOT + f' SELECT product, group_1, group_2, round(sjn, 8) AS "SE_JC_dN", round(sjd, 8) AS "SE_JC_dN_minus_dS", round(z, 6) AS "JC_Z_value", {_STARS} AS "JC_significance" FROM byz')
+def jc_z(spark, d):
+    """Standard errors, Z and significance of corrected rates between groups."""
+    codons_, by = _between(spark, d), ("product", "group_1", "group_2")
+    errors = bootstrap.standard_errors(bootstrap.replicates(codons_, REPS, 3, by, arithmetic=True), by, jukes_cantor=True)
+    found = bootstrap.with_z_test(between.with_jukes_cantor(between.between_product(codons_)), errors, by)
+    found = found.withColumn("JC_Z_value", F.round("JC_Z_value", 6) + F.lit(0.0))
+    return rounded(found.select(*by, "SE_JC_dN", "SE_JC_dN_minus_dS", "JC_Z_value", "JC_significance"))
 
 
 @query()
@@ -385,23 +484,21 @@ def normal_p(spark, d):
 # --- Tajima's D -------------------------------------------------------------------------------------------------
 
 _TAJIMA = """
-WITH g AS (SELECT l_suppkey AS id, least(count(*), 400) AS n, count(DISTINCT l_partkey) % 97 + 1 AS s, (sum(l_linenumber) % 1000) / 37.0 AS k FROM lineitem GROUP BY l_suppkey HAVING count(*) > 1),
+WITH g AS (SELECT l_suppkey AS id, count(*) AS n, count(DISTINCT l_partkey) % 97 + 1 AS s, (sum(l_linenumber) % 1000) / 37.0 AS k FROM lineitem GROUP BY l_suppkey HAVING count(*) > 1),
 h AS (SELECT *, list_sum(list_transform(range(1, CAST(n AS INT)), lambda i: 1.0::DOUBLE / i)) AS a1, list_sum(list_transform(range(1, CAST(n AS INT)), lambda i: 1.0::DOUBLE / (i * i))) AS a2, CAST(n AS DOUBLE) AS m FROM g),
 e AS (SELECT *, ((m + 1) / (3 * (m - 1)) - 1 / a1) / a1 AS e1, (2 * (m * m + m + 3) / (9 * m * (m - 1)) - (m + 2) / (a1 * m) + a2 / (a1 * a1)) / (a1 * a1 + a2) AS e2 FROM h)"""
 
 
-def _tajima(spark, d, most=None):
-    """``most`` bounds the sample size, as the SQL of tajima_d does."""
-    n = F.count("*") if most is None else F.least(F.count("*"), F.lit(most))
+def _tajima(spark, d):
     rows = views.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(
-        n.alias("n"), (F.count_distinct("l_partkey") % 97 + 1).alias("s"), ((F.sum("l_linenumber") % 1000) / 37.0).alias("k"), F.count("*").alias("_all")
+        F.count("*").alias("n"), (F.count_distinct("l_partkey") % 97 + 1).alias("s"), ((F.sum("l_linenumber") % 1000) / 37.0).alias("k")
     )
-    return rows.where(F.col("_all") > 1).select("id", "n", "s", tajima.tajima_d(F.col("n"), F.col("s"), F.col("k")).alias("D"))
+    return rows.where(F.col("n") > 1).select("id", "n", "s", tajima.tajima_d(F.col("n"), F.col("s"), F.col("k")).alias("D"))
 
 
 @query(_TAJIMA + ' SELECT id, n, s, round((k - s / a1) / sqrt(e1 * s + e2 * s * (s - 1)), 6) AS "D" FROM e')
 def tajima_d(spark, d):
-    return rounded(_tajima(spark, d, 400), 6)
+    return rounded(_tajima(spark, d), 6)
 
 
 @query()
@@ -466,6 +563,41 @@ def pool_population(spark, d):
     return rounded(pool.pool_population(pool.pool_codons(variants, cds, reference), pool.pool_sites(variants, cds, reference), cds, reference), 7)
 
 
+@query(P + f""", slide AS (SELECT file, product, CAST(f AS INT) AS first_codon, round(coalesce(sum(N_diffs), 0), 8) AS N_diffs, round(coalesce(sum(S_sites), 0), 8) AS S_sites
+ FROM (SELECT file, product, unnest(range(min(codon_num), max(codon_num) - 9 + 2)) AS f FROM pcod GROUP BY file, product) s JOIN pcod c USING (file, product) WHERE c.codon_num BETWEEN f AND f + 8 GROUP BY file, product, f)
+SELECT * FROM slide""")
+def pool_window(spark, d):
+    found = windows.sliding_windows(pool.pool_codons(*_pool(spark, d)), 9, 1, ("file", "product"))
+    return rounded(found.select("file", "product", "first_codon", "N_diffs", "S_sites"))
+
+
+@query(o.with_(o.TABLES, o.MINUS) + ' SELECT file, product, CAST(codon_num AS INT) AS codon_num, site, codon, ' + ", ".join(f'round({m}, 8) AS "{m}"' for m in _PC) + " FROM pcod")
+def pool_minus_strand(spark, d):
+    """Codons of the other strand's products, in its coordinates."""
+    variants = reports.revcom_variants(views.variants(spark, d), views.GENOME)
+    segments = revcom.revcom_segments(views.both_segments(spark), views.GENOME).where("strand = '+'")
+    reference = views.reference(spark).select((F.lit(views.GENOME + 1) - F.col("site")).alias("site"), sequence.reverse_complement(F.col("ref_nt")).alias("ref_nt"))
+    return rounded(pool.pool_codons(variants, gtf.cds_sites(segments), reference).drop("num_overlap_ORF_nts"))
+
+
+@query(f"""WITH seg(product, a, b) AS (VALUES {", ".join(f"('{p}', {a}, {b})" for p, a, b in views.SEGMENTS + views.MINUS_SEGMENTS)})
+SELECT CAST(i AS INT) AS site, count(DISTINCT product) - 1 AS "overlapping_ORFs" FROM seg, range(1, {views.GENOME + 1}) t(i) WHERE i BETWEEN a AND b GROUP BY i""")
+def overlap_both_strands(spark, d):
+    return pool.overlaps(gtf.both_strands(views.both_segments(spark), views.GENOME))
+
+
+@query(P + """ SELECT file, site, 'left out by its frequency: ' || alt AS message FROM v WHERE freq < 0.1""")
+def pool_log(spark, d):
+    return pool.warnings(views.variants(spark, d), 0.1)
+
+
+@query(P + """, m AS (SELECT file, product, min(site) AS lo, max((site - 100) % 3) AS x FROM pcod GROUP BY ALL), b AS (SELECT pcod.*, (pcod.site - lo) % 3 AS rest, (pcod.site - lo) // 3 + 1 AS frame FROM pcod JOIN m USING (file, product))
+SELECT file, product, site, CAST(CASE WHEN max(rest) OVER (PARTITION BY file, product) > 0 THEN row_number() OVER (PARTITION BY file, product ORDER BY site) ELSE frame END AS INT) AS codon_num FROM b""")
+def pool_codon_numbers(spark, d):
+    """Codon numbers of a pool table of several files, from the first sites of its codons."""
+    return tables.with_codon_numbers(pool.pool_codons(*_pool(spark, d)).drop("codon_num")).select("file", "product", "site", "codon_num")
+
+
 @query(P + " SELECT site, overlapping AS overlapping_ORFs FROM ov")
 def overlap_orfs(spark, d):
     return pool.overlaps(views.coding(spark))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .views import GENOME, SEGMENTS
+from .views import FASTA_PRODUCTS, GENOME, MINUS_SEGMENTS, SEGMENTS
 
 # Fixed value: the genetic code in the order AAA, AAC ... TTT.
 CODE = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
@@ -93,7 +93,7 @@ segsite AS (SELECT product, CAST(i AS INT) AS site FROM seg, range(1, {GENOME +
 cds AS (SELECT product, site, (row_number() OVER (PARTITION BY product ORDER BY site) - 1) // 3 + 1 AS codon_num, (row_number() OVER (PARTITION BY product ORDER BY site) - 1) % 3 + 1 AS pc FROM segsite),
 rc AS (SELECT product, codon_num, string_agg(ref_nt, '' ORDER BY pc) AS codon, min(site) AS start_site FROM cds JOIN pref USING (site) GROUP BY ALL),
 ov AS (SELECT site, count(DISTINCT product) - 1 AS overlapping FROM cds GROUP BY site),
-vraw AS (SELECT 'F' || CAST(l_linenumber % 2 AS VARCHAR) AS file, l_partkey % {GENOME} + 1 AS site, l_suppkey AS sk FROM lineitem WHERE l_orderkey % 7 = 0),
+vraw AS (SELECT 'F' || CAST(l_linenumber % 2 AS VARCHAR) AS file, l_partkey % {GENOME} + 1 AS site, l_suppkey AS sk FROM lineitem),
 vidx AS (SELECT file, CAST(site AS INT) AS site, (site * site + site // 7) % 4 AS ix, sk FROM vraw),
 v1 AS (SELECT file, site, substr('ACGT', CAST(ix AS INT) + 1, 1) AS ref, substr('ACGT', CAST((ix + 1 + sk % 3) % 4 AS INT) + 1, 1) AS alt, CAST(count(*) AS DOUBLE) AS cnt FROM vidx GROUP BY ALL),
 vdep AS (SELECT file, site, sum(cnt) + 20 + site % 13 AS coverage FROM v1 GROUP BY file, site),
@@ -146,5 +146,24 @@ once AS (
   SELECT file, site, max(pi) AS pi, max(gdiv) AS gdiv, min(class) AS class, bool_or(product <> 'noncoding') AS coding FROM ps GROUP BY file, site)"""
 
 
+# A base of the made-up sequences; codons from the sites of each product in order of their starts.
+FASTA = """
+fp(product, a, b) AS (VALUES {products}),
+fs AS (SELECT product, CAST(i AS INT) AS i, row_number() OVER (PARTITION BY product ORDER BY a, i) - 1 AS place FROM fp, range(1, 61) t(i) WHERE i BETWEEN a AND b),
+fb AS (SELECT c_custkey AS k, 'g' || CAST(c_nationkey % 3 AS VARCHAR) AS grp, i,
+  CASE WHEN (c_custkey + i) % 41 = 0 THEN 'N' ELSE substr('ACGT', CAST((c_custkey * (i + 3) + i * i + (c_custkey * c_custkey // 7) % (i + 2)) % 4 AS INT) + 1, 1) END AS nt FROM customer, range(1, 61) t(i)),
+fc AS (SELECT k, grp, product, CAST(place // 3 + 1 AS INT) AS codon_num, string_agg(nt, '' ORDER BY place) AS codon FROM fb JOIN fs USING (i) GROUP BY k, grp, product, place // 3),
+cc AS (SELECT grp, product, codon_num, CASE WHEN regexp_matches(codon, '^[ACGT]{{3}}$') THEN codon END AS codon, CAST(count(*) AS BIGINT) AS cnt FROM fc
+  GROUP BY ALL)""".format(products=", ".join(f"('{p}', {a}, {b})" for p, a, b in FASTA_PRODUCTS))
+
+# The reference, the variants and the products of the other strand, in its own coordinates.
+MINUS = (
+    POOL.replace(_SEGMENTS, ", ".join(f"('{p}', {GENOME} - {b} + 1, {GENOME} - {a} + 1)" for p, a, b in MINUS_SEGMENTS))
+    .replace("pref AS (SELECT CAST(i AS INT) AS site, substr('ACGT'", "pref AS (SELECT CAST(%d - i AS INT) AS site, substr('TGCA'" % (GENOME + 1))
+    .replace("v1 AS (SELECT file, site, substr('ACGT', CAST(ix AS INT) + 1, 1) AS ref, substr('ACGT'", "v1 AS (SELECT file, %d - site AS site, substr('TGCA', CAST(ix AS INT) + 1, 1) AS ref, substr('TGCA'" % (GENOME + 1))
+    .replace("site % 13 AS coverage", "(%d - site) %% 13 AS coverage" % (GENOME + 1))
+)
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts)

@@ -28,8 +28,3 @@ def stream_within(seqs: DataFrame, products: DataFrame, results: str, checkpoint
         product_results(within_codon(counts)).write.mode("overwrite").parquet(f"{results}/batch={number}")
 
     return seqs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def stream_counts(columns: DataFrame) -> DataFrame:
-    """Running codon counts of a stream of (group, product, codon_num, codon), for output mode ``complete`` or ``update``."""
-    return codon_counts(columns)

@@ -88,10 +88,26 @@ def test_segments_in_any_order_and_lengths(spark):
     assert [r.codon for r in found] == ["ATG", "AAA", "TTT"]
     with pytest.raises(Exception, match="multiple of 3"):
         counts(spark, ((1, 4),), g=["ATGC"]).collect()
+    with pytest.raises(Exception, match="beyond the end"):
+        counts(spark, ((1, 6),), g=["ATGC"]).collect()
     with pytest.raises(Exception, match="different lengths"):
         codons.validated(sequences(spark, g=["ATG", "AT"])).collect()
 
 
+def test_annotations_of_any_size(spark, monkeypatch):
+    """Products in several buckets, sent out or joined by bucket."""
+    monkeypatch.setattr(codons, "BUCKET_ROWS", 3)
+    seqs = sequences(spark, g=ONE[:2], h=TWO)
+    products = coding_products(spark.createDataFrame([(f"P{i}", 1 + i % 4, 6 + i % 4, "+") for i in range(20)], "product string, start int, stop int, strand string"))
+    want = None
+    for limit in (0, 64 << 20):
+        monkeypatch.setattr(codons, "BROADCAST_BYTES", limit)
+        found = sorted(tuple(r) for r in codons.codon_columns(seqs, products).collect())
+        assert len(found) == 5 * 20 * 2 and found == (want or found)
+        want = found
+    assert codons.codon_columns(seqs, products.limit(0)).count() == 0
+
+
 def table(spark, numbers, product="P"):
     return spark.createDataFrame([(product, n, 2.0, 1.0, 0.1 * n, 0.2, 5.0) for n in numbers], "product string, codon_num int, N_sites double, S_sites double, N_diffs double, S_diffs double, num_defined_seqs double")
 

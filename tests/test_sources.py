@@ -14,6 +14,9 @@ def test_fasta_files_and_quirks(spark, tmp_path):
     (tmp_path / "c.txt").write_text(">no\nAAA\n")
     found = {(r.group, r.header): r.seq for r in fasta.read_fasta(spark, str(tmp_path)).collect()}
     assert found == {("a.fasta", "one > two"): "ACGTAC", ("a.fasta", "three"): "TTTTTT", ("b.fas", "x"): "ACGTNN"}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "d.fa").write_bytes(b">one\racgu\rAC\r>two > x\rTTT\r")
+    assert {r.header: r.seq for r in fasta.read_fasta(spark, str(tmp_path / "m")).collect()} == {"one": "ACGTAC", "two > x": "TTT"}
     with pytest.raises(ValueError):
         fasta.read_reference(spark, str(tmp_path / "a.fasta"))
     assert fasta.read_reference(spark, str(tmp_path / "b.fas")).first().seq == "ACGTNN"
@@ -73,12 +76,26 @@ def test_pool_counts_classes_and_warnings(spark):
     assert {(x.site, x.message) for x in pool.warnings(v).collect()} == {(9, "coverage is 0")}
 
 
+def test_reference_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pool, "PIECE", 7)
+    for seq in ("", "ACGTACG", "ACGTACGTTTNACGT"):
+        found = pool.reference_sites(spark.createDataFrame([("c", seq)], "chrom string, seq string")).orderBy("site").collect()
+        assert [(r.site, r.ref_nt) for r in found] == list(enumerate(seq, 1))
+
+
 def test_codon_tables_of_each_kind(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("product\tcodon\tnum_defined_codons_g1\tnum_defined_codons_g2\tN_sites\nP\tcodon_3 \t7\t5\t*\n")
     r = tables.read_codon_results(spark, str(tmp_path / "b.tsv")).first()
     assert (r.codon_num, r.num_defined_seqs, r.N_sites) == (3, 5.0, None)
     framed = spark.createDataFrame([("P", 4, 0.0), ("P", 10, 0.0), ("Q", 4, 0.0), ("Q", 8, 0.0)], "product string, site int, N_diffs_vs_ref double")
     assert {(r.product, r.site): r.codon_num for r in tables.with_codon_numbers(framed).collect()} == {("P", 4): 1, ("P", 10): 3, ("Q", 4): 1, ("Q", 8): 2}
+    two = framed.withColumn("file", F.lit("a")).unionByName(framed.withColumns({"site": F.col("site") + 3, "file": F.lit("b")}))
+    assert {(r.file, r.product, r.site): r.codon_num for r in tables.with_codon_numbers(two).collect()}["b", "P", 13] == 3  # each file has its own frame
+    (tmp_path / "c.csv").write_text("##note\nproduct,codon_num\nP,1\n")
+    (tmp_path / "none.txt").write_text("product codon\n")
+    assert [tables.detect_delimiter(spark, str(tmp_path / f)) for f in ("b.tsv", "c.csv")] == ["\t", ","]
+    with pytest.raises(ValueError):
+        tables.detect_delimiter(spark, str(tmp_path / "none.txt"))
     out = str(tmp_path / "out")
     tables.write_tsv(spark.createDataFrame([("a", ["x", "y"], None)], "k string, v array<string>, n double"), out)
     assert {x for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()} == {"k\tv\tn", "a\tx,y\tNA"}

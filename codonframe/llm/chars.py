@@ -16,6 +16,7 @@ SPACE = 32
 CHUNK = 1 << 20
 
 _fold: np.ndarray | None = None
+_letter: np.ndarray | None = None
 
 
 def fold_table() -> np.ndarray:
@@ -30,6 +31,15 @@ def fold_table() -> np.ndarray:
     return _fold
 
 
+def letter_table() -> np.ndarray:
+    """True for code points that are letters, marks not counted."""
+    global _letter
+    if _letter is None:
+        _letter = np.zeros(0x110000, dtype=bool)
+        _letter[[c for c in np.flatnonzero(fold_table() != SPACE).tolist() if unicodedata.category(chr(c))[0] == "L"]] = True
+    return _letter
+
+
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``CHUNK`` bytes of text each."""
     begin = held = 0

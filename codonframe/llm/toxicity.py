@@ -10,12 +10,16 @@ that no count has used, turns the comparison into a probability.
 
 The class counts use at most ``max_labels`` labelled rows, chosen by a hash of
 the id; the shared counts cover every document. Both are aggregated by Spark.
-What the scorer looks up is one number for each hash slot of a table of fixed
-size, so its broadcast does not grow with the corpus.
+What the scorer looks up is one number for each gram and context of the labelled
+rows, by its whole 64-bit key: it grows with their vocabulary, which
+``max_labels`` bounds, and no two expressions share an entry.
 
 Null and empty texts have no likelihood to compare and get the score of a
-neutral text. Null labels are not learnt from; repeated label rows count as
-often as they occur. Without labels of both classes every score is 0.5.
+neutral text; texts of any length are scored whole. Null labels are not learnt
+from; repeated label rows count as often as they occur, and of equal ids at the
+bound the smaller label is taken first. Rows that share an id are scored each
+for itself. Without labels of both classes every score is 0.5. An empty table
+gives an empty table. Columns beyond id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,14 +41,12 @@ FEATURES = ("mean_llr", "best_word", "second_word", "telling_share")
 class KneserNey:
     """``order`` characters with the one foretold; the shared orders are 4 and 2.
 
-    ``slots`` is the size of the table of log-likelihood ratios. ``max_labels``
-    labelled rows are learnt from at most, of which ``calibrate`` in
-    ``of_labels`` fit the curve.
+    ``max_labels`` labelled rows are learnt from at most, of which ``calibrate``
+    in ``of_labels`` fit the curve.
     """
 
     order: int = 7
     discount: float = 0.75
-    slots: int = 1 << 22
     max_labels: int = 200_000
     max_calibration: int = 20_000
     calibrate: int = 1
@@ -67,7 +69,7 @@ def _keys(codes: np.ndarray, longest: int) -> list[np.ndarray]:
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
-    """Spread over all 64 bits, so that the low bits choose a slot evenly."""
+    """Spread over all 64 bits, so that any of them part the keys evenly."""
     keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return keys ^ (keys >> np.uint64(29))
 
@@ -140,8 +142,38 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
     return docs.mapInArrow(count, SCHEMA)
 
 
-def ratio_table(counts: DataFrame, options: KneserNey = KneserNey()) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratios by slot: of grams seen in a class, and of unseen letters after a context seen in one.
+class Ratios:
+    """Values by 64-bit key: sorted keys, and where those with the same first bits begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = max(int(len(keys)).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int64)
+        self.begin = np.append(self.begin, len(keys))
+        self.most = int(np.diff(self.begin).max(initial=0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, nan where it has none."""
+        found = np.full(len(keys), np.nan, np.float32)
+        if not len(self.keys):
+            return found
+        part = (keys >> self.shift).astype(np.int64)
+        at, end = self.begin[part], self.begin[part + 1]
+        open_ = np.flatnonzero(at < end)
+        for k in range(self.most):
+            place = at[open_] + k
+            hit = self.keys[place] == keys[open_]
+            found[open_[hit]] = self.values[place[hit]]
+            open_ = open_[~hit & (place + 1 < end[open_])]
+            if not len(open_):
+                break
+        return found
+
+
+def ratio_table(counts: DataFrame, options: KneserNey = KneserNey()) -> tuple[Ratios, Ratios]:
+    """Log-likelihood ratios of grams seen in a class, and of unseen letters after a context seen in one.
 
     Interpolated Kneser-Ney: above, p(w|h) = max(c(hw) - D, 0) / c(h) + D kinds(h) / c(h) p_low(w|h'), with c of the
     class; below, the same with continuation counts of all documents, down to a uniform distribution.
@@ -161,19 +193,13 @@ def ratio_table(counts: DataFrame, options: KneserNey = KneserNey()) -> tuple[np
     contexts = top.groupBy("context").agg(*[F.sum(f"n{k}").alias(f"all{k}") for k in (0, 1)], *[seen(k).alias(f"kinds{k}") for k in (0, 1)])
     left = lambda k: F.when(F.col(f"all{k}") > 0, d * F.col(f"kinds{k}") / F.col(f"all{k}")).otherwise(1.0)
     p = lambda k: F.when(F.col(f"all{k}") > 0, F.greatest(F.col(f"n{k}") - d, F.lit(0.0)) / F.col(f"all{k}")).otherwise(0.0) + left(k) * F.col("p_low")
-    slot = lambda c: F.pmod(F.col(c), F.lit(options.slots)).cast("int")
-    grams = top.join(contexts, "context").join(shared, "low").select(slot("gram").alias("slot"), F.ln(p(1) / p(0)).alias("llr"), (F.col("n0") + F.col("n1")).alias("n"))
-    after = contexts.select(slot("context").alias("slot"), F.ln(left(1) / left(0)).alias("llr"), (F.col("all0") + F.col("all1")).alias("n"))
-    tables = []
-    for rows in (grams, after):
-        table = np.full(options.slots, np.nan, dtype=np.float32)
-        by_slot = rows.groupBy("slot").agg((F.sum(F.col("llr") * F.col("n")) / F.sum("n")).cast("float").alias("llr")).toArrow()  # one row a slot at most
-        table[by_slot["slot"].to_numpy()] = by_slot["llr"].to_numpy()
-        tables.append(table)
-    return tables[0], tables[1]
-
-
-def _word_sums(codes: np.ndarray, rows: np.ndarray, n_rows: int, tables: tuple[np.ndarray, np.ndarray], order: int) -> list[tuple[float, ...]]:
+    grams = top.join(contexts, "context").join(shared, "low").select(F.col("gram").alias("key"), F.ln(p(1) / p(0)).cast("float").alias("llr"))
+    after = contexts.select(F.col("context").alias("key"), F.ln(left(1) / left(0)).cast("float").alias("llr"))
+    found = [rows.toArrow() for rows in (grams, after)]  # of the labelled rows, which max_labels bounds
+    return tuple(Ratios(x["key"].to_numpy().view(np.uint64), x["llr"].to_numpy()) for x in found)
+
+
+def _word_sums(codes: np.ndarray, rows: np.ndarray, n_rows: int, tables: tuple[Ratios, Ratios], order: int) -> list[tuple[float, ...]]:
     """The features of each row; all 0 where it has no letter."""
     out = [(0.0,) * len(FEATURES)] * n_rows
     if len(codes) < 3:
@@ -181,10 +207,9 @@ def _word_sums(codes: np.ndarray, rows: np.ndarray, n_rows: int, tables: tuple[n
     at, back = _positions(codes)
     keys = _keys(codes, order)
     size = np.minimum(back, order).astype(np.int64)
-    slots = np.int64(len(tables[0]))
-    llr = tables[0][_chosen(keys, size, at).view(np.int64) % slots]
+    llr = tables[0].find(_chosen(keys, size, at))
     unseen = np.isnan(llr)
-    llr[unseen] = tables[1][_chosen(keys, size[unseen], at[unseen], 1).view(np.int64) % slots]
+    llr[unseen] = tables[1].find(_chosen(keys, size[unseen], at[unseen], 1))
     llr = np.nan_to_num(llr)
     ends = np.flatnonzero(codes[1:] == SPACE)  # places in ``at`` where a word ends
     begins = np.concatenate([[0], ends[:-1] + 1])
@@ -201,7 +226,7 @@ def _word_sums(codes: np.ndarray, rows: np.ndarray, n_rows: int, tables: tuple[n
     return out
 
 
-def features(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], order: int, id_col: str, text_col: str) -> DataFrame:
+def features(docs: DataFrame, tables: tuple[Ratios, Ratios], order: int, id_col: str, text_col: str) -> DataFrame:
     key = docs.select(id_col).schema[0].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast(tables)
 

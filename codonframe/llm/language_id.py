@@ -6,9 +6,17 @@ out-of-place distance to a profile adds, for each of the document's n-grams, how
 far apart the two ranks are, or the profile's length where it is missing. The
 nearest language wins; ties go to the name that sorts first.
 
+A language is known by the profile's grams and ranks alone, held by gram, so the
+profiles of many languages take little. Where there are more than ``block``
+languages, one block after the other is compared, each document taking along the
+best so far; so there may be any number of names.
+
 Null texts and texts without a letter are ``und`` with score 0, as is everything
-when nothing could be learnt. Null languages are not learnt from. Repeated rows
-count as often as they occur.
+when nothing could be learnt. Null languages are not learnt from. Texts of any
+length are ranked whole; n-grams of equal frequency are ranked by their code
+points. Repeated rows count as often as they occur, and each gets its own answer.
+An empty table gives an empty table. Columns beyond id, text and language are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chars import SPACE, chunks, letters
+from .chars import SPACE, chunks, letter_table, letters
+from .shared import stored
 
 BITS = 21
 UNKNOWN = "und"
@@ -28,10 +37,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Ranks:
-    """A profile's length; more distinct language names than ``max_languages`` are an error, as all profiles go to each task."""
+    """A profile's length, and how many languages are compared at a time."""
 
     top: int = 300
-    max_languages: int = 1000
+    block: int = 2000
 
 
 def gram_keys(codes: np.ndarray) -> np.ndarray:
@@ -78,20 +87,55 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def profiles(counts: DataFrame, options: Ranks = Ranks()) -> dict[str, np.ndarray]:
-    """Each language's top n-grams in order of rank.
+def profiles(counts: DataFrame, options: Ranks = Ranks()) -> DataFrame:
+    """lang, gram, rank (from 0) of each language's top n-grams.
 
-    The best of 16 parts of each language are ranked in Spark; what comes to
-    the driver is 16 times a profile for each language, whatever the corpus.
+    The best of 16 parts of each language are ranked first, so that no task sorts a language's whole list.
     """
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(16))).orderBy(F.desc("n"), "gram")
-    best = counts.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= options.top).select("lang", "gram", "n")
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in best.toLocalIterator():
-        found.setdefault(r["lang"], []).append((-r["n"], r["gram"]))
-        if len(found) > options.max_languages:
-            raise ValueError(f"more than {options.max_languages} language names; raise max_languages if that is meant")
-    return {lang: np.array([g for _, g in sorted(found[lang])[: options.top]], dtype=np.int64) for lang in sorted(found)}
+    best = counts.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= options.top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
+    return stored(best.select("lang", "gram", rank.alias("rank")).where(F.col("rank") < options.top))
+
+
+@dataclass
+class Profiles:
+    """The profiles of some languages by gram: grams ascend, and each has the languages and ranks from begin[i] to begin[i + 1]."""
+
+    names: list[str]
+    grams: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
+    top: int
+
+    @classmethod
+    def of(cls, names: list[str], rows: pa.Table, top: int) -> Profiles:
+        number = {n: i for i, n in enumerate(names)}
+        lang = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
+        gram, rank = rows["gram"].to_numpy().astype(np.int64), rows["rank"].to_numpy().astype(np.int64)
+        order = np.argsort(gram, kind="stable")
+        grams, begin = np.unique(gram[order], return_index=True)
+        return cls(names, grams, np.append(begin, len(gram)), lang[order], rank[order], top)
+
+    def nearest(self, codes: np.ndarray) -> tuple[str, int, int] | None:
+        """Name and distance of the nearest language, and how many n-grams were ranked; None if there is none."""
+        keys, n = _counted(gram_keys(codes))
+        if not len(keys) or not self.names:
+            return None
+        top = self.top
+        if len(keys) > top:  # all that tie with the last place, then rank exactly
+            some = n >= np.partition(n, len(n) - top)[len(n) - top]
+            keys, n = keys[some], n[some]
+        keys = keys[np.lexsort((keys, -n))[:top]]
+        at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+        known = np.flatnonzero(self.grams[at] == keys)
+        begin, size = self.begin[at[known]], self.begin[at[known] + 1] - self.begin[at[known]]
+        entry = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        # A missing gram costs ``top``; one that is there as much less as the ranks are near.
+        saved = np.bincount(self.lang[entry], top - np.abs(self.rank[entry] - np.repeat(known, size)), len(self.names))
+        i = int(np.argmax(saved))
+        return self.names[i], top * len(keys) - int(saved[i]), len(keys)
 
 
 def identify(docs: DataFrame, learn: Column, options: Ranks = Ranks(), id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
@@ -99,41 +143,39 @@ def identify(docs: DataFrame, learn: Column, options: Ranks = Ranks(), id_col="d
 
     The score is 1 less the winner's distance over the largest possible.
     """
+    spark = docs.sparkSession
     learnt = profiles(gram_counts(docs.where(learn), lang_col, text_col), options)
-    names, top = list(learnt), options.top
-    grams = np.unique(np.concatenate([*learnt.values(), np.empty(0, np.int64)]))
-    ranks = np.full((len(names), len(grams) + 1), -1, dtype=np.int32)
-    for i, p in enumerate(learnt.values()):
-        ranks[i, np.searchsorted(grams, p)] = np.arange(len(p))
-    model = docs.sparkSession.sparkContext.broadcast((names, grams, ranks))
+    names = [r["lang"] for r in learnt.select("lang").distinct().orderBy("lang").toLocalIterator()]
     key = docs.select(id_col).schema[0].dataType.simpleString()
-
-    def best(codes: np.ndarray) -> tuple[str, float]:
-        names, grams, ranks = model.value
-        keys, n = _counted(gram_keys(codes))
-        if not len(keys) or not names:
-            return UNKNOWN, 0.0
-        if len(keys) > top:  # all that tie with the last place, then rank exactly
-            some = n >= np.partition(n, len(n) - top)[len(n) - top]
-            keys, n = keys[some], n[some]
-        keys = keys[np.lexsort((keys, -n))[:top]]
-        at = np.searchsorted(grams, keys)
-        at[at < len(grams)] = np.where(grams[at[at < len(grams)]] == keys[at < len(grams)], at[at < len(grams)], len(grams))
-        there = ranks[:, at]
-        far = np.where(there < 0, top, np.abs(there - np.arange(len(keys)))).sum(axis=1)
-        i = int(np.argmin(far))
-        return names[i], 1.0 - float(far[i]) / (top * len(keys))
-
-    def predict(batches):
-        for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
-            for a, b in chunks(texts):
-                codes, rows = letters(texts[a:b])
-                ends = np.searchsorted(rows, np.arange(b - a), side="right")
-                for i in range(b - a):
-                    begin = ends[i - 1] - 1 if i else 0  # the space before the text
-                    own = codes[begin : ends[i]]
-                    out.append(best(own) if any(chr(c).isalpha() for c in own) else (UNKNOWN, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(id_col, text_col).mapInArrow(predict, f"doc_id {key}, lang_pred string, score double")
+    schema = f"doc_id {key}, lang_pred string, score double"
+    blocks = [names[i : i + options.block] for i in range(0, len(names), options.block)] or [[]]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(-1.0).alias("score"), F.col(text_col).alias("text"))
+
+    def compared(rows: DataFrame, own: list[str], last: bool) -> DataFrame:
+        held = learnt.where(F.col("lang").between(own[0], own[-1])) if own else learnt.limit(0)
+        model = spark.sparkContext.broadcast(Profiles.of(own, held.toArrow(), options.top))  # at most block profiles
+
+        def predict(batches):
+            alpha = letter_table()
+            for batch in batches:
+                texts, found = batch.column(3).to_pylist(), []
+                before = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                for a, b in chunks(texts):
+                    codes, rows_ = letters(texts[a:b])
+                    ends = np.searchsorted(rows_, np.arange(b - a), side="right")
+                    for i in range(b - a):
+                        begin = ends[i - 1] - 1 if i else 0  # the space before the text
+                        part = codes[begin : ends[i]]
+                        name, score = next(before)
+                        best = model.value.nearest(part) if alpha[part].any() else None
+                        if best and 1.0 - best[1] / (options.top * best[2]) > score:
+                            name, score = best[0], 1.0 - best[1] / (options.top * best[2])
+                        found.append((name, max(score, 0.0) if last else score))
+                columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns + ([] if last else [batch.column(3)]), ["doc_id", "lang_pred", "score", "text"][: 3 if last else 4])
+
+        return rows.mapInArrow(predict, schema + ("" if last else ", text string"))
+
+    for i, own in enumerate(blocks):
+        rows = compared(rows, own, i == len(blocks) - 1)
+    return rows

@@ -75,7 +75,8 @@ def test_boundaries_are_optimal():
 def test_packing_places_every_document_once(spark):
     rnd = random.Random(4)
     rows = [(i, "w " * rnd.choice([0, 3, 3, 3, 17, 40, 300, 1000]), None) for i in range(400)] + [(500, None, None), (None, "a b", None), (7, "a b", None)]
-    options = packing.Packing(buckets=4, token_budget=600, chunk_rows=20)
+    rows += [(None, "a b", None)] * 9 + [(8, None, None)] * 7
+    options = packing.Packing(buckets=4, token_budget=600, piece=3)
     found = packing.pack(awkward(spark, rows), options).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in found) == Counter((i, len((t or "").split())) for i, t, _ in rows)
     batches = {}
@@ -83,6 +84,13 @@ def test_packing_places_every_document_once(spark):
         assert r.n_tokens <= r.bucket_length
         batches.setdefault((r.bucket, r.batch), []).append(r)
     assert len({r.bucket for r in found}) <= 4
+    # The whole result has the least padding that four buckets allow, and places are the same on every run.
+    sizes = Counter(r.n_tokens for r in found)
+    cost = lambda ends: sum(c * (min(e for e in ends if e >= s) - s) for s, c in sizes.items())
+    best = min(cost([*cut, max(sizes)]) for cut in itertools.combinations(sorted(sizes)[:-1], 3))
+    assert sum(r.bucket_length - r.n_tokens for r in found) == best and {r.bucket_length for r in found} <= set(sizes)
+    again = packing.pack(awkward(spark, rows).repartition(7), options).collect()
+    assert Counter(again) == Counter(found)
     for held in batches.values():
         assert sorted(r.slot for r in held) == list(range(len(held)))
         assert len(held) == 1 or len(held) * held[0].bucket_length <= 600

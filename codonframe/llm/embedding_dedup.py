@@ -20,6 +20,12 @@ ball; only what these bounds leave open is computed for each pair.
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing and are kept. Shorter vectors are filled with zeros. Rows with a null id
 link with nothing, either; rows that share an id are one vector, the least of them.
+Of several vectors in a bucket, and of several hubs a vector could join, the
+least id is taken. Vectors of any length are taken whole. An empty table gives
+an empty table. Columns beyond id and vector are not read, whatever their names.
+
+With n vectors the bands, and so the rows of a vector, grow as n to the power
+0.22, which is what codes of signs cost at a cosine of 0.9.
 """
 
 from __future__ import annotations

@@ -20,7 +20,12 @@ large group costs a few comparisons for each member, and no link between
 candidates is lost. A pair of similarity 0.8 is no candidate once in 20,000 times.
 
 Null texts and texts without a word never link. Rows with a null id form no
-group: their component is null and they are kept. Rows that share an id are one document.
+group: their component is null and they are kept. Rows that share an id are one
+document, which has the links of all its texts. Ids are whole numbers; of
+several equal texts, and of several in a band that meet equally many, the one with
+the least id stands for the others. Texts of any length are compared whole. An
+empty table gives an empty table. Columns beyond id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import stored, whole_ids
 from .suffix_dedup import mixed
 
 SHINGLE = 5
@@ -214,6 +219,7 @@ def near_duplicates(docs: DataFrame, options: ProbMinHash = ProbMinHash(), id_co
 
     class_id is the smallest id with the same words, component_id the smallest that links reach.
     """
+    whole_ids(docs, id_col)
     signed = stored(signatures(docs, options, id_col, text_col))
     classes = stored(signed.groupBy("one", "two").agg(F.min("doc_id").alias("class_id"), *[F.first(c).alias(c) for c in ("bands", "n", "heavy")]))
     bands = stored(classes.select("class_id", F.explode("bands").alias("band")))

@@ -10,8 +10,11 @@ feature and pair, through the logistic function: vectorised bin additions.
 The model is fitted on at most ``max_labels`` labelled rows, chosen by a hash of
 the id; the texts are read once, for all documents, and the features are written
 to the shared folder. Null and empty texts have all features 0 and are scored
-like any other row. Null labels are not learnt from; repeated label rows count
-as often as they occur. Without labels every score is 0.5.
+like any other row; texts of any length are measured whole. Null labels are not
+learnt from; repeated label rows count as often as they occur, and of equal ids
+at the bound the smaller label is taken first. Rows that share an id are scored
+each for itself. Without labels every score is 0.5. An empty table gives an empty
+table. Columns beyond id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

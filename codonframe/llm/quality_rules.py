@@ -15,7 +15,11 @@ bounds. A length with few documents has the limit of its whole language.
 
 Null or empty texts have no words: every count is 0 and the base rules fail.
 Null languages form a language of their own. A language with few documents is
-held against the reference of all languages together.
+held against the reference of all languages together. Texts of any length are
+counted whole. Rows that share an id, or have a null one, are judged each for
+itself, and repeated rows count in the references as often as they occur. An
+empty table gives an empty table. Columns beyond id, text and language are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ COMMON = {
     "de": "der die und das ist von den mit ein eine zu auf in für sich nicht dem es im auch",
     "es": "de la que el en y los las del se por un una con para al lo es su como",
 }
+#: Punctuation of prose, inside a character class.
+COMMON_MARKS = r""".,;:!?'"()\-"""
 
 
 @dataclass(frozen=True)
@@ -95,7 +101,7 @@ def text_counts(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
         (total - _without(text, r"\p{Lu}+")).cast("long").alias("_upper"),
         (total - _without(text, r"\p{Ll}+")).cast("long").alias("_lower"),
         (total - _without(text, r"[0-9]+")).cast("long").alias("_digits"),
-        (total - _without(text, r"[.,;:!?'\"()\-]+")).cast("long").alias("_marks"),
+        (total - _without(text, f"[{COMMON_MARKS}]+")).cast("long").alias("_marks"),
         (total - F.col("word_chars")).cast("long").alias("_space"),
         total.cast("long").alias("_total"),
     )

@@ -8,6 +8,7 @@ from .bpe import encode_documents
 from .embedding_dedup import near_duplicates as near_vectors
 from .language_id import identify
 from .minhash import near_duplicates
+from .oracle import oracle_sql as _oracle_sql
 from .packing import pack
 from .quality_model import score_quality
 from .quality_rules import quality_rules
@@ -72,23 +73,13 @@ def op9_packing(spark, sf_dir):
 
 
 def op10_quality_rules(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 def queries():
     return {f.__name__: f for f in (op1_warc, op2_minhash, op3_embedding_dedup, op4_quality_model, op5_suffix_dedup, op6_toxicity, op7_language_id, op8_bpe, op9_packing, op10_quality_rules)}
 
 
-ORACLE = {
-    "op1_warc": """
-        WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
-        SELECT p.page_id, p.url, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
-               CASE WHEN first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN first_id <> p.page_id THEN first_id END AS refers_to
-        FROM p LEFT JOIN f USING (payload_digest)""",
-}
-
-
 def oracle_sql():
-    return dict(ORACLE)
+    return _oracle_sql()

@@ -15,6 +15,9 @@ Null payloads are empty. Rows with a null id never hold the shared payload,
 unless all ids of that payload are null: then each is a response. Rows that
 repeat the smallest id are responses, too. A null URL leaves its header out;
 control characters in a URL are percent-encoded in the header and kept in the index.
+Payloads of any length are written whole, each in one record. An empty table
+gives an empty index and no archive. Columns beyond id, URL and html are not
+read, whatever their names.
 """
 
 from __future__ import annotations

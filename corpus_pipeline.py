@@ -4,7 +4,10 @@ Each stage works on all documents that the stage before kept, written as Parquet
 to the shared folder and read again. All stages but the last return the columns
 of ``documents``; texts change only where repeated passages are cut out, and
 then ``n_chars`` follows. Documents with a null id are never rejected, as no
-decision can name them.
+decision can name them. Where rows share an id, a decision against one of them
+is against the id: all of them go. Texts of any length are judged whole, ties
+are decided as each operator states, and an empty table goes through empty.
+Columns beyond those of ``documents`` stay as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,10 +14,15 @@ BUCKET_ROWS, BROADCAST_BYTES = 1_000, 64 << 20
 
 
 def validated(seqs: DataFrame) -> DataFrame:
-    """``seqs``, with an error when it is read for groups whose sequences differ in length."""
-    sizes = seqs.groupBy("group").agg(F.min(F.length("seq")).alias("_lo"), F.max(F.length("seq")).alias("_hi"))
-    wrong = F.raise_error(F.concat(F.lit("sequences of different lengths in "), "group")).cast("string")
-    return seqs.join(sizes, "group").withColumn("seq", F.when(F.col("_lo") == F.col("_hi"), F.col("seq")).otherwise(wrong)).drop("_lo", "_hi")
+    """``seqs``; a ValueError if the sequences of a group differ in length.
+
+    The lengths are looked at once, ahead of the analysis, so that no sequence has to be shuffled to its group's lengths.
+    """
+    sizes = seqs.groupBy("group").agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi"))
+    wrong = sizes.where("lo <> hi").first()
+    if wrong is not None:
+        raise ValueError(f"sequences of different lengths in {wrong['group']}: {wrong['lo']} to {wrong['hi']} bases")
+    return seqs
 
 
 def codon_columns(seqs: DataFrame, products: DataFrame) -> DataFrame:

@@ -663,27 +663,110 @@ def vcf_format4(spark, d):
     return _vcf(spark, d, F.lit("."), 4)
 
 
-@query(_REPORT + """ SELECT 'f' AS file, CAST(site AS INT) AS site, ref, x AS alt, CAST(n1 AS DOUBLE) AS count, CAST(dp AS DOUBLE) AS coverage, round(n1 / 100.0, 6) AS freq,
- CASE WHEN sk % 3 = 0 THEN '' WHEN sk % 3 = 1 THEN 'ORF1' ELSE 'ORF1,ORF2' END AS products FROM r WHERE two""")
-def clc_parse(spark, d):
+_CLC = _REPORT + """ SELECT 'f' AS file, CAST(site AS INT) AS site, ref, x AS alt, CAST(n1 AS DOUBLE) AS count, CAST(dp AS DOUBLE) AS coverage, round(n1 / 100.0, 6) AS freq,
+ CASE WHEN sk % 3 = 0 THEN '' WHEN sk % 3 = 1 THEN 'ORF1' ELSE 'ORF1,ORF2' END AS products FROM r WHERE two"""
+_GENEIOUS = _REPORT + """ SELECT 'f' AS file, CAST(site AS INT) AS site, ref, x AS alt, round(max(n1) / 100.0 * max(dp), 6) AS count, CAST(max(dp) AS DOUBLE) AS coverage, round(max(n1) / 100.0, 6) AS freq,
+ CASE max(sk % 3) WHEN 0 THEN '' WHEN 1 THEN 'ORF1' ELSE 'ORF1,ORF2' END AS products FROM r WHERE two GROUP BY site, ref, x"""
+
+
+def _clc_report(spark, d):
     text = lambda c: F.col(c).cast("string")
-    rows = _report(spark, d).select(
+    return _report(spark, d).select(
         "file", text("POS").alias("Reference Position"), F.when(F.col("two"), "SNV").otherwise("MNV").alias("Type"), F.col("REF").alias("Reference"), F.col("x").alias("Allele"), text("n1").alias("Count"),
         F.concat(F.lit(" "), text("dp")).alias("Coverage"), text("n1").alias("Frequency"), F.when(F.col("sk") % 3 == 0, "").when(F.col("sk") % 3 == 1, "CDS: ORF1").otherwise("CDS: ORF1, CDS: ORF2").alias("Overlapping annotations"),
     )
-    return rounded(reports.parse_clc(rows).withColumn("products", F.array_join("products", ",")), 6)
 
 
-@query(_REPORT + """ SELECT 'f' AS file, CAST(site AS INT) AS site, ref, x AS alt, round(max(n1) / 100.0 * max(dp), 6) AS count, CAST(max(dp) AS DOUBLE) AS coverage, round(max(n1) / 100.0, 6) AS freq,
- CASE max(sk % 3) WHEN 0 THEN '' WHEN 1 THEN 'ORF1' ELSE 'ORF1,ORF2' END AS products FROM r WHERE two GROUP BY site, ref, x""")
-def geneious_parse(spark, d):
+def _geneious_report(spark, d):
     rows = _report(spark, d)
     product = F.explode(F.when(F.col("sk") % 3 == 0, F.array(F.lit(""))).when(F.col("sk") % 3 == 1, F.array(F.lit("ORF1"))).otherwise(F.array(F.lit("ORF2"), F.lit("ORF1"))))
-    rows = rows.select(
+    return rows.select(
         "file", F.col("POS").cast("string").alias("Minimum"), F.col("POS").cast("string").alias("Maximum"), F.when(F.col("two"), "SNP (transition)").otherwise("Deletion").alias("Polymorphism Type"), product.alias("product"),
         F.concat_ws(" -> ", "REF", "x").alias("Change"), F.col("dp").cast("string").alias("Coverage"), F.format_string("%.2f%%", F.col("n1").cast("double")).alias("Variant Frequency"),
     )
-    return rounded(reports.parse_geneious(rows).withColumn("products", F.array_join("products", ",")), 6)
+
+
+def _named(df):
+    return rounded(df.withColumn("products", F.array_join(F.coalesce("products", F.array().cast("array<string>")), ",")), 6)
+
+
+@query(_CLC)
+def clc_parse(spark, d):
+    return _named(reports.parse_clc(_clc_report(spark, d)))
+
+
+@query(_GENEIOUS)
+def geneious_parse(spark, d):
+    return _named(reports.parse_geneious(_geneious_report(spark, d)))
+
+
+# --- files: written, and read again -------------------------------------------------------------------------------
+
+
+def _written(df, path, sep):
+    df.write.option("sep", sep).option("header", True).option("quoteAll", True).csv(path)
+    return path
+
+
+@query(f"SELECT * EXCLUDE (file) FROM ({_CLC})")
+def clc_files(spark, d):
+    path = _written(_clc_report(spark, d).drop("file"), views.scratch(spark), "\t")
+    return _named(reports.read_clc(spark, path)).drop("file")
+
+
+@query(f"SELECT site, ref, alt, count, coverage, freq, products FROM ({_GENEIOUS})")
+def geneious_files(spark, d):
+    # One file: a variant's rows for several products stand in the same report.
+    path = _written(_geneious_report(spark, d).drop("file").coalesce(1), views.scratch(spark), ",")
+    return _named(reports.read_geneious(spark, path)).drop("file")
+
+
+_HEAD = ["##fileformat=VCFv4.2"]
+_NAMES = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]
+
+
+@query(_REPORT + """ SELECT CAST(4000000 - site + 1 AS INT) AS site, translate(ref, 'ACGT', 'TGCA') AS ref, translate(alt, 'ACGT', 'TGCA') AS alt, round(n / 100.0 * dp, 6) AS count, CAST(dp AS DOUBLE) AS coverage, round(n / 100.0, 6) AS freq FROM u""")
+def vcf_files(spark, d):
+    """A VCF is written, its other strand is made from file to file, and that is read as variants."""
+    rows = _report(spark, d).withColumn("ALT", F.when(F.col("two"), F.concat_ws(",", "x", "y")).otherwise(F.col("x")))
+    rows = rows.select(F.lit("c").alias("CHROM"), "POS", F.lit(".").alias("ID"), "REF", "ALT", F.lit(".").alias("QUAL"), F.lit("PASS").alias("FILTER"), _shares("DP=", F.col("dp").cast("string")).alias("INFO"))
+    there, back = views.scratch(spark), views.scratch(spark)
+    reports.write_vcf(rows, there, _HEAD, _NAMES)
+    read, head, names = reports.read_vcf_lines(spark, there)
+    reports.write_vcf(revcom.revcom_vcf(read, 4_000_000), back, head, names)
+    return rounded(reports.read_vcf(spark, back, 2).select("site", "ref", "alt", "count", "coverage", "freq"), 6)
+
+
+@query(W + f' SELECT grp AS "group", product, codon_num, variability, CAST(n AS DOUBLE) AS num_defined_seqs, {o.FOUR} FROM wc')
+def codon_result_files(spark, d):
+    """The codon table, written and read again by its own delimiter."""
+    path = views.scratch(spark)
+    tables.write_tsv(_within(spark, d), path)
+    return rounded(tables.read_codon_results(spark, path).select("group", "product", "codon_num", "variability", "num_defined_seqs", *FOUR))
+
+
+@query(f"WITH {_DNA} SELECT 's' || CAST(doc_id AS VARCHAR) || '_revcom' AS header, translate(reverse(seq), 'ACGT', 'TGCA') AS seq FROM dna WHERE length(seq) > 0")
+def fasta_files(spark, d):
+    """Sequences turned, written as FASTA and read again."""
+    seqs = views.dna(spark, d).where(F.length("seq") > 0).select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("header"), "seq")
+    path = views.scratch(spark)
+    fasta.write_fasta(revcom.revcom_sequences(seqs), path)
+    return fasta.read_fasta(spark, path, extensions="part-*").select("header", "seq")
+
+
+@query("""
+WITH l AS (SELECT l_partkey AS a, l_partkey + l_suppkey * 3 + 2 AS b, 'G' || CAST(l_suppkey % 7 AS VARCHAR) AS g, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS s FROM lineitem)
+SELECT g AS product, s AS strand, count(*) AS n_segments, CAST(sum(b - a + 1) AS BIGINT) AS bases, CAST(min(a) AS INT) AS first_start, CAST((list(b ORDER BY a DESC, b DESC))[1] AS INT) AS last_stop FROM l GROUP BY ALL""")
+def gtf_files(spark, d):
+    """Segments written as GTF, read again and gathered by product and strand."""
+    rows = views.table(spark, d, "lineitem").select(
+        F.concat(F.lit("G"), (F.col("l_suppkey") % 7).cast("string")).alias("product"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_suppkey") * 3 + 2).alias("stop"), F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"),
+    )
+    path = views.scratch(spark)
+    gtf.write_gtf(rows, path)
+    found = gtf.coding_products(gtf.read_gtf(spark, path, None))
+    bases = F.aggregate("segments", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"] + 1)
+    return found.select("product", "strand", F.size("segments").cast("long").alias("n_segments"), bases.alias("bases"), F.col("segments")[0]["start"].alias("first_start"), F.element_at("segments", -1)["stop"].alias("last_stop"))
 
 
 @query("""

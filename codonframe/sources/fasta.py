@@ -10,15 +10,15 @@ from codonframe.functions.sequence import cleaned, wrapped
 EXTENSIONS = "*.{fa,fas,fasta}"
 
 
-def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """group (file name), seq_idx, header, seq; of files or of the FASTA files of a folder.
+def read_fasta(spark: SparkSession, path: str | list[str], extensions: str = EXTENSIONS) -> DataFrame:
+    """group (file name), seq_idx, header, seq; of files or of the FASTA files of a folder, which ``extensions`` tells by their names.
 
     A record runs from a ``>`` that begins a line to the next one; splitting
     there lets large files be read in parallel. Lines may end in a line feed, a
     carriage return or both; files with carriage returns alone are split in their rows.
     seq_idx is a hash of the record, the same on every read; no result depends on it.
     """
-    reader = spark.read.option("lineSep", "\n>").option("pathGlobFilter", EXTENSIONS)
+    reader = spark.read.option("lineSep", "\n>").option("pathGlobFilter", extensions)
     raw = reader.text(path).select(F.col("_metadata.file_name").alias("group"), F.col("value"))
     pieces = F.explode(F.split("value", r"\r+>")).alias("value")
     return parse_fasta(raw.select("group", pieces).select("group", F.regexp_replace("value", "^>", "").alias("value")))

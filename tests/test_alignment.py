@@ -1,6 +1,7 @@
 """Within and between groups: golden alignments, and all pairs by brute force."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -90,8 +91,9 @@ def test_segments_in_any_order_and_lengths(spark):
         counts(spark, ((1, 4),), g=["ATGC"]).collect()
     with pytest.raises(Exception, match="beyond the end"):
         counts(spark, ((1, 6),), g=["ATGC"]).collect()
-    with pytest.raises(Exception, match="different lengths"):
-        codons.validated(sequences(spark, g=["ATG", "AT"])).collect()
+    with pytest.raises(ValueError, match="different lengths"):
+        codons.validated(sequences(spark, g=["ATG", "AT"]))
+    assert codons.validated(sequences(spark, g=["ATG"], h=["AT"])).count() == 2
 
 
 def test_annotations_of_any_size(spark, monkeypatch):
@@ -122,6 +124,10 @@ def test_windows_by_number_and_by_row(spark):
     assert ratio.sw_ratio == "dSdN" and ratio.sw_N_diffs == pytest.approx(0.4)
 
 
+def two_tails(z):
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
 def test_bootstrap_error_is_near_the_analytic_one(spark):
     rnd = random.Random(2)
     values = [rnd.random() for _ in range(60)]
@@ -133,6 +139,8 @@ def test_bootstrap_error_is_near_the_analytic_one(spark):
     assert error.SE_dS == pytest.approx(0, abs=1e-12)
     again = {r.rep: r.N_diffs for r in bootstrap.replicates(df, 1500, 5).collect()}
     assert all(again[r.rep] == pytest.approx(r.N_diffs) for r in reps.collect())
+    with_p = bootstrap.with_p_values(bootstrap.with_z_test(within.rates(within.totals(df, "product")), bootstrap.standard_errors(reps)), ratio_null=1.0).first()
+    assert with_p.dN_minus_dS_P < 1e-9 and with_p.dN_over_dS_P == pytest.approx(two_tails((with_p.dN_over_dS - 1) / with_p.SE_dN_over_dS), abs=1e-9)
     z = bootstrap.with_z_test(within.rates(within.totals(df, "product")), bootstrap.standard_errors(reps)).first()
     assert z.significance == "***"
 

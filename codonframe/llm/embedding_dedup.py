@@ -6,7 +6,9 @@ and its quantised form. The quantised form's product with another vector,
 divided by the factor, estimates the two vectors' product without bias, and the
 factor bounds the error. Pairs whose upper confidence bound stays below what a
 link needs are dropped; all others are computed again in double precision, so no
-link rests on an estimate.
+link rests on an estimate. The first 128 signs already speak while candidates
+meet: the angle of two vectors is the share in which they differ, and pairs in
+which more differ than the bound allows never leave the join.
 
 Candidates agree in a band of code bits; band width follows the logarithm of the
 number of vectors and the number of bands is such that a pair at the threshold
@@ -55,6 +57,8 @@ class BinaryCodes:
 
 
 EPS = 1e-7
+#: Signs of a sketch, as two whole numbers.
+SKETCH = 128
 
 
 def rotations(dim: int, n: int, seed: int) -> np.ndarray:
@@ -114,7 +118,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFra
 
 
 def coded(rows: DataFrame, dim: int, bits: int, bands: int, seed: int) -> DataFrame:
-    """vec_id, vec, signs (packed), factors, keys (one for each band)."""
+    """vec_id, vec, signs (packed), factors, keys (one for each band), sketch (the first signs, in two numbers)."""
     count = -(-bits * bands // dim)
 
     def code(batches):
@@ -128,10 +132,13 @@ def coded(rows: DataFrame, dim: int, bits: int, bands: int, seed: int) -> DataFr
             rows = len(signs)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             packed = np.packbits(signs, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), lists(factors), lists(keys)], ["vec_id", "vec", "signs", "factors", "keys"])
+            first = np.zeros((rows, SKETCH), bool)
+            first[:, : min(SKETCH, signs.shape[1])] = signs[:, :SKETCH]
+            sketch = np.packbits(first, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), lists(factors), lists(keys), lists(sketch)], ["vec_id", "vec", "signs", "factors", "keys", "sketch"])
 
     key = rows.schema["vec_id"].dataType.simpleString()
-    return rows.mapInArrow(code, f"vec_id {key}, vec array<double>, signs binary, factors array<double>, keys array<long>")
+    return rows.mapInArrow(code, f"vec_id {key}, vec array<double>, signs binary, factors array<double>, keys array<long>, sketch array<long>")
 
 
 def cosines(pairs: DataFrame, dim: int) -> DataFrame:
@@ -199,11 +206,16 @@ def near_duplicates(vectors: DataFrame, options: BinaryCodes = BinaryCodes(), id
     # Pairs of balls that share a bucket, each once; those that the codes allow; then the hubs' exact angle.
     boxes = stored(entries.join(member.select("vec_id", "ball"), "vec_id").select("band", "key", "ball").distinct())
     shared = stored(boxes.groupBy("band", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n"))
-    boxes = stored(boxes.join(shared, ["band", "key"]))
-    met = boxes.withColumnRenamed("ball", "a").join(boxes.withColumnRenamed("ball", "b"), ["band", "key"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    of = lambda k: balls.select(F.col("ball").alias(k), F.col("size").alias(f"size_{k}"), F.col("radius").alias(f"radius_{k}"))
-    met = stored(met.join(of("a"), "a").join(of("b"), "b"))
-    reach = F.cos(F.least(F.lit(limit + EPS) + F.col("radius_a") + F.col("radius_b"), F.lit(math.pi)))
+    centre = rows.select(F.col("vec_id").alias("ball"), *[F.col("sketch")[i].alias(f"sketch{i}") for i in (0, 1)])
+    boxes = stored(boxes.join(shared, ["band", "key"]).join(stored(balls.join(centre, "ball")), "ball"))
+    side = lambda k: boxes.select("band", "key", F.col("ball").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("size", "radius", "sketch0", "sketch1")])
+    furthest = F.least(F.lit(limit + EPS) + F.col("radius_a") + F.col("radius_b"), F.lit(math.pi))
+    differ = F.bit_count(F.col("sketch0_a").bitwiseXOR(F.col("sketch0_b"))) + F.bit_count(F.col("sketch1_a").bitwiseXOR(F.col("sketch1_b")))
+    used, share = min(SKETCH, rounds * dim), furthest / math.pi
+    able = differ <= used * share + options.sigmas * F.sqrt(used * share * (1 - share)) + 1
+    met = side("a").join(side("b"), ["band", "key"]).where((F.col("a") < F.col("b")) & able)
+    met = stored(met.select("a", "b", "size_a", "radius_a", "size_b", "radius_b").distinct())
+    reach = F.cos(furthest)
     known = met.withColumn("reach", reach).join(rows.select(F.col("vec_id").alias("a"), "signs", "factors"), "a").join(unit.select(F.col("vec_id").alias("b"), F.col("vec").alias("v")), "b")
     close = stored(likely(known, dim, rounds, options)).join(met, ["a", "b"])
     close = close.join(unit.select(F.col("vec_id").alias("a"), F.col("vec").alias("u")), "a").join(unit.select(F.col("vec_id").alias("b"), F.col("vec").alias("v")), "b")

@@ -2,7 +2,8 @@
 
 Both operations keep the components and pull every node towards the smallest
 node near it; a few rounds, about the logarithm of the longest chain, leave
-stars. All state lies in tables in the shared folder. A hot node's neighbours
+stars. All state lies in tables in the shared folder, where a round's tables make
+way for the next one's. A hot node's neighbours
 meet only in aggregates with partial sums and in joins that Spark may split.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, only_kept, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -33,16 +34,20 @@ def _mark(edges: DataFrame):
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node that links reach) of every node of (a, b) links."""
-    edges = stored(_ordered(links.select(F.col("a").alias("x"), F.col("b").alias("y"))))
+    spark = links.sparkSession
+    edges, held = stored(_ordered(links.select(F.col("a").alias("x"), F.col("b").alias("y")))), []
     mark = _mark(edges)
     while mark[0]:
-        # Large star: greater neighbours of a go to the least near a. Small star: a and its lesser neighbours do.
-        pairs = _both(edges)
-        large = stored(_ordered(pairs.join(_least(pairs), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))))
-        down = large.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = _least(down)
-        pulled = down.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
-        edges = stored(_ordered(pulled.unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))))
+        with only_kept(spark) as here:
+            # Large star: greater neighbours of a go to the least near a. Small star: a and its lesser neighbours do.
+            pairs = _both(edges)
+            large = stored(_ordered(pairs.join(_least(pairs), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))))
+            down = large.select(F.col("b").alias("a"), F.col("a").alias("b"))
+            least = _least(down)
+            pulled = down.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
+            edges = here.keep(stored(_ordered(pulled.unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y"))))))
+        discard(spark, held)
+        held = here.kept
         before, mark = mark, _mark(edges)
         if before == mark:
             break

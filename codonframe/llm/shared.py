@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,51 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if (here := _round.get()) is not None:
+        here.paths.append(path)
+    return path
+
+
+class Round:
+    """The tables written since it began. ``keep`` spares the one written last."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(self.paths.pop())
+        return df
+
+
+_round: ContextVar[Round | None] = ContextVar("round", default=None)
+
+
+@contextmanager
+def only_kept(spark: SparkSession):
+    """Deletes at its end, unless it ends in an error, what is written inside to the shared folder and not kept.
+
+    For steps whose outcome is a written table: whatever it was made of is of no use then.
+    """
+    token = _round.set(Round())
+    here = _round.get()
+    try:
+        yield here
+    except BaseException:
+        here.kept, here.paths = here.kept + here.paths, []
+        raise
+    finally:
+        _round.reset(token)
+        discard(spark, here.paths)
+        if (outer := _round.get()) is not None:
+            outer.paths.extend(here.kept)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from codonframe.llm.minhash import near_duplicates
 from codonframe.llm.packing import pack
 from codonframe.llm.quality_model import score_quality
 from codonframe.llm.registry import THRESHOLD
-from codonframe.llm.shared import in_fold, stored, table
+from codonframe.llm.shared import discard, in_fold, only_kept, stored, table
 from codonframe.llm.suffix_dedup import without_repeats
 from codonframe.llm.toxicity import score_toxicity
 
@@ -63,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed corpus. What a stage writes to the shared folder on its way goes once its result is written, and so does the result before."""
+    docs, held = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with only_kept(spark) as here:
+            docs = here.keep(stored(stage(spark, docs, sf_dir)))
+        discard(spark, held)
+        held = here.kept
     return docs

@@ -35,7 +35,9 @@ def _mark(edges: DataFrame):
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node that links reach) of every node of (a, b) links."""
     spark = links.sparkSession
-    edges, held = stored(_ordered(links.select(F.col("a").alias("x"), F.col("b").alias("y")))), []
+    with only_kept(spark) as here:
+        edges = here.keep(stored(_ordered(links.select(F.col("a").alias("x"), F.col("b").alias("y")))))
+    held = here.kept
     mark = _mark(edges)
     while mark[0]:
         with only_kept(spark) as here:

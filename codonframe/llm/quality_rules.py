@@ -79,7 +79,7 @@ def text_counts(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
     words, n = F.col("_words"), F.size("_words")
     grams = F.transform(
         F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
     )
     common = common_words()
     hits = F.filter(F.transform(words, F.lower), lambda w: w.isin(common))
@@ -88,9 +88,13 @@ def text_counts(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
         n.cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(grams).alias("_grams"),
+        grams.alias("_windows"),
         F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias("_hits"),
     )
+    # Sorted, equal windows are neighbours; most texts have none.
+    w = F.col("_windows")
+    placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = df.withColumn("_grams", F.when(F.size(F.array_distinct(w)) < F.size(w), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_windows")
     g = F.col("_grams")
     twice = F.filter(g, lambda x, j: (x["h"] == F.get(g, j - 1)["h"]) | (x["h"] == F.get(g, j + 1)["h"]))
     total = F.length(text)
@@ -169,14 +173,16 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", t
     """Counts, both distances and the verdict of every document, one row each.
 
     The per-document counts are written once; the references come from all of
-    them. Languages are few rows: a plain join that Spark may broadcast by size.
-    The word limits come from all distances, so those are written once too;
-    languages without a reference of their own share one limit.
+    them. References and word limits are a few rows a language; they are written
+    as tables, whose size Spark then knows, so that it broadcasts them if they are
+    small and does not deal the documents out by language. The word limits come
+    from all distances, so those are written once too; languages without a
+    reference of their own share one limit.
     """
     counts = stored(text_counts(docs, id_col, text_col, lang_col).withColumn("base_failed", base_failed()))
     n_chars, n_bins = 7, len(common_words()) + 1
     good = counts.where(~F.col("base_failed"))
-    by_lang = _pooled(good, ["_lang"], n_chars, n_bins).where(F.col("_docs") >= limits.min_docs).drop("_docs")
+    by_lang = stored(_pooled(good, ["_lang"], n_chars, n_bins).where(F.col("_docs") >= limits.min_docs).drop("_docs"))
     overall = _pooled(good, [], n_chars, n_bins).first()  # one row of fixed width, whatever the input
     joined = counts.join(by_lang, "_lang", "left").withColumns({
         "_band": F.least(F.floor(F.log2(F.greatest("n_words", F.lit(2)))), F.lit(TOP_BAND)).cast("int"),
@@ -189,9 +195,9 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", t
     word_d = F.when(long_enough[1], js_distance(_share(F.col("_bins")), F.col("_ref_bins")))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance"]
     scored = stored(joined.select("_key", "_band", *columns[:-2], char_d.alias("char_distance"), word_d.alias("word_distance")))
-    found = word_limits(scored, limits)  # at most 11 rows a language: dealing the documents out by language would put a common one in one task
+    found = stored(word_limits(scored, limits))  # at most 11 rows a language
     whole = found.where("_band = 0").select("_key", F.col("_word_limit").alias("_whole_limit"))
-    judged = scored.join(F.broadcast(found), ["_key", "_band"], "left").join(F.broadcast(whole), "_key", "left")
+    judged = scored.join(found, ["_key", "_band"], "left").join(whole, "_key", "left")
     word_limit = F.coalesce("_word_limit", "_whole_limit", F.lit(limits.max_word_distance))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= limits.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
     return judged.select(*columns, (~F.col("base_failed") & near).alias("kept"))

@@ -13,7 +13,7 @@ import numpy as np
 
 SPACE = 32
 #: Bytes of text taken together; a longer text is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _fold: np.ndarray | None = None
 _letter: np.ndarray | None = None

@@ -155,10 +155,13 @@ class Ratios:
         self.most = int(np.diff(self.begin).max(initial=0))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key, nan where it has none."""
+        """The value of each key, nan where it has none; a part of the keys at a time, as the way there takes several times their memory."""
         found = np.full(len(keys), np.nan, np.float32)
-        if not len(self.keys):
-            return found
+        for begin in range(0, len(keys) if len(self.keys) else 0, 1 << 17):
+            self._fill(keys[begin : begin + (1 << 17)], found[begin : begin + (1 << 17)])
+        return found
+
+    def _fill(self, keys: np.ndarray, found: np.ndarray) -> None:
         part = (keys >> self.shift).astype(np.int64)
         at, end = self.begin[part], self.begin[part + 1]
         open_ = np.flatnonzero(at < end)
@@ -169,7 +172,6 @@ class Ratios:
             open_ = open_[~hit & (place + 1 < end[open_])]
             if not len(open_):
                 break
-        return found
 
 
 def ratio_table(counts: DataFrame, options: KneserNey = KneserNey()) -> tuple[Ratios, Ratios]:

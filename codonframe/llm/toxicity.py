@@ -101,17 +101,25 @@ def _rows(codes: np.ndarray, kind: int, order: int) -> tuple[np.ndarray, ...]:
     low, lowest = (np.minimum(back, k).astype(np.int64) for k in SHARED)
     parts = [gram, _chosen(keys, size, at, 1), _chosen(keys, low, at), _chosen(keys, low, at, 1), _chosen(keys, lowest, at), _chosen(keys, lowest, at, 1)]
     free = back > SHARED[0]  # a letter stands before the low gram: it counts its kinds, not its times
+    if kind == ALL:  # what one kind of count does not need is 0, and costs nothing
+        parts[1] = np.zeros_like(gram)
+    else:
+        parts[3:], free = [np.zeros_like(gram)] * 3, np.zeros(len(at), bool)
     return (np.full(len(at), kind, np.int8), *[p.view(np.int64) for p in parts], free, n.astype(np.int64))
 
 
 NAMES = ("kind", "gram", "context", "low", "low_context", "lowest", "lowest_context", "free", "n")
 SCHEMA = "kind byte, gram long, context long, low long, low_context long, lowest long, lowest_context long, free boolean, n long"
+HELD_ROWS = 500_000
 #: kind: class 0 or 1, or the shared counts.
 ALL = 2
 
 
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """Counts of grams by class, and of the shared orders' grams over all rows of (label, text)."""
+    """Counts of grams by class, and of the shared orders' grams over all rows of (label, text).
+
+    A task combines about ``HELD_ROWS`` rows before it hands them on.
+    """
 
     def count(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -134,7 +142,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
                     if len(codes) > 1:
                         held.setdefault(kind, []).append(_rows(codes, kind, k))
                         size += len(held[kind][-1][0])
-            if size > 1_500_000:
+            if size > HELD_ROWS:
                 yield from flush()
                 size = 0
         yield from flush()

@@ -32,7 +32,7 @@ def between_codon(counts: DataFrame) -> DataFrame:
     both = side(1).join(side(2), ["product", "codon_num"]).where(F.col("group_1") < F.col("group_2"))
     unlike = F.flatten(F.transform("alleles_1", lambda x: F.transform(F.filter("alleles_2", lambda y: y["codon"] != x["codon"]), lambda y: F.struct(x["codon"].alias("a"), y["codon"].alias("b"), (x["cnt"] * y["cnt"]).alias("w")))))
     compared = (F.col("num_defined_1") > 0) & (F.col("num_defined_2") > 0)
-    same = (F.size("alleles_1") == 1) & (F.size("alleles_2") == 1) & (F.col("alleles_1")[0]["codon"] == F.col("alleles_2")[0]["codon"])
+    same = (F.size("alleles_1") == 1) & (F.size("alleles_2") == 1) & (F.get("alleles_1", F.lit(0))["codon"] == F.get("alleles_2", F.lit(0))["codon"])
 
     def sites(kind: str, lone: str) -> Column:
         of_one = F.coalesce(F.col(f"{lone}_1"), F.col(f"{lone}_2"), F.lit(0.0))

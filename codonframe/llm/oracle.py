@@ -73,5 +73,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
 FROM s LEFT JOIN lim own ON own.key = s.key AND own.band = s.band LEFT JOIN lim whole ON whole.key = s.key AND whole.band = 0"""
 
 
+# Every anchor against every row.
+NEGATIVES = """
+WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s, a.label = b.label AS same FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+t AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, s AS negative_score
+FROM t JOIN p USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC, "op3_embedding_dedup": EMBEDDINGS, "op5_suffix_dedup": SUFFIX, "op10_quality_rules": rules()}
+    return {"op1_warc": WARC, "op3_embedding_dedup": EMBEDDINGS, "op5_suffix_dedup": SUFFIX, "op10_quality_rules": rules(), "op11_hard_negatives": NEGATIVES}

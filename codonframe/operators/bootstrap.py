@@ -18,6 +18,10 @@ from .windows import row_windows
 from .within import MEASURES, rates
 
 
+#: Replicates that are drawn in one row of work.
+BLOCK = 500
+
+
 def _index(rep: Column, draw: Column, n: Column, keys: list[str], seed: int, arithmetic: bool, legacy_index0: bool) -> Column:
     """The place, from 1, that a draw takes; 0 takes none."""
     if arithmetic:
@@ -29,13 +33,19 @@ def replicates(codons: DataFrame, reps: int, seed: int, by: tuple[str, ...] = ("
     """by, rep and the four sums of as many drawn codons as the product has.
 
     Codons where ``keep`` is false are drawn and add nothing. ``legacy_index0`` draws a place before the first, too, which adds nothing.
-    A product's measures are one array, as long as the product; a replicate draws from it and adds up in its own row, so
-    that one shuffle by product is all.
+    A product's measures are one array, as long as the product; a replicate draws from it and adds up in its own row.
+    Products are dealt over all tasks by a stated number, which adaptive execution does not lower for small arrays, and where there are more
+    replicates than ``BLOCK``, so are blocks of replicates, each with the array once: one product uses all tasks. What is drawn does not depend on it.
     """
     keys = list(by)
     held = codons if keep is None else codons.withColumns({m: F.when(keep, F.col(m)).otherwise(0.0) for m in MEASURES})
-    rows = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("codon_num", *MEASURES))).alias("_a"))
-    rows = rows.select(*keys, "_a", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    tasks = int(codons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = held.select(*keys, "codon_num", *MEASURES).repartition(tasks, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("codon_num", *MEASURES))).alias("_a"))
+    first = F.explode(F.sequence(F.lit(1), F.lit(reps), F.lit(BLOCK))).alias("_first")
+    rows = rows.select(*keys, "_a", first)
+    if reps > BLOCK:
+        rows = rows.repartition(tasks, *keys, "_first")
+    rows = rows.select(*keys, "_a", F.explode(F.sequence("_first", F.least(F.col("_first") + BLOCK - 1, F.lit(reps)))).alias("rep"))
     size = F.size("_a")
     take = lambda draw: F.get("_a", (_index(F.col("rep"), draw, size, keys, seed, arithmetic, legacy_index0) - 1).cast("int"))
     drawn = rows.select(*keys, "rep", F.transform(F.sequence(F.lit(1), size), take).alias("_d"))

@@ -716,8 +716,8 @@ def clc_files(spark, d):
 
 @query(f"SELECT site, ref, alt, count, coverage, freq, products FROM ({_GENEIOUS})")
 def geneious_files(spark, d):
-    # One file: a variant's rows for several products stand in the same report.
-    path = _written(_geneious_report(spark, d).drop("file").coalesce(1), views.scratch(spark), ",")
+    # A variant's rows for several products stand in the same report.
+    path = _written(_geneious_report(spark, d).drop("file").repartition("Minimum", "Change"), views.scratch(spark), ",")
     return _named(reports.read_geneious(spark, path)).drop("file")
 
 
@@ -737,6 +737,28 @@ def vcf_files(spark, d):
     return rounded(reports.read_vcf(spark, back, 2).select("site", "ref", "alt", "count", "coverage", "freq"), 6)
 
 
+#: Samples of three reports, in the order of their columns.
+_SAMPLES = (("A1",), ("B1", "B2"), ("C3", "A1", "C2"))
+
+
+@query(_REPORT + ", s(k, sample, j) AS (VALUES " + ", ".join(f"({k}, '{s}', {j})" for k, names in enumerate(_SAMPLES) for j, s in enumerate(names)) + """),
+v AS (SELECT s.k AS report, sample, CAST(site AS INT) AS site, ref, alt, u.k AS nth, 7 + j AS n0, n1 + j AS n1, n2, two FROM u JOIN s ON u.dp % 3 = s.k)
+SELECT report, sample, site, ref, alt, CAST(CASE WHEN nth = 0 THEN n1 ELSE n2 END AS DOUBLE) AS count, CAST(n0 + n1 + CASE WHEN two THEN n2 ELSE 0 END AS DOUBLE) AS coverage,
+ round(CASE WHEN nth = 0 THEN n1 ELSE n2 END / CAST(n0 + n1 + CASE WHEN two THEN n2 ELSE 0 END AS DOUBLE), 6) AS freq FROM v""")
+def vcf_many_files(spark, d):
+    """Reports with unlike samples, written to one folder and read together: each line's samples are those of its own file."""
+    path = views.scratch(spark)
+    rows = _report(spark, d).withColumn("ALT", F.when(F.col("two"), F.concat_ws(",", "x", "y")).otherwise(F.col("x")))
+    for k, samples in enumerate(_SAMPLES):
+        reads = lambda j: F.concat_ws(",", F.lit(7 + j), F.col("n1") + j, F.when(F.col("two"), F.col("n2")))
+        values = [F.concat_ws(":", F.lit("0/1"), reads(j), F.col("dp").cast("string")).alias(s) for j, s in enumerate(samples)]
+        part = rows.where(F.col("dp") % 3 == k).select(F.lit(f"r{k}").alias("CHROM"), "POS", F.lit(".").alias("ID"), "REF", "ALT", F.lit(".").alias("QUAL"), F.lit("PASS").alias("FILTER"), F.lit(".").alias("INFO"), F.lit("GT:AD:DP").alias("FORMAT"), *values)
+        reports.write_vcf(part, f"{path}/{k}", _HEAD, [*_NAMES, "FORMAT", *samples])
+    lines = spark.read.text(f"{path}/*").select(F.regexp_extract("_metadata.file_path", r"/(\d)/[^/]*$", 1).alias("_report"), F.col("_metadata.file_name").alias("_name"), "value")
+    found = reports.parse_vcf_lines(lines.select(F.concat_ws("/", "_report", "_name").alias("file"), "value"), 4)
+    return rounded(found.select(F.substring("file", 1, 1).cast("int").alias("report"), F.regexp_extract("file", "([^:]*)$", 1).alias("sample"), "site", "ref", "alt", "count", "coverage", "freq"), 6)
+
+
 @query(W + f' SELECT grp AS "group", product, codon_num, variability, CAST(n AS DOUBLE) AS num_defined_seqs, {o.FOUR} FROM wc')
 def codon_result_files(spark, d):
     """The codon table, written and read again by its own delimiter."""
@@ -755,12 +777,12 @@ def fasta_files(spark, d):
 
 
 @query("""
-WITH l AS (SELECT l_partkey AS a, l_partkey + l_suppkey * 3 + 2 AS b, 'G' || CAST(l_suppkey % 7 AS VARCHAR) AS g, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS s FROM lineitem)
+WITH l AS (SELECT l_partkey AS a, l_partkey + l_suppkey * 3 + 2 AS b, 'G' || CAST(l_orderkey AS VARCHAR) AS g, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS s FROM lineitem)
 SELECT g AS product, s AS strand, count(*) AS n_segments, CAST(sum(b - a + 1) AS BIGINT) AS bases, CAST(min(a) AS INT) AS first_start, CAST((list(b ORDER BY a DESC, b DESC))[1] AS INT) AS last_stop FROM l GROUP BY ALL""")
 def gtf_files(spark, d):
     """Segments written as GTF, read again and gathered by product and strand."""
     rows = views.table(spark, d, "lineitem").select(
-        F.concat(F.lit("G"), (F.col("l_suppkey") % 7).cast("string")).alias("product"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_suppkey") * 3 + 2).alias("stop"), F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"),
+        F.concat(F.lit("G"), F.col("l_orderkey").cast("string")).alias("product"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_suppkey") * 3 + 2).alias("stop"), F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"),
     )
     path = views.scratch(spark)
     gtf.write_gtf(rows, path)

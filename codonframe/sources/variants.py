@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from codonframe.functions.sequence import reverse_complement_allele
 
+#: Bytes of header lines up to which they are sent to all tasks.
+HEADER_BYTES = 64 << 20
 COLUMNS = ("file", "site", "ref", "alt", "count", "coverage", "freq", "products")
 CLC = {"site": "Reference Position", "type": "Type", "ref": "Reference", "alt": "Allele", "count": "Count", "coverage": "Coverage", "freq": "Frequency", "products": "Overlapping annotations"}
 GENEIOUS = {"site": "Minimum", "last": "Maximum", "type": "Polymorphism Type", "product": "product", "change": "Change", "coverage": "Coverage", "freq": "Variant Frequency"}
@@ -61,7 +63,7 @@ def _numbers(text: Column) -> Column:
 
 
 def parse_vcf(rows: DataFrame, vcf_format: int, samples: list[str] | None = None) -> DataFrame:
-    """From the columns of a VCF (file, POS, REF, ALT, INFO and, for format 4, FORMAT and ``samples``).
+    """From the columns of a VCF (file, POS, REF, ALT, INFO and, for format 4, FORMAT and ``samples``, or an array ``_samples`` of sample and value).
 
     1: AN (or NS) and AF. 2: DP and AF. 3: DP4, the other reads dealt evenly to
     several alternatives. 4: AD and DP of each sample; where DP is not the sum of
@@ -78,10 +80,10 @@ def parse_vcf(rows: DataFrame, vcf_format: int, samples: list[str] | None = None
         share = F.when(F.col("coverage") > 0, (F.col("_d")[2] + F.col("_d")[3]) / F.size("_alts") / F.col("coverage")).otherwise(0.0)
         found = found.withColumn("_freqs", F.transform("_alts", lambda _: share)).drop("_d")
     elif vcf_format == 4:
-        if not samples:
+        if not samples and "_samples" not in rows.columns:
             raise ValueError("format 4 needs the names of the sample columns")
-        each = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"`{s}`").alias("value")) for s in samples]))
-        long = rows.select(*base, "FORMAT", each.alias("_s"))
+        each = F.col("_samples") if not samples else F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"`{s}`").alias("value")) for s in samples])
+        long = rows.select(*base, "FORMAT", F.explode(each).alias("_s"))
         values = F.map_from_arrays(F.split("FORMAT", ":"), F.slice(F.concat(F.split("_s.value", ":"), F.array_repeat(F.lit(""), F.size(F.split("FORMAT", ":")))), F.lit(1), F.size(F.split("FORMAT", ":"))))
         long = long.withColumn("_v", values).withColumn("_ad", _numbers(F.try_element_at("_v", F.lit("AD"))))
         summed = F.aggregate("_ad", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
@@ -94,16 +96,33 @@ def parse_vcf(rows: DataFrame, vcf_format: int, samples: list[str] | None = None
     return out.where(F.col("freq").isNotNull()).select(*COLUMNS)
 
 
-def read_vcf(spark: SparkSession, path: str, vcf_format: int) -> DataFrame:
-    """One of the four supported layouts of a VCF file; the header line names the samples."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    header = lines.where(F.col("value").startswith("#CHROM")).select("value").first()
-    if header is None:
-        raise ValueError(f"{path} has no #CHROM line")
-    names = header[0].lstrip("#").split("\t")
-    part = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select("file", *[F.get(part, F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return parse_vcf(rows, vcf_format, names[9:])
+def parse_vcf_lines(lines: DataFrame, vcf_format: int) -> DataFrame:
+    """From (file, value): the lines of any number of VCF files, each with its own ``#CHROM`` line.
+
+    Columns and samples are those that a line's own file names, so files may differ in their
+    samples and in the order of their columns. The header lines, one for each file, are
+    sent to all tasks up to ``HEADER_BYTES`` by their own measure, and joined by file
+    beyond. A file that has variants and no header is an error when they are read,
+    and so is one with two different headers. Files without variants have no rows.
+    """
+    found = lines.where(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.min("value").alias("_least"), F.max("value").alias("_most"))
+    two = F.raise_error(F.concat(F.lit("two different #CHROM lines in "), "file")).cast("string")
+    names = F.split(F.regexp_replace(F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(two), "^#", ""), "\t")
+    headers = found.select("file", names.alias("_names"))
+    if (found.agg(F.sum(F.length("_least") + F.length("file"))).first()[0] or 0) <= HEADER_BYTES:
+        headers = F.broadcast(headers)
+    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("file", F.split("value", "\t").alias("_part"))
+    none = F.raise_error(F.concat_ws("", F.lit("no #CHROM line in "), "file")).cast("array<string>")
+    body = body.join(headers, "file", "left").withColumn("_names", F.coalesce("_names", none))
+    at = lambda name: F.get("_part", F.array_position("_names", name).cast("int") - 1).alias(name)
+    rows = body.select("file", *[at(n) for n in ("POS", "REF", "ALT", "INFO", "FORMAT")], F.col("_part"), F.col("_names"))
+    pair = F.arrays_zip(F.slice("_names", 10, F.size("_names")).alias("sample"), F.slice("_part", 10, F.greatest(F.size("_names") - 9, F.lit(0))).alias("value"))
+    return parse_vcf(rows.withColumn("_samples", pair).drop("_part", "_names"), vcf_format)
+
+
+def read_vcf(spark: SparkSession, path: str | list[str], vcf_format: int) -> DataFrame:
+    """One of the four supported layouts, of a file, of several or of a folder; each file's own header line names its columns and samples."""
+    return parse_vcf_lines(spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value"), vcf_format)
 
 
 def read_vcf_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:

@@ -145,6 +145,14 @@ def test_bootstrap_error_is_near_the_analytic_one(spark):
     assert z.significance == "***"
 
 
+def test_replicates_of_one_product_use_all_tasks(spark, monkeypatch):
+    df = table(spark, range(1, 30))
+    whole = {r.rep: r.N_diffs for r in bootstrap.replicates(df, 120, 5).collect()}
+    monkeypatch.setattr(bootstrap, "BLOCK", 7)
+    dealt = bootstrap.replicates(df, 120, 5).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.rep: r.N_diffs for r in dealt} == whole and sorted(whole) == list(range(1, 121)) and len({r.task for r in dealt}) == 4
+
+
 def test_significance_level_of_replicates(spark):
     df = spark.createDataFrame([("P", r, 1.0, 1.0, d, 0.5) for r, d in enumerate([0.6, 0.7, 0.5, 0.2])], "product string, rep int, N_sites double, S_sites double, N_diffs double, S_diffs double")
     r = bootstrap.achieved_significance(df).first()

@@ -54,6 +54,25 @@ def test_vcf_reader_and_other_strand(spark, tmp_path):
     assert revcom.revcom_vcf(rows, 10, legacy_alt_order=True).first().ALT == "AA,c"
 
 
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_vcf_files_with_headers_of_their_own(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(variants, "HEADER_BYTES", limit)
+    top = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "a.vcf").write_text(f"##h\n{top}A1\nc\t5\t.\tA\tG\t.\t.\t.\tAD\t6,3\n")
+    (tmp_path / "b.vcf").write_text(f"{top}B2\tB1\nc\t5\t.\tA\tG\t.\t.\t.\tAD\t1,1\t2,6\nc\t9\t.\tA\tG\t.\t.\t.\tAD\t4,0\n")
+    (tmp_path / "d.vcf").write_text(f"{top}D1\n")  # no variants
+    (tmp_path / "e.vcf").write_text("#CHROM\tPOS\tREF\tALT\tINFO\nc\t7\tA\tG\tDP=8;AF=0.5\n")  # no samples, fewer columns
+    found = sorted((r.file, r.site, r["count"], r.coverage) for r in variants.read_vcf(spark, str(tmp_path / "*.vcf"), 4).collect())
+    assert found == [("a.vcf:A1", 5, 3, 9), ("b.vcf:B1", 5, 6, 8), ("b.vcf:B2", 5, 1, 2), ("b.vcf:B2", 9, 0, 4)]  # a line that ends early has no more samples
+    assert [(r.file, r.site, r["count"]) for r in variants.read_vcf(spark, [str(tmp_path / "e.vcf"), str(tmp_path / "d.vcf")], 2).collect()] == [("e.vcf", 7, 4)]
+    (tmp_path / "f.vcf").write_text("c\t7\t.\tA\tG\t.\t.\tDP=8;AF=0.5\n")
+    with pytest.raises(Exception, match="no #CHROM line in f.vcf"):
+        variants.read_vcf(spark, str(tmp_path), 2).collect()
+    (tmp_path / "f.vcf").write_text(f"{top}F1\n{top}F2\nc\t7\t.\tA\tG\t.\t.\tDP=8;AF=0.5\tAD\t1,1\n")
+    with pytest.raises(Exception, match="two different"):
+        variants.read_vcf(spark, str(tmp_path), 4).collect()
+
+
 def test_clc_and_geneious_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text('Mapping\tReference Position\tType\tReference\tAllele\tCount\tCoverage\tFrequency\tOverlapping annotations\nm\t7\tSNV\tA\tG\t30\t"1,200"\t2.5\t"CDS: O1, CDS: O2"\nm\t8\tMNV\tAA\tGG\t1\t2\t50\t\n')
     r = variants.read_clc(spark, str(tmp_path / "c.txt")).collect()

@@ -82,21 +82,21 @@ def _pool_strand(spark, a, found, segments, reference, size, strand) -> None:
     out = a.out if strand == "+" else f"{a.out}/minus_strand"
     if strand == "-":
         found, reference, segments = variants.revcom_variants(found, size), revcom.revcom_sequences(reference.withColumnRenamed("chrom", "header")), revcom.revcom_segments(segments, size)
-    letters = pool.reference_sites(reference)
     cds, every = gtf.cds_sites(segments.where(F.col("strand") == "+")), gtf.both_strands(segments, size)
+    letters = pool.reference_at(reference, cds)
     sites, codon_results = pool.pool_sites(found, cds, letters, every), pool.pool_codons(found, cds, letters, every)
     tagged = lambda df: df.withColumn("strand", F.lit(strand))
     tables.write_tsv(tagged(sites).orderBy(F.col("product") == "noncoding", "product", "site"), f"{out}/site_results")
     tables.write_tsv(tagged(codon_results), f"{out}/codon_results")
     tables.write_tsv(tagged(pool.pool_products(codon_results, sites)), f"{out}/product_results")
-    tables.write_tsv(tagged(pool.pool_population(codon_results, sites, cds, letters)), f"{out}/population_summary")
+    tables.write_tsv(tagged(pool.pool_population(codon_results, sites, cds, reference)), f"{out}/population_summary")
     tables.write_tsv(tagged(windows.sliding_windows(codon_results, a.slidingwindow, 1, ("file", "product"))), f"{out}/sliding_window_length{a.slidingwindow}_results")
 
 
 def run_pool(spark, a) -> None:
     read = {"clc": variants.read_clc, "geneious": variants.read_geneious, "vcf": lambda s, p: variants.read_vcf(s, p, a.vcfformat)}[a.report]
     report = read(spark, a.snpreport)
-    found = variants.minimum_frequency(report, a.minfreq)
+    found = variants.minimum_frequency(variants.merged(report), a.minfreq)
     reference, segments = fasta.read_reference(spark, a.fasta), gtf.read_gtf(spark, a.gtf, None)
     size = reference.select(F.length("seq")).first()[0]
     strands = [r[0] for r in segments.select("strand").distinct().collect()]  # + and -

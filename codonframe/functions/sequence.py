@@ -22,8 +22,9 @@ def is_defined(codon: Column, strict_reference_missing: bool = False) -> Column:
 
 
 def spliced(seq: Column, segments: Column) -> Column:
-    """The coding sequence: 1-based inclusive segments (start, stop), in their order, one after another."""
-    return F.array_join(F.transform(segments, lambda s: F.substring(seq, s["start"], s["stop"] - s["start"] + 1)), "")
+    """The coding sequence: 1-based inclusive segments (start, stop), in their order, one after another. Bytes are cut: a place in them is found at once."""
+    raw = seq.cast("binary")
+    return F.array_join(F.transform(segments, lambda s: F.substring(raw, s["start"], s["stop"] - s["start"] + 1).cast("string")), "")
 
 
 def codons(cds: Column) -> Column:

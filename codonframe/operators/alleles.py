@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codonframe.functions.sequence import translated
 
+from . import pieces
 from .codons import KEY
 
 BASES = ("A", "C", "G", "T")
@@ -40,9 +41,9 @@ def minor_count_histogram(variants: DataFrame) -> DataFrame:
 
 
 def site_counts(seqs: DataFrame) -> DataFrame:
-    """group, site, A, C, G, T of an alignment; other letters do not count."""
-    letters = seqs.select("group", F.posexplode(F.split("seq", "")).alias("_at", "nt")).where(F.col("nt") != "")
-    return base_counts(letters.select("group", (F.col("_at") + 1).alias("site"), "nt"), "group", "site")
+    """group, site, A, C, G, T of an alignment; other letters do not count. Sequences are cut into pieces before they become a row for each base."""
+    found = base_counts(pieces.site_rows(pieces.cut(seqs, "group"), ("group",)), "group", "site")
+    return found.withColumn("site", F.col("site").cast("int"))
 
 
 def base_counts(reads: DataFrame, *by: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonframe.functions.sequence import codons, is_defined, spliced
+from codonframe.functions.sequence import is_defined
 from codonframe.genetics.code import with_sites
 
+from . import pieces
+
 KEY = ("group", "product", "codon_num")
-#: Products spliced out of a sequence together, and the size up to which an annotation is sent to all tasks.
-BUCKET_ROWS, BROADCAST_BYTES = 1_000, 64 << 20
+#: Codons cut by a splice that are taken out of a sequence together.
+BUCKET_ROWS = 1_000
 
 
 def validated(seqs: DataFrame) -> DataFrame:
@@ -28,27 +30,24 @@ def validated(seqs: DataFrame) -> DataFrame:
 def codon_columns(seqs: DataFrame, products: DataFrame) -> DataFrame:
     """group, product, codon_num, codon: a row for each codon of each sequence and product.
 
-    ``products`` holds product and segments. They are dealt into buckets of some
-    ``BUCKET_ROWS``; each sequence meets each bucket and is spliced for all products in it at once, so
-    that only codons leave the row. An annotation of at most ``BROADCAST_BYTES``, by its
-    own measure, goes to the sequences; a larger one is joined by bucket. A
-    product that reaches beyond its sequence is an error when the codons are read.
+    ``products`` holds product and segments. Sequences are cut into pieces, which meet the coding
+    segments that begin codons in them, so that time is linear in their length.
+    The few codons that a splice cuts are taken from the sequence itself: they are dealt into buckets of some
+    ``BUCKET_ROWS``, and each sequence meets each bucket. Annotations are broadcast up to
+    a size by their own measure, and joined beyond. A product that reaches beyond its sequence is an error when the codons are read.
     """
-    size = products.agg(F.count("*").alias("n"), F.sum(8 * F.size("segments") + F.coalesce(F.length("product"), F.lit(0)) + 32).alias("bytes")).first()
-    buckets = -(-size["n"] // BUCKET_ROWS) or 1
-    known = products.select(F.pmod(F.xxhash64("product"), F.lit(buckets)).cast("int").alias("_bucket"), F.struct("product", "segments").alias("_p"))
-    known = known.groupBy("_bucket").agg(F.collect_list("_p").alias("_products"))
-    if (size["bytes"] or 0) <= BROADCAST_BYTES:
-        known = F.broadcast(known)
-    rows = seqs.select("group", "seq", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket")).join(known, "_bucket")
-
-    def cut(p):
-        reach = F.array_max(F.transform(p["segments"], lambda s: s["stop"]))
-        beyond = F.raise_error(F.concat(F.lit("product beyond the end of a sequence: "), p["product"])).cast("string")
-        cds = F.when(reach <= F.length("seq"), spliced(F.col("seq"), p["segments"])).otherwise(beyond)
-        return F.transform(codons(cds), lambda c, i: F.struct(p["product"].alias("product"), (i + 1).alias("codon_num"), c.alias("codon")))
-
-    return rows.select("group", F.explode(F.flatten(F.transform("_products", cut))).alias("_c")).select("group", "_c.product", "_c.codon_num", "_c.codon")
+    whole = pieces.unbroken_codons(pieces.cut(seqs, "group"), products, ("group",))
+    split = pieces.spliced_codons(products)
+    n = split.count()
+    if not n:
+        return whole
+    buckets = -(-n // BUCKET_ROWS)
+    known = split.groupBy(F.pmod(F.xxhash64("product", "codon_num"), F.lit(buckets)).cast("int").alias("_bucket")).agg(F.collect_list(F.struct("product", "codon_num", "sites")).alias("_split"))
+    known = pieces.sent(known, F.aggregate("_split", F.lit(0), lambda a, x: a + F.length(x["product"]) + 64))
+    met = seqs.select("group", F.col("seq").cast("binary").alias("_raw"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket")).join(known, "_bucket")
+    letter = lambda site: F.substring(F.col("_raw"), site.cast("int"), F.lit(1)).cast("string")
+    found = F.transform("_split", lambda x: F.struct(x["product"].alias("product"), x["codon_num"].alias("codon_num"), F.concat(*[letter(x["sites"][i]) for i in range(3)]).alias("codon")))
+    return whole.unionByName(met.select("group", F.explode(found).alias("_c")).select("group", "_c.product", "_c.codon_num", "_c.codon"))
 
 
 def codon_counts(columns: DataFrame, strict_reference_missing: bool = False) -> DataFrame:

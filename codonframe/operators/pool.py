@@ -1,18 +1,22 @@
 """Pooled samples: diversity from variant reports.
 
-Derived from the documented definitions. Sites of a codon are taken as
-independent: each is set against the reference codon with its other bases.
+Derived from the documented definitions. Reads do not say which variants stand
+together, so sites of a codon are taken as independent. Pairs at a site are set against each
+other with the reference's bases around them. A codon's sites, and its differences from
+the reference, are means over its haplotypes, of which three sites make at most 64: each has the
+product of its bases' frequencies. ``variable_sites`` says where that was needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonframe.functions.sequence import translated
 from codonframe.functions.stats import ratio
 from codonframe.genetics.code import with_differences, with_sites
 
+from . import pieces
 from .alleles import BASES, gene_diversity, majority, pi_of, variant_type
 
 
@@ -33,6 +37,22 @@ def reference_sites(reference: DataFrame) -> DataFrame:
     return letters.select((F.col("_before") + F.col("_at") + 1).alias("site"), "ref_nt")
 
 
+def reference_at(reference: DataFrame, cds: DataFrame) -> DataFrame:
+    """site, ref_nt of a reference table (seq), at the coding sites of ``cds`` alone."""
+    return letters_at(pieces.cut(reference), cds)
+
+
+def letters_at(reference: DataFrame, cds: DataFrame) -> DataFrame:
+    """site, ref_nt of a reference in pieces, at the coding sites of ``cds`` alone: no row is made of any other base."""
+    asked = cds.select("site").distinct().withColumn("piece", F.floor((F.col("site") - 1) / pieces.PIECE).cast("int"))
+    # A piece's sites in one row, so that it is cut where it is.
+    asked = asked.groupBy("piece").agg(F.collect_list("site").alias("_sites"))
+    raw = F.col("bases").cast("binary")
+    letter = lambda x: F.substring(raw, (x - F.col("piece").cast("long") * pieces.PIECE).cast("int"), F.lit(1)).cast("string")
+    found = reference.join(asked, "piece").select(F.explode(F.transform("_sites", lambda x: F.struct(x.alias("site"), letter(x).alias("ref_nt")))).alias("_x"))
+    return found.select("_x.site", "_x.ref_nt").where(F.col("ref_nt") != "")
+
+
 def with_every_file(codons: DataFrame, variants: DataFrame) -> DataFrame:
     """Each codon once for each file. Codons are dealt into buckets, and a file meets each of them: no task has all pairs."""
     files = variants.select("file").distinct().select("file", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("_bucket"))
@@ -66,6 +86,38 @@ def overlaps(cds: DataFrame) -> DataFrame:
     return cds.groupBy("site").agg((F.count_distinct("product", *[c for c in ("strand",) if c in cds.columns]) - 1).alias("overlapping_ORFs"))
 
 
+#: Places of a block of the sweep.
+BLOCK = 1 << 16
+
+
+def overlap_intervals(segments: DataFrame) -> DataFrame:
+    """start, stop, products: stretches of places that equally many products cover, from segments (product, strand, start, stop) in the same coordinates.
+
+    A sweep line: a product's segments, joined where they meet, begin with +1 and end with
+    -1, and the running sum is the number of products. The sum runs inside blocks of
+    ``BLOCK`` places, over what the blocks before have added up to; so a task sweeps a
+    block, and only a row for each block is summed in one.
+    """
+    own = Window.partitionBy("product", "strand").orderBy("start", "stop")
+    reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    rows = segments.select("product", "strand", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).where(F.col("start") <= F.col("stop"))
+    rows = rows.withColumn("_new", F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int")).withColumn("_part", F.sum("_new").over(own))
+    rows = rows.groupBy("product", "strand", "_part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    edges = rows.select(F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct((F.col("stop") + 1).alias("at"), F.lit(-1).alias("step")))).alias("_e"))
+    edges = edges.groupBy(F.col("_e.at").alias("at")).agg(F.sum("_e.step").alias("step")).withColumn("_block", F.floor(F.col("at") / BLOCK))
+    blocks = edges.groupBy("_block").agg(F.sum("step").alias("_sum"), F.min("at").alias("_least"))
+    line = Window.orderBy("_block")  # one row for a block
+    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_least").over(line).alias("_next"))
+    inside = Window.partitionBy("_block").orderBy("at")
+    found = edges.join(blocks, "_block").select(F.col("at").alias("start"), (F.coalesce(F.lead("at").over(inside), "_next") - 1).alias("stop"), (F.col("_before") + F.sum("step").over(inside)).alias("products"))
+    return found.where(F.col("products") > 0)
+
+
+def interval_sites(intervals: DataFrame) -> DataFrame:
+    """site, overlapping_ORFs of ``overlap_intervals``: products that cover a site, less one."""
+    return intervals.select(F.explode(F.sequence("start", "stop")).alias("site"), (F.col("products") - 1).alias("overlapping_ORFs"))
+
+
 def _alleles(counts: DataFrame, cds: DataFrame, codons: DataFrame) -> DataFrame:
     """A row for each base with reads at a coding site: its count and the codon it makes."""
     coding = counts.join(cds.select("site", "product", "codon_num", "position_in_codon"), "site").join(codons.select("product", "codon_num", F.col("codon").alias("ref_codon")), ["product", "codon_num"])
@@ -99,35 +151,69 @@ def pool_sites(variants: DataFrame, cds: DataFrame, reference: DataFrame, every_
     )
 
 
+def variant_codons(counts: DataFrame, cds: DataFrame, codons: DataFrame) -> DataFrame:
+    """file, product, codon_num, ref_codon and _at: for each of the three sites in order its bases with reads (nt, cnt), n (their sum), coverage and gdiv.
+
+    A site without a variant has the reference's base alone. All that a codon's measures need is in its row.
+    """
+    reads = F.filter(F.array(*[F.struct(F.lit(b).alias("nt"), F.col(b).cast("double").alias("cnt")) for b in BASES]), lambda x: x["cnt"] > 0)
+    coding = counts.join(cds.select("site", "product", "codon_num", "position_in_codon"), "site")
+    one = lambda i: F.first(F.when(F.col("position_in_codon") == i, F.struct(reads.alias("reads"), F.col("coverage").cast("double").alias("coverage"), F.when(F.col("polymorphic"), F.col("gdiv")).alias("gdiv"))), ignorenulls=True)
+    held = coding.groupBy("file", "product", "codon_num").agg(*[one(i).alias(f"_{i}") for i in (1, 2, 3)])
+    held = held.join(codons.select("product", "codon_num", F.col("codon").alias("ref_codon")), ["product", "codon_num"])
+    plain = lambda i: F.struct(F.array(F.struct(F.substring("ref_codon", i, 1).alias("nt"), F.lit(1.0).alias("cnt"))).alias("reads"), F.lit(1.0).alias("coverage"), F.lit(None).cast("double").alias("gdiv"))
+    return held.select("file", "product", "codon_num", "ref_codon", F.array(*[F.coalesce(f"_{i}", plain(i)) for i in (1, 2, 3)]).alias("_at"))
+
+
+def _made(i: int, nt: Column) -> Column:
+    """The reference codon with another base at place ``i`` (from 0)."""
+    return F.concat(F.substring("ref_codon", 1, i), nt, F.substring("ref_codon", i + 2, 3))
+
+
+def haplotypes() -> Column:
+    """Of a row of ``variant_codons``: the codons that its sites' bases make (b) with the products of their frequencies (w); with the reference codon as a."""
+    at = [F.col("_at")[i]["reads"] for i in range(3)]
+    total = [F.aggregate(x, F.lit(0.0), lambda n, y: n + y["cnt"]) for x in at]
+    share = lambda i, x: x["cnt"] / total[i]
+    made = lambda x: F.transform(at[1], lambda y: F.transform(at[2], lambda z: F.struct(F.lit("h").alias("kind"), F.col("ref_codon").alias("a"), F.concat(x["nt"], y["nt"], z["nt"]).alias("b"), (share(0, x) * share(1, y) * share(2, z)).alias("w"))))
+    return F.flatten(F.transform(at[0], lambda x: F.flatten(made(x))))
+
+
+def _site_pairs(i: int) -> Column:
+    """Pairs of a site's bases, each in the reference codon, weighted by their share of the pairs of reads."""
+    reads, n = F.col("_at")[i]["reads"], F.col("_at")[i]["coverage"]
+    weight = lambda x, y: F.when(n > 1, x["cnt"] * y["cnt"] / (n * (n - 1) / 2)).otherwise(0.0)
+    return F.flatten(F.transform(reads, lambda x, k: F.transform(F.slice(reads, k + 2, 4), lambda y: F.struct(F.lit("d").alias("kind"), _made(i, x["nt"]).alias("a"), _made(i, y["nt"]).alias("b"), weight(x, y).alias("w")))))
+
+
 def pool_codons(variants: DataFrame, cds: DataFrame, reference: DataFrame, every_cds: DataFrame | None = None) -> DataFrame:
-    """A row for each codon of each product: differences, sites and gene diversity; codons without variants have the reference's sites. ``every_cds`` as in ``pool_sites``."""
+    """A row for each codon of each product: differences, sites and gene diversity; codons without variants have the reference's sites. ``every_cds`` as in ``pool_sites``.
+
+    Reads are counted once. A codon's haplotypes, pairs and classes come from its own row of ``variant_codons``, so
+    that nothing is shuffled again by codon.
+    """
     counts = with_diversity(pool_counts(variants))
     codons = reference_codons(cds, reference)
     every = with_every_file(with_sites(codons).withColumnsRenamed({"n_sites": "N_sites_ref", "s_sites": "S_sites_ref"}).drop("aa"), variants)
     covered = cds.join(overlaps(cds if every_cds is None else every_cds), "site").groupBy("product", "codon_num").agg(F.sum((F.col("overlapping_ORFs") > 0).cast("long")).alias("num_overlap_ORF_nts"))
-    alleles = _alleles(counts, cds, codons)
     place = ["file", "product", "codon_num"]
-    share = F.try_divide(F.col("cnt"), F.col("coverage"))
-    own = with_differences(with_sites(with_sites(alleles), "ref_codon", "ref_"), "ref_codon", "codon")
-    # First order: each site's alleles change the codon's sites by their share.
-    moved = own.groupBy(*place).agg(
-        F.sum(share * (F.coalesce("n_sites", F.lit(0.0)) - F.coalesce("ref_n_sites", F.lit(0.0)))).alias("_n"), F.sum(share * (F.coalesce("s_sites", F.lit(0.0)) - F.coalesce("ref_s_sites", F.lit(0.0)))).alias("_s"),
-        F.sum(share * F.col("n_diff")).alias("N_diffs_vs_ref"), F.sum(share * F.col("s_diff")).alias("S_diffs_vs_ref"),
-    )
-    at = [*place, "site"]
-    one = alleles.select(*at, "coverage", F.col("codon").alias("codon_a"), F.col("cnt").alias("cnt_a"))
-    two = alleles.select(*at, F.col("codon").alias("codon_b"), F.col("cnt").alias("cnt_b"))
-    pairs = with_differences(one.join(two, at).where(F.col("codon_a") < F.col("codon_b")), "codon_a", "codon_b")
-    weight = F.when(F.col("coverage") > 1, F.try_divide(F.col("cnt_a") * F.col("cnt_b"), F.col("coverage") * (F.col("coverage") - 1) / 2)).otherwise(0.0)
-    diffs = pairs.groupBy(*place).agg(F.sum(weight * F.col("n_diff")).alias("N_diffs"), F.sum(weight * F.col("s_diff")).alias("S_diffs"))
-    sites = pool_sites(variants, cds, reference).join(cds.select("site", "product", "codon_num"), ["site", "product"])
-    diversity = sites.groupBy(*place).agg((F.sum("gdiv") / 3).alias("gdiv"), F.avg(F.when(F.col("class") == "Nonsynonymous", F.col("gdiv"))).alias("N_gdiv"), F.avg(F.when(F.col("class") == "Synonymous", F.col("gdiv"))).alias("S_gdiv"))
-    found = every.join(covered, ["product", "codon_num"], "left").join(moved, place, "left").join(diffs, place, "left").join(diversity, place, "left")
+    acids = lambda i: F.transform(F.col("_at")[i]["reads"], lambda x: translated(_made(i, x["nt"])))
+    kinds = F.filter(F.array(*[F.struct(F.col("_at")[i]["gdiv"].alias("gdiv"), variant_type(acids(i)).alias("class")) for i in range(3)]), lambda x: x["gdiv"].isNotNull())
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda n, y: n + y["gdiv"])
+    mean = lambda kind: F.try_divide(total(F.filter("_kinds", lambda x: x["class"] == kind)), F.size(F.filter("_kinds", lambda x: x["class"] == kind)))
+    rows = variant_codons(counts, cds, codons).withColumn("_kinds", kinds)
+    own = {"gdiv": total(F.col("_kinds")) / 3, "N_gdiv": mean("Nonsynonymous"), "S_gdiv": mean("Synonymous"), "variable_sites": F.size("_kinds")}
+    rows = rows.select(*place, *[c.alias(f"_{k}") for k, c in own.items()], F.explode(F.concat(haplotypes(), *[_site_pairs(i) for i in range(3)])).alias("_x"))
+    rows = with_differences(with_sites(rows.select(*place, *[f"_{k}" for k in own], "_x.kind", "_x.a", "_x.b", "_x.w"), "b"), "a", "b")
+    summed = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col("w") * F.coalesce(c, F.lit(0.0))).otherwise(0.0))
+    measures = {"N_diffs": ("d", "n_diff"), "S_diffs": ("d", "s_diff"), "N_diffs_vs_ref": ("h", "n_diff"), "S_diffs_vs_ref": ("h", "s_diff"), "_n": ("h", "n_sites"), "_s": ("h", "s_sites")}
+    found = rows.groupBy(*place).agg(*[F.first(f"_{k}").alias(k) for k in own], *[summed(*m).alias(k) for k, m in measures.items()])
+    found = every.join(covered, ["product", "codon_num"], "left").join(found, place, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return found.select(
         "file", "product", "codon_num", F.col("codon_start_site").alias("site"), "codon", "num_overlap_ORF_nts", *[zero(c).alias(c) for c in ("N_diffs", "S_diffs")],
-        (zero("N_sites_ref") + zero("_n")).alias("N_sites"), (zero("S_sites_ref") + zero("_s")).alias("S_sites"), zero("N_sites_ref").alias("N_sites_ref"), zero("S_sites_ref").alias("S_sites_ref"),
-        *[zero(c).alias(c) for c in ("N_diffs_vs_ref", "S_diffs_vs_ref", "gdiv")], "N_gdiv", "S_gdiv",
+        F.coalesce("_n", zero("N_sites_ref")).alias("N_sites"), F.coalesce("_s", zero("S_sites_ref")).alias("S_sites"), zero("N_sites_ref").alias("N_sites_ref"), zero("S_sites_ref").alias("S_sites_ref"),
+        *[zero(c).alias(c) for c in ("N_diffs_vs_ref", "S_diffs_vs_ref", "gdiv")], "N_gdiv", "S_gdiv", F.coalesce("variable_sites", F.lit(0)).alias("variable_sites"),
     )
 
 
@@ -151,9 +237,13 @@ def pool_products(codons: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def pool_population(codons: DataFrame, sites: DataFrame, cds: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row for each file: the whole genome. Sites in several products count once, codon sums once for each product."""
-    coding = cds.select("site").distinct().withColumn("_coding", F.lit(1))
-    genome = reference.join(coding, "site", "left").agg(F.count("*").alias("sites"), F.count("_coding").alias("sites_coding")).withColumn("sites_noncoding", F.col("sites") - F.col("sites_coding"))
+    """One row for each file: the whole genome. Sites in several products count once, codon sums once for each product.
+
+    ``reference`` is a table of sequences (seq) or of sites; only its size is asked.
+    """
+    size = F.sum(F.length("seq")) if "seq" in reference.columns else F.count("*")
+    coding = cds.agg(F.count_distinct("site").alias("sites_coding"))
+    genome = reference.agg(size.alias("sites")).crossJoin(coding).withColumn("sites_noncoding", F.col("sites") - F.col("sites_coding"))  # one row with one row
     once = sites.groupBy("file", "site").agg(F.max("pi").alias("pi"), F.max("gdiv").alias("gdiv"), F.min("class").alias("class"), F.max((F.col("product") != "noncoding").cast("int")).alias("_c"))
     c = F.col("_c") == 1
     poly = once.groupBy("file").agg(
@@ -162,9 +252,8 @@ def pool_population(codons: DataFrame, sites: DataFrame, cds: DataFrame, referen
         F.avg(F.when(c, F.col("gdiv"))).alias("mean_gdiv_coding_poly"), F.count_if(c).alias("sites_coding_poly"), F.avg(F.when(~c, F.col("gdiv"))).alias("mean_gdiv_noncoding_poly"), F.count_if(~c).alias("sites_noncoding_poly"),
     )
     sums = _pool_rates(codons.groupBy("file").agg(*[F.sum(x).alias(x) for x in SUMS]))
-    whole = genome.first()
-    n, nc, nn = (F.lit(whole[k]) for k in ("sites", "sites_coding", "sites_noncoding"))
-    found = sums.join(poly, "file", "left")
+    n, nc, nn = (F.col(f"_{k}") for k in ("sites", "sites_coding", "sites_noncoding"))
+    found = sums.join(poly, "file", "left").join(F.broadcast(genome.select(*[F.col(c).alias(f"_{c}") for c in genome.columns])), F.lit(True))
     return found.select(
         "file", n.alias("sites"), nc.alias("sites_coding"), nn.alias("sites_noncoding"), F.try_divide(F.coalesce("_pi", F.lit(0.0)), n).alias("pi"), F.try_divide(F.coalesce("_pi_c", F.lit(0.0)), nc).alias("pi_coding"),
         F.try_divide(F.coalesce(F.col("_pi") - F.col("_pi_c"), F.lit(0.0)), nn).alias("pi_noncoding"), *SUMS, "piN", "piS", "mean_dN_vs_ref", "mean_dS_vs_ref",

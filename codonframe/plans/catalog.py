@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codonframe.functions import sequence, stats, tajima
 from codonframe.genetics.code import codon_dim, codon_pair_dim
-from codonframe.operators import alleles, between, bootstrap, codons, pool, revcom, windows, within
+from codonframe.operators import alleles, between, bootstrap, codons, pieces, pool, revcom, windows, within
 from codonframe.sources import fasta, gtf, tables
 from codonframe.sources import variants as reports
 
@@ -68,25 +68,34 @@ FOUR = ("N_sites", "S_sites", "N_diffs", "S_diffs")
 # --- the codon tables -------------------------------------------------------------------------------------------
 
 
-@query(o.with_(o.TABLES) + """
-SELECT codon, aa, round(max(n) FILTER (WHERE p = 1), 8) AS n1, round(max(s) FILTER (WHERE p = 1), 8) AS s1, round(max(n) FILTER (WHERE p = 2), 8) AS n2, round(max(s) FILTER (WHERE p = 2), 8) AS s2,
-       round(max(n) FILTER (WHERE p = 3), 8) AS n3, round(max(s) FILTER (WHERE p = 3), 8) AS s3, round(sum(n), 8) AS n_sites, round(sum(s), 8) AS s_sites FROM place GROUP BY codon, aa""")
+_DNA = "dna AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
+_CUT = f"{_DNA}, pieces AS (SELECT doc_id, i, substr(seq, CAST(i * 3 + 1 AS INT), 3) AS codon FROM (SELECT doc_id, seq, unnest(range(length(seq) // 3)) AS i FROM dna))"
+
+
+def _codons(spark, d):
+    return views.dna(spark, d).select("doc_id", F.posexplode(sequence.codons(F.col("seq"))).alias("i", "codon"))
+
+
+@query(o.with_(o.TABLES, _CUT) + """, t AS (SELECT codon, aa, max(n) FILTER (WHERE p = 1) AS n1, max(s) FILTER (WHERE p = 1) AS s1, max(n) FILTER (WHERE p = 2) AS n2, max(s) FILTER (WHERE p = 2) AS s2,
+ max(n) FILTER (WHERE p = 3) AS n3, max(s) FILTER (WHERE p = 3) AS s3, sum(n) AS n_sites, sum(s) AS s_sites FROM place GROUP BY codon, aa), k AS (SELECT codon, count(*) AS times FROM pieces GROUP BY codon)
+SELECT codon, aa, times, round(n1, 8) AS n1, round(s1, 8) AS s1, round(n2, 8) AS n2, round(s2, 8) AS s2, round(n3, 8) AS n3, round(s3, 8) AS s3, round(n_sites, 8) AS n_sites, round(s_sites, 8) AS s_sites FROM k JOIN t USING (codon)""")
 def codon_dim_sites(spark, d):
-    return rounded(codon_dim(spark))
+    """The sites of each codon that the documents' letters make."""
+    return rounded(_codons(spark, d).groupBy("codon").agg(F.count("*").alias("times")).join(codon_dim(spark), "codon"))
 
 
-@query(o.with_(o.TABLES) + """
-SELECT x.codon AS codon_a, y.codon AS codon_b, round(coalesce(n_diff, 0.0), 8) AS n_diff, round(coalesce(s_diff, 0.0), 8) AS s_diff
-FROM code x CROSS JOIN code y LEFT JOIN pdim ON pdim.a = x.codon AND pdim.b = y.codon""")
+@query(o.with_(o.TABLES, _CUT) + """, k AS (SELECT x.codon AS codon_a, y.codon AS codon_b, count(*) AS times FROM pieces x JOIN pieces y ON x.doc_id = y.doc_id AND y.i = x.i + 1 GROUP BY ALL)
+SELECT codon_a, codon_b, times, round(coalesce(n_diff, 0.0), 8) AS n_diff, round(coalesce(s_diff, 0.0), 8) AS s_diff FROM k LEFT JOIN pdim ON pdim.a = codon_a AND pdim.b = codon_b""")
 def codon_pair_diffs(spark, d):
-    return rounded(codon_pair_dim(spark))
+    """The differences between each two codons that follow each other in a document."""
+    all_of = sequence.codons(F.col("seq"))
+    pair = F.explode(F.transform(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), lambda y, i: F.struct(F.get("c", i).alias("codon_a"), y.alias("codon_b")))).alias("p")
+    pairs = views.dna(spark, d).select(all_of.alias("c")).select(pair).groupBy("p.codon_a", "p.codon_b").agg(F.count("*").alias("times"))
+    return rounded(pairs.join(codon_pair_dim(spark), ["codon_a", "codon_b"]))
 
 
 # --- sequences --------------------------------------------------------------------------------------------------
 
-_DNA = "dna AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
-
-
 @query(o.with_(o.TABLES, o.ALIGNMENT) + """
 SELECT product, coalesce(aa, '?') AS amino_acid, count(*) AS n FROM align LEFT JOIN code USING (codon) GROUP BY ALL""")
 def translate_codon(spark, d):
@@ -172,6 +181,40 @@ def fasta_sites(spark, d):
     return alleles.site_counts(codons.validated(fasta.parse_fasta(views.fasta_records(spark, d))))
 
 
+# All documents as one sequence, base by base; two products, the second of three segments, and their bases in order.
+_LONG = f"""WITH {_DNA}, d AS (SELECT seq, coalesce(sum(length(seq)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dna),
+b AS (SELECT CAST(before + i AS BIGINT) AS site, nt FROM (SELECT before, unnest(string_split(seq, '')) AS nt, generate_subscripts(string_split(seq, ''), 1) AS i FROM d WHERE length(seq) > 0)),
+l AS (SELECT CAST(sum(length(seq)) AS BIGINT) AS l FROM dna),
+p AS (SELECT 'P1' AS product, 1 AS a, 3 * (l // 6) AS z FROM l UNION ALL SELECT 'P2', 2, 1 + l // 5 FROM l UNION ALL SELECT 'P2', l // 2, l // 2 + l // 5 FROM l UNION ALL SELECT 'P2', l // 2 + l // 5 + 5, l // 2 + 2 * (l // 5) + 6 FROM l),
+c AS (SELECT product, nt, row_number() OVER (PARTITION BY product ORDER BY site) - 1 AS q FROM b JOIN p ON site BETWEEN a AND z),
+k AS (SELECT product, q // 3 + 1 AS codon_num, string_agg(nt, '' ORDER BY q) AS codon FROM c GROUP BY ALL)"""
+
+
+def _long(spark, d):
+    """Pieces of one sequence that all documents make, and its products."""
+    dna = views.dna(spark, d)
+    lines = dna.select(F.lit("all").alias("group"), F.floor(F.col("doc_id") / 100).alias("part"), F.col("doc_id").alias("line"), F.col("seq").alias("value"))
+    # Before the first document.
+    head = dna.agg(F.min("doc_id").alias("least")).select(F.lit("all").alias("group"), F.floor(F.col("least") / 100).alias("part"), (F.col("least") - 1).alias("line"), F.lit(">all").alias("value"))
+    n = F.col("l")
+    fifth, half = F.floor(n / 5), F.floor(n / 2)
+    parts = [("P1", F.lit(1), 3 * F.floor(n / 6)), ("P2", F.lit(2), 1 + fifth), ("P2", half, half + fifth), ("P2", half + fifth + 5, half + 2 * fifth + 6)]
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("product"), a.cast("int").alias("start"), z.cast("int").alias("stop"), F.lit("+").alias("strand")) for p, a, z in parts])).alias("_s")
+    segments = dna.agg(F.sum(F.length("seq")).alias("l")).select(each).select("_s.*")
+    return pieces.pieces_of_lines(lines.unionByName(head)), gtf.coding_products(segments)
+
+
+@query(_LONG + " SELECT product, codon, count(*) AS n, CAST(sum(codon_num) AS BIGINT) AS numbers FROM k GROUP BY ALL")
+def fasta_long(spark, d):
+    """Codons of products as long as a chromosome: no row holds the sequence."""
+    return pieces.codon_rows(*_long(spark, d)).groupBy("product", "codon").agg(F.count("*").alias("n"), F.sum("codon_num").alias("numbers"))
+
+
+@query(_LONG + " SELECT nt, count(*) AS n, CAST(sum(site) AS BIGINT) AS sites FROM b GROUP BY nt")
+def fasta_long_sites(spark, d):
+    return pieces.site_rows(_long(spark, d)[0]).groupBy("nt").agg(F.count("*").alias("n"), F.sum("site").alias("sites"))
+
+
 @query(o.with_(o.TABLES, o.ALIGNMENT) + ' SELECT grp AS "group", product, codon_num, codon, cnt FROM cc')
 def codon_counts(spark, d):
     return _counts(spark, d)
@@ -533,11 +576,19 @@ def pool_sites(spark, d):
 _PC = ("N_diffs", "S_diffs", "N_sites", "S_sites", "N_sites_ref", "S_sites_ref", "N_diffs_vs_ref", "S_diffs_vs_ref", "gdiv", "N_gdiv", "S_gdiv")
 
 
-@query(P + ' SELECT file, product, CAST(codon_num AS INT) AS codon_num, site, codon, "num_overlap_ORF_nts", ' + ", ".join(f'round({m}, 8) AS "{m}"' for m in _PC) + " FROM pcod")
+@query(P + ' SELECT file, product, CAST(codon_num AS INT) AS codon_num, site, codon, "num_overlap_ORF_nts", variable_sites, ' + ", ".join(f'round({m}, 8) AS "{m}"' for m in _PC) + " FROM pcod")
 def pool_codon(spark, d):
     return rounded(pool.pool_codons(*_pool(spark, d)))
 
 
+@query(P + """ SELECT file, product, CAST(codon_num AS INT) AS codon_num, codon, round(p, 10) AS p FROM hp WHERE p > 0""")
+def pool_haplotypes(spark, d):
+    """The haplotypes of each codon and their frequencies."""
+    variants, cds, reference = _pool(spark, d)
+    rows = pool.variant_codons(pool.with_diversity(pool.pool_counts(variants)), cds, pool.reference_codons(cds, reference))
+    return rows.select("file", "product", "codon_num", F.explode(pool.haplotypes()).alias("h")).select("file", "product", "codon_num", F.col("h.b").alias("codon"), (F.round("h.w", 10) + F.lit(0.0)).alias("p"))
+
+
 _SUMS = ", ".join(f'round(sum({m}), 7) AS "{m}"' for m in pool.SUMS)
 _PRATES = """round(sum(N_diffs) / nullif(sum(N_sites), 0), 7) AS "piN", round(sum(S_diffs) / nullif(sum(S_sites), 0), 7) AS "piS",
  round(sum(N_diffs_vs_ref) / nullif(sum(N_sites), 0), 7) AS "mean_dN_vs_ref", round(sum(S_diffs_vs_ref) / nullif(sum(S_sites), 0), 7) AS "mean_dS_vs_ref" """
@@ -577,13 +628,24 @@ def pool_minus_strand(spark, d):
     variants = reports.revcom_variants(views.variants(spark, d), views.GENOME)
     segments = revcom.revcom_segments(views.both_segments(spark), views.GENOME).where("strand = '+'")
     reference = views.reference(spark).select((F.lit(views.GENOME + 1) - F.col("site")).alias("site"), sequence.reverse_complement(F.col("ref_nt")).alias("ref_nt"))
-    return rounded(pool.pool_codons(variants, gtf.cds_sites(segments), reference).drop("num_overlap_ORF_nts"))
+    return rounded(pool.pool_codons(variants, gtf.cds_sites(segments), reference).drop("num_overlap_ORF_nts", "variable_sites"))
+
+
+# Segments from the line items: a product for each order, whose lines alternate between the strands.
+_ORFS = "WITH seg AS (SELECT 'G' || CAST(l_orderkey AS VARCHAR) AS product, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS strand, l_partkey * 7 AS a, l_partkey * 7 + l_suppkey % 40 * 3 + 2 AS b FROM lineitem), at AS (SELECT product, strand, unnest(range(a, b + 1)) AS site FROM seg)"
 
 
-@query(f"""WITH seg(product, a, b) AS (VALUES {", ".join(f"('{p}', {a}, {b})" for p, a, b in views.SEGMENTS + views.MINUS_SEGMENTS)})
-SELECT CAST(i AS INT) AS site, count(DISTINCT product) - 1 AS "overlapping_ORFs" FROM seg, range(1, {views.GENOME + 1}) t(i) WHERE i BETWEEN a AND b GROUP BY i""")
+def _orfs(spark, d):
+    start = F.col("l_partkey") * 7
+    return views.table(spark, d, "lineitem").select(
+        F.concat(F.lit("G"), F.col("l_orderkey").cast("string")).alias("product"), F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"), start.alias("start"), (start + F.col("l_suppkey") % 40 * 3 + 2).alias("stop")
+    )
+
+
+@query(_ORFS.replace(" at AS", " sites AS") + ' SELECT site, count(DISTINCT (product, strand)) - 1 AS "overlapping_ORFs" FROM sites GROUP BY site')
 def overlap_both_strands(spark, d):
-    return pool.overlaps(gtf.both_strands(views.both_segments(spark), views.GENOME))
+    """Products of both strands, by a sweep over the ends of their segments."""
+    return pool.interval_sites(pool.overlap_intervals(_orfs(spark, d)))
 
 
 @query(P + """ SELECT file, site, 'left out by its frequency: ' || alt AS message FROM v WHERE freq < 0.1""")
@@ -598,9 +660,17 @@ def pool_codon_numbers(spark, d):
     return tables.with_codon_numbers(pool.pool_codons(*_pool(spark, d)).drop("codon_num")).select("file", "product", "site", "codon_num")
 
 
-@query(P + " SELECT site, overlapping AS overlapping_ORFs FROM ov")
+@query(_ORFS.replace(" at AS", " sites AS") + """ SELECT site, count(DISTINCT product) - 1 AS "overlapping_ORFs" FROM sites WHERE strand = '+' GROUP BY site""")
 def overlap_orfs(spark, d):
-    return pool.overlaps(views.coding(spark))
+    return pool.interval_sites(pool.overlap_intervals(_orfs(spark, d).where("strand = '+'")))
+
+
+@query(_LONG.replace("SELECT product, nt, row_number()", "SELECT product, site, nt, row_number()") + " SELECT nt AS ref_nt, count(*) AS n, CAST(sum(site) AS BIGINT) AS sites FROM (SELECT DISTINCT site, nt FROM c) GROUP BY nt")
+def pool_reference_at(spark, d):
+    """The letters of a long reference at coding sites alone."""
+    whole, products = _long(spark, d)
+    segments = products.select("product", "strand", F.explode("segments").alias("_s")).select("product", "strand", "_s.start", "_s.stop")
+    return pool.letters_at(whole, gtf.cds_sites(segments)).groupBy("ref_nt").agg(F.count("*").alias("n"), F.sum("site").alias("sites"))
 
 
 @query(P + " SELECT file, site, alt, round(freq, 8) AS freq FROM v WHERE freq >= 0.1")

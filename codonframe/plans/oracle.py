@@ -113,7 +113,7 @@ pd AS (
 long AS (
   SELECT file, site, coverage, ref_nt, nt, cnt FROM (SELECT * FROM pc UNPIVOT (cnt FOR nt IN (a, c, g, t))) WHERE cnt > 0),
 al AS (
-  SELECT long.file, long.site, cds.product, cds.codon_num, rc.codon AS ref_codon, coverage, ref_nt, upper(nt) AS nt, cnt,
+  SELECT long.file, long.site, cds.product, cds.codon_num, CAST(pc AS INT) AS pos, rc.codon AS ref_codon, coverage, ref_nt, upper(nt) AS nt, cnt,
          substr(rc.codon, 1, CAST(pc AS INT) - 1) || upper(nt) || substr(rc.codon, CAST(pc AS INT) + 1) AS codon
   FROM long JOIN cds ON cds.site = long.site JOIN rc ON rc.product = cds.product AND rc.codon_num = cds.codon_num),
 cls AS (
@@ -125,10 +125,16 @@ ps AS (
          rc.codon, pi, gdiv, class_vs_ref, class, coverage, a, c, g, t
   FROM pd LEFT JOIN cds USING (site) LEFT JOIN rc ON rc.product = cds.product AND rc.codon_num = cds.codon_num LEFT JOIN ov USING (site)
   LEFT JOIN cls ON cls.file = pd.file AND cls.site = pd.site AND cls.product = cds.product),
+vc AS (SELECT file, product, codon_num, ref_codon, count(*) FILTER (WHERE letters > 1) AS variable_sites FROM (SELECT file, product, codon_num, ref_codon, pos, count(*) AS letters FROM al GROUP BY ALL) GROUP BY ALL),
+fq AS (
+  SELECT file, product, codon_num, pos, nt, cnt / coverage AS f FROM al
+  UNION ALL SELECT file, product, codon_num, p, substr(ref_codon, p, 1), 1.0 FROM vc, pos WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.file = vc.file AND al.product = vc.product AND al.codon_num = vc.codon_num AND al.pos = p)),
+hp AS (
+  SELECT file, product, codon_num, x.nt || y.nt || z.nt AS codon, x.f * y.f * z.f AS p
+  FROM (SELECT * FROM fq WHERE pos = 1) x JOIN (SELECT * FROM fq WHERE pos = 2) y USING (file, product, codon_num) JOIN (SELECT * FROM fq WHERE pos = 3) z USING (file, product, codon_num)),
 pm AS (
-  SELECT file, product, codon_num, sum(cnt / coverage * (k.n_sites - r.n_sites)) AS mn, sum(cnt / coverage * (k.s_sites - r.s_sites)) AS ms,
-         sum(cnt / coverage * coalesce(n_diff, 0)) AS nr, sum(cnt / coverage * coalesce(s_diff, 0)) AS sr
-  FROM al JOIN sdim k ON k.codon = al.codon JOIN sdim r ON r.codon = al.ref_codon LEFT JOIN pdim ON pdim.a = ref_codon AND pdim.b = al.codon GROUP BY ALL),
+  SELECT file, product, codon_num, max(variable_sites) AS variable_sites, sum(p * n_sites) AS hn, sum(p * s_sites) AS hs, sum(p * coalesce(n_diff, 0)) AS nr, sum(p * coalesce(s_diff, 0)) AS sr
+  FROM hp JOIN vc USING (file, product, codon_num) JOIN sdim USING (codon) LEFT JOIN pdim ON pdim.a = ref_codon AND pdim.b = hp.codon GROUP BY ALL),
 pw AS (
   SELECT x.file, x.product, x.codon_num, sum(x.cnt * y.cnt / (x.coverage * (x.coverage - 1) / 2) * coalesce(n_diff, 0)) AS nd, sum(x.cnt * y.cnt / (x.coverage * (x.coverage - 1) / 2) * coalesce(s_diff, 0)) AS sd
   FROM al x JOIN al y ON x.file = y.file AND x.product = y.product AND x.codon_num = y.codon_num AND x.site = y.site AND x.codon < y.codon LEFT JOIN pdim ON pdim.a = x.codon AND pdim.b = y.codon GROUP BY ALL),
@@ -136,7 +142,7 @@ pg AS (SELECT file, product, codon_num, sum(gdiv) / 3 AS gdiv, avg(gdiv) FILTER
 po AS (SELECT product, codon_num, CAST(sum(CAST(overlapping > 0 AS INT)) AS BIGINT) AS num_overlap_ORF_nts FROM cds JOIN ov USING (site) GROUP BY ALL),
 pcod AS (
   SELECT f.file, rc.product, rc.codon_num, rc.start_site AS site, rc.codon, num_overlap_ORF_nts, coalesce(nd, 0.0) AS N_diffs, coalesce(sd, 0.0) AS S_diffs,
-         n_sites + coalesce(mn, 0.0) AS N_sites, s_sites + coalesce(ms, 0.0) AS S_sites, n_sites AS N_sites_ref, s_sites AS S_sites_ref,
+         coalesce(hn, n_sites) AS N_sites, coalesce(hs, s_sites) AS S_sites, n_sites AS N_sites_ref, s_sites AS S_sites_ref, CAST(coalesce(variable_sites, 0) AS INT) AS variable_sites,
          coalesce(nr, 0.0) AS N_diffs_vs_ref, coalesce(sr, 0.0) AS S_diffs_vs_ref, coalesce(pg.gdiv, 0.0) AS gdiv, N_gdiv, S_gdiv
   FROM rc CROSS JOIN (SELECT DISTINCT file FROM v) f JOIN sdim ON sdim.codon = rc.codon JOIN po ON po.product = rc.product AND po.codon_num = rc.codon_num
   LEFT JOIN pm ON pm.file = f.file AND pm.product = rc.product AND pm.codon_num = rc.codon_num

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codonframe.functions.stats import jukes_cantor, stars, two_sided_p, z_score
 from codonframe.genetics.code import CODE, pair_differences, site_counts
-from codonframe.operators import alleles, between, bootstrap, codons, windows, within
+from codonframe.operators import alleles, between, bootstrap, codons, pieces, windows, within
 from codonframe.sources.gtf import coding_products
 
 ONE = ["ATGAAACTGGCA", "ATGAAGCTAGCA", "ATGAAATTAGCG", "ATGNNNCTGG-A"]
@@ -97,19 +97,45 @@ def test_segments_in_any_order_and_lengths(spark):
 
 
 def test_annotations_of_any_size(spark, monkeypatch):
-    """Products in several buckets, sent out or joined by bucket."""
+    """Products in several buckets and pieces, sent out or joined."""
     monkeypatch.setattr(codons, "BUCKET_ROWS", 3)
-    seqs = sequences(spark, g=ONE[:2], h=TWO)
-    products = coding_products(spark.createDataFrame([(f"P{i}", 1 + i % 4, 6 + i % 4, "+") for i in range(20)], "product string, start int, stop int, strand string"))
-    want = None
-    for limit in (0, 64 << 20):
-        monkeypatch.setattr(codons, "BROADCAST_BYTES", limit)
-        found = sorted(tuple(r) for r in codons.codon_columns(seqs, products).collect())
-        assert len(found) == 5 * 20 * 2 and found == (want or found)
-        want = found
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices("ACGTN-", k=40)) for _ in range(5)]
+    seqs = sequences(spark, g=texts[:2], h=texts[2:])
+    segments = {f"P{i}": [(1 + i % 4, 6 + i % 4)] if i % 2 else [(2 + i, 4 + i), (7 + i, 7 + i), (9 + i, 13 + i)] for i in range(20)}
+    products = coding_products(spark.createDataFrame([(p, a, b, "+") for p, parts in segments.items() for a, b in parts], "product string, start int, stop int, strand string"))
+    spliced = lambda t, p: "".join(t[a - 1 : b] for a, b in segments[p])
+    want = sorted((g, p, k // 3 + 1, spliced(t, p)[k : k + 3]) for g, rows_ in (("g", texts[:2]), ("h", texts[2:])) for t in rows_ for p in segments for k in range(0, len(spliced(t, p)), 3))
+    for limit, piece in ((0, 5), (64 << 20, 3), (64 << 20, 1 << 14), (0, 16)):
+        monkeypatch.setattr(pieces, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(pieces, "PIECE", piece)
+        assert sorted(tuple(r) for r in codons.codon_columns(seqs, products).collect()) == want
+        named = pieces.cut(seqs.select("group", F.col("header").alias("sequence"), "seq"), "group", "sequence")
+        assert sorted(tuple(r) for r in pieces.codon_rows(named, products).drop("sequence").collect()) == want
+        sites = sorted((r.group, r.site, r.A) for r in alleles.site_counts(seqs).collect())
+        assert sites == sorted((g, i + 1, sum(t[i] == "A" for t in rows_)) for g, rows_ in (("g", texts[:2]), ("h", texts[2:])) for i in range(40))
     assert codons.codon_columns(seqs, products.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [3, 7, 1 << 14])
+def test_fasta_lines_become_pieces(spark, tmp_path, piece):
+    """Several records, headers at the edge of a part, empty records and lines, parts of any size."""
+    records = {"one": "ACGTA" * 9, "none": "", "two": "acgunn-", "three": "G" * 16, "last": "TT"}
+    (tmp_path / "a.fa").write_text("lost\n\n" + "".join(f">{h}\r\n" + "\n".join(s[i : i + 5] for i in range(0, len(s), 5)) + "\n\n" for h, s in records.items()))
+    want = {h: s.upper().replace("U", "T") for h, s in records.items() if s}
+    lines = (tmp_path / "a.fa").read_text().splitlines()
+    for size in (1, 2, 3, 100):
+        rows_ = spark.createDataFrame([("a", i // size, i, x) for i, x in enumerate(lines)], "group string, part int, line long, value string").repartition(3)
+        found = pieces.pieces_of_lines(rows_, piece).collect()
+        whole = {}
+        for r in sorted(found, key=lambda r: r.piece):
+            assert r.length == len(want[r.header]) and r.bases == want[r.header][r.piece * piece : (r.piece + 1) * piece + 2]
+            whole[r.header] = whole.get(r.header, "") + r.bases[:piece]
+        assert whole == want and len({r.sequence for r in found}) == len(want)
+    read = {(r.group, r.header, r.piece): r.bases for r in pieces.read_fasta_pieces(spark, str(tmp_path)).collect()}
+    assert read == {("a.fa", h, 0): s for h, s in want.items()}
+
+
 def table(spark, numbers, product="P"):
     return spark.createDataFrame([(product, n, 2.0, 1.0, 0.1 * n, 0.2, 5.0) for n in numbers], "product string, codon_num int, N_sites double, S_sites double, N_diffs double, S_diffs double, num_defined_seqs double")
 

@@ -41,6 +41,7 @@ def run_within(spark, a) -> None:
     tables.write_tsv(alleles.site_diversity(alleles.site_counts(seqs)), f"{a.out}/within_group_site_results")
     tables.write_tsv(products, f"{a.out}/within_group_product_results")
     tables.write_tsv(slices, f"{a.out}/within_group_sliding_window_results")
+    tables.write_tsv(windows.window_log(found, a.sliding_window_size, by), f"{a.out}/log")
     within.totals(found).show(truncate=False)
 
 
@@ -63,6 +64,7 @@ def run_between(spark, a) -> None:
     tables.write_tsv(between.polymorphism_vectors(found), f"{a.out}/between_group_polymorphism")
     tables.write_tsv(products, f"{a.out}/between_group_product_results")
     tables.write_tsv(slices, f"{a.out}/between_group_sliding_window_results")
+    tables.write_tsv(windows.window_log(found, a.sliding_window_size, by), f"{a.out}/log")
 
 
 def run_windows(spark, a) -> None:
@@ -70,6 +72,14 @@ def run_windows(spark, a) -> None:
     _checked(a)
     df = tables.read_codon_results(spark, a.codon_file)
     by = tuple(c for c in ("file", "group", "product", "group_1", "group_2", "strand") if c in df.columns)
+    numbers = {f"{x}_{m}" for x in (a.numerator, a.denominator) for m in ("diffs", "sites")}
+    windows.required(df, "codon_num", "num_defined_seqs", *sorted(numbers))
+    log = windows.window_log(df, a.sliding_window_size, by, a.min_defined_codons)
+    tables.write_tsv(log, f"{a.out}/log")
+    guards = windows.table_guards(df, by)
+    if guards.head(1):
+        tables.write_tsv(guards, f"{a.out}/guards")
+        raise SystemExit(f"{a.codon_file} has codon numbers twice, or rows without one: see {a.out}/guards")
     if a.num_bootstraps:
         found = bootstrap.row_window_tests(df, a.sliding_window_size, a.num_bootstraps, a.seed, a.sliding_window_step, a.min_defined_codons, a.numerator, a.denominator, a.jukes_cantor, a.ratio_null, by)
     else:

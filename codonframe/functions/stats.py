@@ -7,10 +7,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def ratio(top: Column, bottom: Column, undefined_as_zero: bool = False) -> Column:
@@ -32,10 +30,20 @@ def stars(z: Column) -> Column:
     return F.when(size > 2.81, "***").when(size > 1.96, "**").when(size > 1.64, "*").when(z.isNotNull(), "")
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """Probability of a standard normal value at least as far from 0."""
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore").astype("float64")
+def erfc(x: Column) -> Column:
+    """Complementary error function of values from 0 on, to about 1e-15: one less the series of the error function below 2, a continued fraction beyond."""
+    t, series, u, fraction = 2 * x * x, F.lit(1.0), 0.5 / (x * x), F.lit(1.0)
+    for n in range(40, 0, -1):
+        series = 1 + t / float(2 * n + 1) * series
+    for k in range(60, 0, -1):
+        fraction = 1 + float(k) * u / fraction
+    bell = F.exp(-x * x)
+    return F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * bell * x * series).otherwise(bell / (x * math.sqrt(math.pi)) / fraction)
+
+
+def two_sided_p(z: Column) -> Column:
+    """Probability of a standard normal value at least as far from 0; null where z is."""
+    return erfc(F.abs(z.cast("double")) / math.sqrt(2))
 
 
 def ratio_p(value: Column, error: Column, ratio_null: float = 0.0) -> Column:

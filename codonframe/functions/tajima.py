@@ -17,11 +17,22 @@ LEVELS = (0.001, 0.01, 0.05, 0.1)
 SIZES = [*range(4, 51), *range(55, 101, 5), *range(110, 151, 10), 175, *range(200, 501, 50), 600, 800, 1000]
 
 
+#: From this number of terms on the sums are taken from their expansions, whose error is below 1e-14 there.
+EXPANDED = 32
+
+
+def harmonic(m: Column) -> tuple[Column, Column]:
+    """Sums of 1/i and of 1/i^2 for i from 1 to ``m``, without a step for each term."""
+    x = F.greatest(m.cast("double"), F.lit(float(EXPANDED)))
+    long = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    squares = math.pi**2 / 6 - 1 / x + 1 / (2 * x**2) - 1 / (6 * x**3) + 1 / (30 * x**5) - 1 / (42 * x**7)
+    first = lambda power: F.get(F.array(*[F.lit(sum(1 / i**power for i in range(1, k + 1))) for k in range(EXPANDED)]), F.greatest(m.cast("int"), F.lit(0)))
+    return F.when(m < EXPANDED, first(1)).otherwise(long), F.when(m < EXPANDED, first(2)).otherwise(squares)
+
+
 def tajima_d(n: Column, segregating: Column, pi: Column) -> Column:
     """D of ``n`` sequences with ``segregating`` sites and ``pi`` mean pairwise differences; null below two sequences or without sites."""
-    terms = F.sequence(F.lit(1), F.greatest(n.cast("int") - 1, F.lit(1)))
-    a1 = F.aggregate(terms, F.lit(0.0), lambda acc, i: acc + 1.0 / i)
-    a2 = F.aggregate(terms, F.lit(0.0), lambda acc, i: acc + 1.0 / (i.cast("double") * i))
+    a1, a2 = harmonic(F.greatest(n.cast("long") - 1, F.lit(1)))
     m, s = n.cast("double"), segregating.cast("double")
     b1, b2 = (m + 1) / (3 * (m - 1)), 2 * (m * m + m + 3) / (9 * m * (m - 1))
     e1, e2 = (b1 - 1 / a1) / a1, (b2 - (m + 2) / (a1 * m) + a2 / (a1 * a1)) / (a1 * a1 + a2)
@@ -29,6 +40,13 @@ def tajima_d(n: Column, segregating: Column, pi: Column) -> Column:
     return F.when((n >= 2) & (variance > 0), (pi - s / a1) / F.sqrt(variance))
 
 
+def tajima_sites(sites: DataFrame, *by: str) -> DataFrame:
+    """``by``, n, S, pi, D from ``site_diversity`` rows: the most reads at a site, the sites with more than one base, and their pairwise differences added up."""
+    present = sum(((F.col(b) > 0).cast("int") for b in "CGT"), (F.col("A") > 0).cast("int"))
+    found = sites.groupBy(*by).agg(F.max("coverage").cast("long").alias("n"), F.count_if(present > 1).alias("S"), F.coalesce(F.sum("pi"), F.lit(0.0)).alias("pi"))
+    return found.withColumn("D", tajima_d(F.col("n"), F.col("S"), F.col("pi")))
+
+
 def _range(n: int) -> tuple[float, float]:
     """Least and greatest D as the number of sites grows."""
     a1, a2 = sum(1 / i for i in range(1, n)), sum(1 / i**2 for i in range(1, n))

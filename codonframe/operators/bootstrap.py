@@ -7,14 +7,14 @@ engines can repeat; they are meant for tests only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codonframe.functions.stats import jukes_cantor as corrected
 from codonframe.functions.stats import ratio, ratio_p, stars, two_sided_p, z_score
 
 from .between import with_jukes_cantor
-from .windows import row_windows
+from .windows import in_order, row_windows
 from .within import MEASURES, rates
 
 
@@ -126,10 +126,9 @@ def row_window_tests(
     """
     keys = list(by)
     found = row_windows(codons, size, step, min_defined, numerator, denominator, by)
-    place = Window.partitionBy(*keys).orderBy("codon_num")
     chosen = {"N_diffs": f"{numerator}_diffs", "N_sites": f"{numerator}_sites", "S_diffs": f"{denominator}_diffs", "S_sites": f"{denominator}_sites"}
-    rows = codons.where(F.col("num_defined_seqs") >= min_defined)
-    rows = rows.select(*keys, "codon_num", F.row_number().over(place).alias("_row"), *[F.col(c).alias(m) for m, c in chosen.items()])
+    rows = in_order(codons.where(F.col("num_defined_seqs") >= min_defined), keys)
+    rows = rows.select(*keys, "codon_num", F.col("_row").cast("int").alias("_row"), *[F.col(c).alias(m) for m, c in chosen.items()])
     # A row belongs to the windows that begin at most size - 1 rows before it.
     starts = F.explode(F.sequence(F.greatest(F.col("_row") - size + 1, F.lit(1)), F.col("_row"))).alias("_start")
     inside = rows.select(*keys, "codon_num", *MEASURES, starts).where((F.col("_start") - 1) % step == 0)

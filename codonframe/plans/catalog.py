@@ -384,6 +384,28 @@ def window_rows_on_table(spark, d):
     return rounded(found.select("group", "product", "codon_num", "variability", "num_defined_seqs", "N_sites", "sw_end", (F.col("sw_N_diffs") + F.col("sw_S_diffs")).alias("sw_diffs")))
 
 
+_LINES = "SELECT 'O' || CAST(l_orderkey % 9973 AS VARCHAR) AS product, CASE WHEN l_suppkey % 41 = 0 THEN NULL ELSE l_linenumber + l_partkey % 3 END AS codon_num, l_quantity AS n FROM lineitem"
+
+
+def _codon_lines(spark, d):
+    """Codon tables of many small products, with repeated and missing numbers."""
+    number = F.when(F.col("l_suppkey") % 41 == 0, None).otherwise(F.col("l_linenumber") + F.col("l_partkey") % 3).cast("int")
+    return views.table(spark, d, "lineitem").select(F.concat(F.lit("O"), (F.col("l_orderkey") % 9973).cast("string")).alias("product"), number.alias("codon_num"), F.col("l_quantity").cast("double").alias("num_defined_seqs"))
+
+
+@query(f"""WITH t AS ({_LINES}) SELECT product, CASE WHEN codon_num IS NULL THEN 'no number' ELSE 'repeated' END AS guard, CAST(codon_num AS INT) AS codon_num, count(*) AS rows FROM t GROUP BY product, codon_num HAVING codon_num IS NULL OR count(*) > 1""")
+def codon_table_guards(spark, d):
+    """What a codon table holds twice, or without a number."""
+    return windows.table_guards(_codon_lines(spark, d))
+
+
+@query(f"""WITH t AS ({_LINES}), c AS (SELECT product, count(codon_num) FILTER (WHERE n >= 10) AS codons FROM t GROUP BY product)
+SELECT product, codons, 'no window of 4 codons: it has ' || CAST(codons AS VARCHAR) AS message FROM c WHERE codons < 4""")
+def window_log(spark, d):
+    """Products that have no window, as they have fewer codons than one."""
+    return windows.window_log(_codon_lines(spark, d), 4, min_defined=10)
+
+
 # --- bootstrap --------------------------------------------------------------------------------------------------
 
 REPS = 50
@@ -524,6 +546,19 @@ def normal_p(spark, d):
     return views.table(spark, d, "lineitem").select(z).distinct().select("z", (F.round(stats.two_sided_p(F.col("z")), 8)).alias("p"))
 
 
+@query("""
+WITH e AS (SELECT l_suppkey AS id, avg(l_quantity) / 25.0 AS v, stddev_samp(l_quantity) / 25.0 AS se FROM lineitem GROUP BY l_suppkey),
+z AS (SELECT id, v, se, CASE WHEN se > 0 THEN (v - 1) / se END AS z, CASE WHEN se > 0 THEN v / se END AS y FROM e),
+s AS (SELECT id, i, z, y, abs(z) / 400 AS h, abs(y) / 400 AS g, CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM z, range(401) t(i))
+SELECT id, round(greatest(1 - 2 * sum(w * exp(-((i * h) ** 2) / 2)) * max(h) / 3 / sqrt(2 * pi()), 0), 8) AS p_of_one, round(greatest(1 - 2 * sum(w * exp(-((i * g) ** 2) / 2)) * max(g) / 3 / sqrt(2 * pi()), 0), 8) AS p_of_zero FROM s GROUP BY id""")
+def ratio_p(spark, d):
+    """P values of ratios against 1 and against 0."""
+    q = F.col("l_quantity").cast("double")
+    rows = views.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg((F.avg(q) / 25.0).alias("v"), (F.stddev_samp(q) / 25.0).alias("se"))
+    p = lambda null: F.round(stats.ratio_p(F.col("v"), F.col("se"), null), 8) + F.lit(0.0)
+    return rows.select("id", p(1.0).alias("p_of_one"), p(0.0).alias("p_of_zero"))
+
+
 # --- Tajima's D -------------------------------------------------------------------------------------------------
 
 _TAJIMA = """
@@ -550,6 +585,18 @@ def tajima_sig(spark, d):
     return rounded(tajima.with_significance(_tajima(spark, d)), 6)
 
 
+@query(o.with_(o.READS) + """, w AS (SELECT site // 50 AS stretch, a + c + g + t AS n, CAST(a > 0 AS INT) + CAST(c > 0 AS INT) + CAST(g > 0 AS INT) + CAST(t > 0 AS INT) > 1 AS seg,
+ (a * c + a * g + a * t + c * g + c * t + g * t) / nullif((a + c + g + t) * (a + c + g + t - 1) / 2.0, 0) AS pi FROM sc),
+g AS (SELECT stretch, max(n) AS n, count(*) FILTER (WHERE seg) AS s, coalesce(sum(pi), 0) AS k FROM w GROUP BY stretch),
+h AS (SELECT *, list_sum(list_transform(range(1, CAST(n AS INT)), lambda i: 1.0::DOUBLE / i)) AS a1, list_sum(list_transform(range(1, CAST(n AS INT)), lambda i: 1.0::DOUBLE / (i * i))) AS a2, CAST(n AS DOUBLE) AS m FROM g),
+e AS (SELECT *, ((m + 1) / (3 * (m - 1)) - 1 / a1) / a1 AS e1, (2 * (m * m + m + 3) / (9 * m * (m - 1)) - (m + 2) / (a1 * m) + a2 / (a1 * a1)) / (a1 * a1 + a2) AS e2 FROM h)
+SELECT stretch, CAST(n AS BIGINT) AS n, s AS "S", round(k, 7) AS pi, round(CASE WHEN n >= 2 AND e1 * s + e2 * s * (s - 1) > 0 THEN (k - s / a1) / sqrt(e1 * s + e2 * s * (s - 1)) END, 6) AS "D" FROM e""")
+def tajima_sites(spark, d):
+    """D of stretches of sites, from reads."""
+    found = tajima.tajima_sites(_sites(spark, d).withColumn("stretch", F.floor(F.col("site") / 50)), "stretch")
+    return rounded(found.withColumn("D", F.round("D", 6)), 7)
+
+
 # --- pooled samples ---------------------------------------------------------------------------------------------
 
 

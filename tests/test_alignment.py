@@ -150,6 +150,46 @@ def test_windows_by_number_and_by_row(spark):
     assert ratio.sw_ratio == "dSdN" and ratio.sw_N_diffs == pytest.approx(0.4)
 
 
+@pytest.mark.parametrize("block", [1, 3, 4, 4096])
+def test_windows_of_a_product_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(windows, "BLOCK", block)
+    numbers = [n for n in range(3, 40) if n not in (5, 11, 12, 30)]
+    df = table(spark, numbers).unionByName(table(spark, range(1, 8), "Q")).repartition(3)
+    for size, step in ((1, 1), (5, 2), (9, 3)):
+        found = {(r.product, r.window): (r.first_codon, r.N_diffs) for r in windows.sliding_windows(df, size, step).collect()}
+        want = {}
+        for p, held in (("P", numbers), ("Q", list(range(1, 8)))):
+            for k, first in enumerate(range(held[0], held[0] + len(held) - size + 1, step)):
+                want[p, k + 1] = (first, pytest.approx(sum(0.1 * n for n in held if first <= n < first + size)))
+        assert found == want
+        rows_ = {(r.product, r.codon_num): (r.sw_start, r.sw_end, r.sw_center) for r in windows.row_windows(df, size, step).collect()}
+        assert rows_ == {(p, held[i]): (held[i], held[i + size - 1], pytest.approx(sum(held[i : i + size]) / size)) for p, held in (("P", numbers), ("Q", list(range(1, 8)))) for i in range(0, len(held) - size + 1, step)}
+
+
+def test_guards_of_codon_tables(spark):
+    df = table(spark, [1, 2, 2, 3, 4])
+    for made in (windows.sliding_windows(df, 3), windows.row_windows(df, 3)):
+        with pytest.raises(Exception, match="codon number twice"):
+            made.collect()
+    assert [tuple(r) for r in windows.table_guards(df).collect()] == [("P", "repeated", 2, 2)]
+    none = df.withColumn("codon_num", F.when(F.col("codon_num") == 2, None).otherwise(F.col("codon_num")))
+    assert [tuple(r) for r in windows.table_guards(none).collect()] == [("P", "no number", None, 2)]
+    assert windows.table_guards(df.limit(0)).count() == windows.several_products(df).count() == 0
+    two = df.unionByName(table(spark, [1], "Q"))
+    assert sorted(map(tuple, windows.several_products(two).collect())) == [("P", "several products", 5), ("Q", "several products", 1)]
+    assert [tuple(r)[:2] for r in windows.window_log(two, 3).collect()] == [("Q", 1)] and windows.window_log(two, 3, min_defined=6).count() == 2
+    with pytest.raises(ValueError, match="S_sites"):
+        windows.row_windows(df.drop("S_sites"), 3)
+
+
+def test_normal_tail_without_python(spark):
+    z = [0.0, 1e-9, 0.3, 1.0, 2.0, 2.8284271, 2.8284272, 3.5, 5.0, 9.0, 37.0, 60.0]
+    df = spark.createDataFrame([(x,) for x in z], "z double").select("z", two_sided_p(F.col("z")).alias("p"), two_sided_p(-F.col("z")).alias("q"))
+    for r in df.collect():
+        assert r.p == r.q == pytest.approx(two_tails(r.z), rel=1e-12, abs=1e-300)
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
 def two_tails(z):
     return math.erfc(abs(z) / math.sqrt(2))
 

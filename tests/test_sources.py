@@ -1,9 +1,12 @@
 """Readers, converters and pooled samples on small files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from codonframe.operators import pool, revcom
+from codonframe.genetics.code import site_counts
+from codonframe.operators import pieces, pool, revcom
 from codonframe.sources import fasta, gtf, tables, variants
 from codonframe.streaming.alignments import stream_fasta, stream_within
 
@@ -95,6 +98,39 @@ def test_pool_counts_classes_and_warnings(spark):
     assert {(x.site, x.message) for x in pool.warnings(v).collect()} == {(9, "coverage is 0")}
 
 
+def test_pooled_codon_with_two_variable_sites(spark):
+    """AAA with G at a quarter of the first base's reads and at half of the third's: AAA, AAG, GAA and GAG."""
+    v = spark.createDataFrame([("f", 1, "A", "G", 25.0, 100.0), ("f", 3, "A", "G", 10.0, 20.0)], "file string, site int, ref string, alt string, count double, coverage double")
+    reference = spark.createDataFrame(list(enumerate("AAACCC", 1)), "site int, ref_nt string")
+    cds = gtf.cds_sites(spark.createDataFrame([("P", 1, 6, "+")], "product string, start int, stop int, strand string"))
+    one, two = pool.pool_codons(v, cds, reference).orderBy("codon_num").collect()
+    share = {"AAA": 0.375, "AAG": 0.375, "GAA": 0.125, "GAG": 0.125}
+    assert one.N_sites == pytest.approx(sum(p * sum(n for n, _ in site_counts(c)) for c, p in share.items())) and one.S_sites == pytest.approx(sum(p * sum(s for _, s in site_counts(c)) for c, p in share.items()))
+    assert (one.N_diffs_vs_ref, one.S_diffs_vs_ref) == (pytest.approx(0.25), pytest.approx(0.5)) and one.variable_sites == 2
+    assert (one.N_diffs, one.S_diffs) == (pytest.approx(25 * 75 / (100 * 99 / 2)), pytest.approx(100 / 190))
+    assert (two.variable_sites, two.N_diffs, two.N_sites, two.S_sites) == (0, 0, 2, 1)
+
+
+def test_overlaps_by_sweep(spark, monkeypatch):
+    rnd = random.Random(3)
+    segments = [(f"P{rnd.randrange(6)}", rnd.choice("+-"), a, a + rnd.randrange(12)) for a in (rnd.randrange(1, 60) for _ in range(30))]
+    df = spark.createDataFrame([*segments, ("none", "+", 9, 8)], "product string, strand string, start int, stop int")
+    want = {x: len({(p, s) for p, s, a, b in segments if a <= x <= b}) - 1 for x in range(80)}
+    for block in (1, 7, 1 << 16):
+        monkeypatch.setattr(pool, "BLOCK", block)
+        found = pool.interval_sites(pool.overlap_intervals(df)).collect()
+        assert {r.site: r.overlapping_ORFs for r in found} == {x: n for x, n in want.items() if n >= 0} and len(found) == len({r.site for r in found})
+    assert pool.overlap_intervals(df.limit(0)).count() == 0
+
+
+def test_reference_letters_at_coding_sites_alone(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "PIECE", 7)
+    reference = spark.createDataFrame([("c", "ACGTACGTTTNACGTACGTA")], "chrom string, seq string")
+    cds = gtf.cds_sites(spark.createDataFrame([("P", 6, 8, "+"), ("P", 14, 16, "+"), ("Q", 7, 9, "+")], "product string, start int, stop int, strand string"))
+    found = pool.reference_at(reference, cds).orderBy("site").collect()
+    assert [(r.site, r.ref_nt) for r in found] == [(i, "ACGTACGTTTNACGTACGTA"[i - 1]) for i in (6, 7, 8, 9, 14, 15, 16)]
+
+
 def test_reference_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(pool, "PIECE", 7)
     for seq in ("", "ACGTACG", "ACGTACGTTTNACGT"):

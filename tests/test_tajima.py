@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codonframe.functions.tajima import SIZES, critical_values, tajima_d, with_significance
+from codonframe.functions.tajima import SIZES, critical_values, harmonic, tajima_d, with_significance
 
 
 def test_documented_example(spark):
@@ -20,3 +20,9 @@ def test_published_bounds(n, level, low, high):
 
 def test_sizes():
     assert len(SIZES) == 73 and SIZES == sorted(SIZES)
+
+
+def test_harmonic_sums_need_no_step_for_each_term(spark):
+    df = spark.createDataFrame([(m,) for m in (0, 1, 2, 30, 31, 32, 33, 100, 5000)], "m long").select("m", *[c.alias(n) for c, n in zip(harmonic(F.col("m")), "ab")])
+    for r in df.collect():
+        assert abs(r.a - sum(1 / i for i in range(1, r.m + 1))) < 1e-12 and abs(r.b - sum(1 / i**2 for i in range(1, r.m + 1))) < 1e-12

@@ -92,8 +92,8 @@ def _pool_strand(spark, a, found, segments, reference, size, strand) -> None:
     out = a.out if strand == "+" else f"{a.out}/minus_strand"
     if strand == "-":
         found, reference, segments = variants.revcom_variants(found, size), revcom.revcom_sequences(reference.withColumnRenamed("chrom", "header")), revcom.revcom_segments(segments, size)
-    cds, every = gtf.cds_sites(segments.where(F.col("strand") == "+")), gtf.both_strands(segments, size)
-    letters = pool.reference_at(reference, cds)
+    own = segments.where(F.col("strand") == "+")
+    cds, every, letters = gtf.cds_sites(own), gtf.both_strands(segments, size), pool.reference_at(reference, own)
     sites, codon_results = pool.pool_sites(found, cds, letters, every), pool.pool_codons(found, cds, letters, every)
     tagged = lambda df: df.withColumn("strand", F.lit(strand))
     tables.write_tsv(tagged(sites).orderBy(F.col("product") == "noncoding", "product", "site"), f"{out}/site_results")

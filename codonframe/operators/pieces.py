@@ -77,18 +77,18 @@ def read_fasta_pieces(spark, path: str | list[str], extensions: str | None = Non
 
 
 def _segments(products: DataFrame) -> DataFrame:
-    """product, start, stop, _c (coding bases before the segment), _all (the product's segments with theirs)."""
-    run = F.aggregate(
-        "segments", F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<start:int,stop:int,c:bigint>>").alias("out")),
-        lambda a, s: F.struct((a["n"] + s["stop"] - s["start"] + 1).alias("n"), F.concat(a["out"], F.array(F.struct(s["start"].cast("int").alias("start"), s["stop"].cast("int").alias("stop"), a["n"].alias("c")))).alias("out")),
-    )["out"]
-    return products.select("product", run.alias("_all")).withColumn("_s", F.explode("_all")).select("product", F.col("_s.start").alias("start"), F.col("_s.stop").alias("stop"), F.col("_s.c").alias("_c"), "_all")
+    """product, start, stop, c (coding bases before the segment) of each segment, and the same of the two that follow it (one, two)."""
+    rows = products.select("product", F.xxhash64("product", "segments").alias("_of"), F.explode("segments").alias("_s")).select("product", "_of", "_s.start", "_s.stop")
+    line = Window.partitionBy("product", "_of").orderBy("start", "stop")
+    size = F.col("stop") - F.col("start") + 1
+    rows = rows.withColumn("c", (F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, 0)) - size).cast("long"))
+    return rows.select("product", "start", "stop", "c", *[F.lead(F.struct("start", "c"), i).over(line).alias(n) for i, n in ((1, "one"), (2, "two"))])
 
 
 def runs(products: DataFrame, piece: int | None = None) -> DataFrame:
     """piece, product, site (of the first codon that begins in the piece), codon_num (its number), n (codons that follow each other there)."""
     size = piece or PIECE
-    rows = _segments(products).select("product", "start", "stop", F.ceil(F.col("_c") / 3).alias("_k"), F.pmod(-F.col("_c"), F.lit(3)).alias("_shift"))
+    rows = _segments(products).select("product", "start", "stop", F.ceil(F.col("c") / 3).alias("_k"), F.pmod(-F.col("c"), F.lit(3)).alias("_shift"))
     rows = rows.withColumn("_first", F.col("start") + F.col("_shift")).withColumn("_n", F.floor((F.col("stop") - F.col("_first") + 1) / 3)).where(F.col("_n") > 0)
     last = F.col("_first") + 3 * (F.col("_n") - 1)
     rows = rows.withColumn("piece", F.explode(F.sequence(F.floor((F.col("_first") - 1) / size).cast("int"), F.floor((last - 1) / size).cast("int"))))
@@ -100,16 +100,16 @@ def runs(products: DataFrame, piece: int | None = None) -> DataFrame:
 
 def spliced_codons(products: DataFrame) -> DataFrame:
     """product, codon_num, sites (three) of the codons that a splice cuts."""
-    ends = F.col("_c") + F.col("stop") - F.col("start") + 1
-    of_all = F.element_at("_all", -1)
-    rows = _segments(products).select("product", "_all", F.floor((ends - 1) / 3).alias("_k"), ends.alias("_ends"), (of_all["c"] + of_all["stop"] - of_all["start"] + 1).alias("_size"))
-    rows = rows.where((F.col("_ends") % 3 != 0) & (3 * F.col("_k") + 3 <= F.col("_size"))).select("product", "_k", "_all").distinct()
+    ends = F.col("c") + F.col("stop") - F.col("start") + 1
+    first = F.floor((ends - 1) / 3) * 3
+    rows = _segments(products).withColumns({"_ends": ends, "_first": first}).where((F.col("_ends") % 3 != 0) & (F.col("_first") >= F.col("c")) & F.col("one").isNotNull())
 
     def site(i):
-        at = F.element_at(F.filter("_all", lambda s: s["c"] <= F.col("_k") * 3 + i), -1)
-        return at["start"] + F.col("_k") * 3 + i - at["c"]
+        at = F.col("_first") + i
+        later = F.when(F.col("two").isNotNull() & (at >= F.col("two.c")), F.col("two.start") + at - F.col("two.c")).otherwise(F.col("one.start") + at - F.col("one.c"))
+        return F.when(at < F.col("_ends"), F.col("start") + at - F.col("c")).otherwise(later).cast("long")
 
-    return rows.select("product", (F.col("_k") + 1).cast("int").alias("codon_num"), F.array(*[site(i) for i in range(3)]).alias("sites"))
+    return rows.select("product", (F.col("_first") / 3 + 1).cast("int").alias("codon_num"), F.array(*[site(i) for i in range(3)]).alias("sites"))
 
 
 def sent(df: DataFrame, bytes_a_row: Column) -> DataFrame:

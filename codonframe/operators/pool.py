@@ -37,20 +37,23 @@ def reference_sites(reference: DataFrame) -> DataFrame:
     return letters.select((F.col("_before") + F.col("_at") + 1).alias("site"), "ref_nt")
 
 
-def reference_at(reference: DataFrame, cds: DataFrame) -> DataFrame:
-    """site, ref_nt of a reference table (seq), at the coding sites of ``cds`` alone."""
-    return letters_at(pieces.cut(reference), cds)
+def reference_at(reference: DataFrame, segments: DataFrame) -> DataFrame:
+    """site, ref_nt of a reference table (seq), at the places of ``segments`` alone."""
+    return letters_at(pieces.cut(reference), segments)
 
 
-def letters_at(reference: DataFrame, cds: DataFrame) -> DataFrame:
-    """site, ref_nt of a reference in pieces, at the coding sites of ``cds`` alone: no row is made of any other base."""
-    asked = cds.select("site").distinct().withColumn("piece", F.floor((F.col("site") - 1) / pieces.PIECE).cast("int"))
-    # A piece's sites in one row, so that it is cut where it is.
-    asked = asked.groupBy("piece").agg(F.collect_list("site").alias("_sites"))
-    raw = F.col("bases").cast("binary")
-    letter = lambda x: F.substring(raw, (x - F.col("piece").cast("long") * pieces.PIECE).cast("int"), F.lit(1)).cast("string")
-    found = reference.join(asked, "piece").select(F.explode(F.transform("_sites", lambda x: F.struct(x.alias("site"), letter(x).alias("ref_nt")))).alias("_x"))
-    return found.select("_x.site", "_x.ref_nt").where(F.col("ref_nt") != "")
+def letters_at(reference: DataFrame, segments: DataFrame) -> DataFrame:
+    """site, ref_nt of a reference in pieces, at the places that ``segments`` (product, strand, start, stop) cover, each once: no row is made of any other base.
+
+    Stretches of places meet the pieces they lie in; a place becomes a row only where its letter is.
+    """
+    size = pieces.PIECE
+    spans = overlap_intervals(segments).select("start", "stop", F.explode(F.sequence(F.floor((F.col("start") - 1) / size).cast("int"), F.floor((F.col("stop") - 1) / size).cast("int"))).alias("piece"))
+    before = F.col("piece").cast("long") * size
+    lo, hi = F.greatest(F.col("start"), before + 1), F.least(F.col("stop"), before + size)
+    met = reference.select("piece", "bases").join(pieces.sent(spans, F.lit(24)), "piece")
+    letters = met.select(lo.alias("_lo"), F.posexplode(F.split(F.substring(F.col("bases"), (lo - before).cast("int"), (hi - lo + 1).cast("int")), "")).alias("_at", "ref_nt")).where(F.col("ref_nt") != "")
+    return letters.select((F.col("_lo") + F.col("_at")).cast("int").alias("site"), "ref_nt")
 
 
 def with_every_file(codons: DataFrame, variants: DataFrame) -> DataFrame:
@@ -118,36 +121,27 @@ def interval_sites(intervals: DataFrame) -> DataFrame:
     return intervals.select(F.explode(F.sequence("start", "stop")).alias("site"), (F.col("products") - 1).alias("overlapping_ORFs"))
 
 
-def _alleles(counts: DataFrame, cds: DataFrame, codons: DataFrame) -> DataFrame:
-    """A row for each base with reads at a coding site: its count and the codon it makes."""
-    coding = counts.join(cds.select("site", "product", "codon_num", "position_in_codon"), "site").join(codons.select("product", "codon_num", F.col("codon").alias("ref_codon")), ["product", "codon_num"])
-    each = F.explode(F.array(*[F.struct(F.lit(b).alias("nt"), F.col(b).alias("cnt")) for b in BASES])).alias("_x")
-    rows = coding.select("file", "site", "product", "codon_num", "position_in_codon", "ref_codon", "coverage", "ref_nt", each).where(F.col("_x.cnt") > 0)
-    at = F.col("position_in_codon")
-    made = F.concat(F.substring("ref_codon", F.lit(1), at - 1), F.col("_x.nt"), F.substring("ref_codon", at + 1, F.lit(3)))
-    return rows.select("file", "site", "product", "codon_num", "position_in_codon", "ref_codon", "coverage", "ref_nt", F.col("_x.nt").alias("nt"), F.col("_x.cnt").alias("cnt"), made.alias("codon"))
-
-
 def pool_sites(variants: DataFrame, cds: DataFrame, reference: DataFrame, every_cds: DataFrame | None = None) -> DataFrame:
     """A row for each polymorphic site and product (``noncoding`` where none covers it), with its classes.
 
-    class compares the alleles of the sample with each other, class_vs_ref with the reference codon. ``every_cds``, in the
+    class compares the alleles of the sample with each other, class_vs_ref with the reference codon; both come
+    from the site's own row, which has its codon and the reads of each base. ``every_cds``, in the
     same coordinates, names the products of both strands, which all count as overlapping.
     """
     counts = with_diversity(pool_counts(variants)).where("polymorphic")
-    codons = reference_codons(cds, reference)
-    alleles = _alleles(counts, cds, codons)
-    other = F.collect_list(F.when(F.col("nt") != F.col("ref_nt"), translated(F.col("codon"))))
-    classes = alleles.groupBy("file", "site", "product").agg(
-        F.array_sort(F.collect_list(translated(F.col("codon")))).alias("_aa"), F.array_distinct(other).alias("_other"), F.max(translated(F.col("ref_codon"))).alias("_ref")
-    )
-    versus = F.when(F.forall("_other", lambda a: a == F.col("_ref")), "Synonymous").when(F.forall("_other", lambda a: a != F.col("_ref")), "Nonsynonymous").otherwise("Ambiguous")
-    classes = classes.select("file", "site", "product", variant_type(F.col("_aa")).alias("class"), versus.alias("class_vs_ref"))
-    placed = counts.join(cds.select("site", "product", "codon_num", "position_in_codon", "codon_start_site"), "site", "left").join(codons.select("product", "codon_num", "codon"), ["product", "codon_num"], "left")
-    found = placed.join(overlaps(cds if every_cds is None else every_cds), "site", "left").join(classes, ["file", "site", "product"], "left")
+    placed = counts.join(cds.select("site", "product", "codon_num", "position_in_codon", "codon_start_site"), "site", "left")
+    placed = placed.join(reference_codons(cds, reference).select("product", "codon_num", "codon"), ["product", "codon_num"], "left")
+    found = placed.join(overlaps(cds if every_cds is None else every_cds), "site", "left")
+    at = F.col("position_in_codon")
+    seen = F.filter(F.array(*[F.struct(F.lit(b).alias("nt"), F.col(b).alias("cnt")) for b in BASES]), lambda x: x["cnt"] > 0)
+    made = lambda x: translated(F.concat(F.substring("codon", F.lit(1), at - 1), x["nt"], F.substring("codon", at + 1, F.lit(3))))
+    own = translated(F.col("codon"))
+    others = F.transform(F.filter(seen, lambda x: x["nt"] != F.col("ref_nt")), made)
+    versus = F.when(F.forall(others, lambda a: a == own), "Synonymous").when(F.forall(others, lambda a: a != own), "Nonsynonymous").otherwise("Ambiguous")
+    coding = F.col("codon").isNotNull()
     return found.select(
         "file", F.coalesce("product", F.lit("noncoding")).alias("product"), "site", "ref_nt", "maj_nt", "position_in_codon", F.coalesce("overlapping_ORFs", F.lit(0).cast("long")).alias("overlapping_ORFs"),
-        "codon_start_site", "codon", "pi", "gdiv", "class_vs_ref", "class", "coverage", *BASES,
+        "codon_start_site", "codon", "pi", "gdiv", F.when(coding, versus).alias("class_vs_ref"), F.when(coding, variant_type(F.transform(seen, made))).alias("class"), "coverage", *BASES,
     )
 
 

@@ -717,7 +717,7 @@ def pool_reference_at(spark, d):
     """The letters of a long reference at coding sites alone."""
     whole, products = _long(spark, d)
     segments = products.select("product", "strand", F.explode("segments").alias("_s")).select("product", "strand", "_s.start", "_s.stop")
-    return pool.letters_at(whole, gtf.cds_sites(segments)).groupBy("ref_nt").agg(F.count("*").alias("n"), F.sum("site").alias("sites"))
+    return pool.letters_at(whole, segments).groupBy("ref_nt").agg(F.count("*").alias("n"), F.sum("site").alias("sites"))
 
 
 @query(P + " SELECT file, site, alt, round(freq, 8) AS freq FROM v WHERE freq >= 0.1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codonframe.sources.gtf import cds_sites, coding_products
@@ -75,8 +75,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = (site * site + F.floor(site / 7)) % 4
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("F"), (F.col("l_linenumber") % 2).cast("string")).alias("file"), site.cast("int").alias("site"), base(index).alias("ref"), base((index + 1 + F.col("l_suppkey") % 3) % 4).alias("alt"))
     counts = rows.groupBy("file", "site", "ref", "alt").agg(F.count("*").cast("double").alias("count"))
-    depth = counts.groupBy("file", "site").agg((F.sum("count") + 20 + F.col("site") % 13).alias("coverage"))
-    return counts.join(depth, ["file", "site"]).select("file", "site", "ref", "alt", "count", "coverage", (F.col("count") / F.col("coverage")).alias("freq"), F.lit(None).cast("array<string>").alias("products"))
+    counts = counts.withColumn("coverage", F.sum("count").over(Window.partitionBy("file", "site")) + 20 + F.col("site") % 13)
+    return counts.select("file", "site", "ref", "alt", "count", "coverage", (F.col("count") / F.col("coverage")).alias("freq"), F.lit(None).cast("array<string>").alias("products"))
 
 
 #: Products of the made-up sequences of 60 bases; the second is spliced, and named out of order.

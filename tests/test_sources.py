@@ -126,9 +126,11 @@ def test_overlaps_by_sweep(spark, monkeypatch):
 def test_reference_letters_at_coding_sites_alone(spark, monkeypatch):
     monkeypatch.setattr(pieces, "PIECE", 7)
     reference = spark.createDataFrame([("c", "ACGTACGTTTNACGTACGTA")], "chrom string, seq string")
-    cds = gtf.cds_sites(spark.createDataFrame([("P", 6, 8, "+"), ("P", 14, 16, "+"), ("Q", 7, 9, "+")], "product string, start int, stop int, strand string"))
-    found = pool.reference_at(reference, cds).orderBy("site").collect()
-    assert [(r.site, r.ref_nt) for r in found] == [(i, "ACGTACGTTTNACGTACGTA"[i - 1]) for i in (6, 7, 8, 9, 14, 15, 16)]
+    segments = spark.createDataFrame([("P", 6, 8, "+"), ("P", 14, 16, "+"), ("Q", 7, 9, "+"), ("R", 19, 40, "+")], "product string, start int, stop int, strand string")
+    for limit in (0, 1 << 20):
+        monkeypatch.setattr(pieces, "BROADCAST_BYTES", limit)
+        found = pool.reference_at(reference, segments).orderBy("site").collect()
+        assert [(r.site, r.ref_nt) for r in found] == [(i, "ACGTACGTTTNACGTACGTA"[i - 1]) for i in (6, 7, 8, 9, 14, 15, 16, 19, 20)]
 
 
 def test_reference_in_pieces(spark, monkeypatch):

@@ -97,14 +97,24 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return begin, last, grams[place[begin]], hashes(sums, begin, last + LENGTH)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with __doc and __sub: the id, and the text's hash where rows with unlike texts share the id, else 0; null for a null id."""
+def unused(columns: list[str]) -> str:
+    """A beginning that no column's name has, in whatever letters."""
+    start = "__"
+    while any(c.lower().startswith(start) for c in columns):
+        start += "_"
+    return start
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns of unused names, and these: the id, and the text's hash where rows with unlike texts share the id, else 0; null for a null id."""
     whole_ids(docs, id_col)
+    start = unused(docs.columns)
+    doc, sub, same, several = (start + x for x in ("doc", "sub", "id", "several"))
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    several = docs.select(F.col(id_col).cast("long").alias("__id"), mark.alias("_m")).groupBy("__id").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
-    several = stored(several.where("_lo <> _hi").select("__id", F.lit(True).alias("__several")))
-    found = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__mark": mark}).join(several, F.col("__doc") == F.col("__id"), "left")
-    return found.withColumn("__sub", F.when(F.col("__several"), F.col("__mark")).otherwise(F.lit(0).cast("long"))).select(*[docs[c] for c in docs.columns], "__doc", "__sub")
+    found = docs.select(F.col(id_col).cast("long").alias(same), mark.alias("_m")).groupBy(same).agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
+    found = stored(found.where("_lo <> _hi").select(same, F.lit(True).alias(several)))
+    joined = docs.withColumn(doc, F.col(id_col).cast("long")).join(found, F.col(doc) == F.col(same), "left")
+    return joined.withColumn(sub, F.when(F.col(several), mark).otherwise(F.lit(0).cast("long"))).select(*[docs[c] for c in docs.columns], doc, sub), doc, sub
 
 
 PLACE = ["doc", "sub", "first"]
@@ -450,11 +460,12 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` and, as ``__spans``, the runs of starts to remove; null where there are none."""
-    known = keyed(docs, id_col, text_col)
-    spans = repeats(known.select(F.col("__doc").alias("doc"), F.col("__sub").alias("sub"), F.col(text_col).alias("text")))
-    spans = spans.groupBy(F.col("doc").alias("__doc"), F.col("sub").alias("__sub")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    return known.join(spans, ["__doc", "__sub"], "left").select(*docs.columns, "__spans")
+    """``docs`` and, as a last column, the runs of starts to remove; null where there are none."""
+    known, doc, sub = keyed(docs, id_col, text_col)
+    spans = repeats(known.select(F.col(doc).alias("doc"), F.col(sub).alias("sub"), F.col(text_col).alias("text")))
+    runs = unused(docs.columns) + "spans"
+    spans = spans.groupBy(F.col("doc").alias(doc), F.col("sub").alias(sub)).agg(F.collect_list(F.struct("first", "last")).alias(runs))
+    return known.join(spans, [doc, sub], "left").select(*docs.columns, runs)
 
 
 def _cut(text: str | None, spans) -> tuple[bytes, bytes, int, int]:

@@ -62,4 +62,4 @@ def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "suffix_dedup", "packing"]
     names = set(entry.queries())
     assert "pipeline" in names and set(registry.queries()) <= names
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 14)}

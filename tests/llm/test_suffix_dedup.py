@@ -96,3 +96,18 @@ def test_equal_strings_have_equal_anchors():
     of = lambda b, l, a, shift: {s + shift: int(x) for f, e, x in zip(b, l, a) for s in range(f, e + 1)}
     whole, part = of(begin, last, anchor, 0), of(begin2, last2, anchor2, 37)
     assert all(whole[s] == x for s, x in part.items())
+
+
+def test_columns_of_any_name(spark):
+    """Names that the operator might use itself, and columns whose names differ from them in capitals alone."""
+    passage = prose(5, 60)
+    names = ["__doc", "__sub", "__spans", "__mark", "__several", "__id", "__ID2", "___doc", "doc", "sub", "first", "last", "anchor", "context", "one", "two", "_n", "_m", "_lo", "bytes"]
+    rows = [(i, f"{i} {passage}", *[f"{n}{i}" for n in names]) for i in (1, 2)] + [(2, "other", *["x"] * len(names)), (None, passage, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    found = S.without_repeats(docs)
+    assert found.columns == docs.columns
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    assert {r[2:] for r in got} == {r[2:] for r in rows} and len(got) == 4
+    kept = {(r[0], len(r[1])) for r in got}
+    assert (1, len(rows[0][1])) in kept and (2, 5) in kept and len([x for x in kept if x[0] == 2 and x[1] < 12]) == 2
+    assert S.dedup(docs).count() == 4

@@ -1 +1 @@
-"""Analyses: DataFrame to DataFrame, without actions inside."""
+"""DataFrame operators. Some measure an annotation or look at lengths by a small query before they return their plan."""

@@ -58,6 +58,7 @@ class Vocabularies:
         self.a_bytes = [bytes(code[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.b_at, self.b_blob = np.cumsum(self.b_size) - self.b_size, np.frombuffer(b"".join(self.b_bytes), np.uint8)
         self.n = max(len(self.a_bytes), len(self.b_bytes))
         self.text = [b"%d%b" % (i, end) for end in (b",", b"|", b";") for i in range(self.n)]
 
@@ -67,20 +68,30 @@ class Vocabularies:
             return bytes([int(re.fullmatch("<0x(..)>", piece)[1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both; none where a tokenizer does not give the bytes back."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both; none where a tokenizer does not give the bytes back.
+
+        The first has a symbol for each byte, no normal form and a pattern that takes every character, so it
+        loses nothing that the length would not show; the second's bytes are compared.
+        """
         some = [t for t in texts if t]
         first = [e.ids for e in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
         second = self.b.encode(some, num_threads=1) if some else []
         pairs = zip(first, second)
+        none = np.zeros(0, np.int64)
         out = []
         for t in texts:
-            a, b = next(pairs) if t else ([], [])
+            a, b = (np.array(x, dtype=np.int64) for x in next(pairs)) if t else (none, none)
             whole = (" " + t).encode() if t else b""
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            out.append((a, b) if same else ([], []))
+            same = self.a_size[a].sum() == self.b_size[b].sum() == len(whole) and self.b_text(b) == whole
+            out.append((a, b) if same else (none, none))
         return out
 
+    def b_text(self, ids: np.ndarray) -> bytes:
+        """The bytes of the second tokenizer's ids, cut from one table by offsets."""
+        size = self.b_size[ids]
+        return self.b_blob[np.repeat(self.b_at[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+
 
 def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Union-find on arrays: for each of ``n`` nodes the least node that links reach.
@@ -112,7 +123,7 @@ def _aligned(vocab: Vocabularies, texts: list[str]) -> list[tuple]:
     """For each text n_a, n_b, n_groups, n_links, groups_sha256, its pairs (id of A times the vocabulary of B, plus id of B) and their links."""
     ids = vocab.encode(texts)
     sizes_a, sizes_b = (np.array([len(x[i]) for x in ids], dtype=np.int64) for i in (0, 1))
-    a, b = (np.concatenate([np.array(x[i], dtype=np.int64) for x in ids]) for i in (0, 1))
+    a, b = (np.concatenate([x[i] for x in ids]) for i in (0, 1))
     u, v = overlaps(np.cumsum(vocab.a_size[a]), np.cumsum(vocab.b_size[b]))
     root = components(len(a) + len(b), u, v + len(a))
     # A component's least node is its first token of A, and components follow each other as their bytes do.

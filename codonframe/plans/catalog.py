@@ -47,6 +47,11 @@ def rounded(df: DataFrame, places: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
 
 
+def _off_ties(df: DataFrame) -> DataFrame:
+    """Doubles a little larger: products of short fractions often lie halfway between two rounded values."""
+    return df.withColumns({c: F.col(c) + 1e-11 for c, t in df.dtypes if t == "double"})
+
+
 def _counts(spark, d):
     return codons.codon_counts(views.alignment(spark, d))
 
@@ -623,17 +628,17 @@ def pool_sites(spark, d):
 _PC = ("N_diffs", "S_diffs", "N_sites", "S_sites", "N_sites_ref", "S_sites_ref", "N_diffs_vs_ref", "S_diffs_vs_ref", "gdiv", "N_gdiv", "S_gdiv")
 
 
-@query(P + ' SELECT file, product, CAST(codon_num AS INT) AS codon_num, site, codon, "num_overlap_ORF_nts", variable_sites, ' + ", ".join(f'round({m}, 8) AS "{m}"' for m in _PC) + " FROM pcod")
+@query(P + ' SELECT file, product, CAST(codon_num AS INT) AS codon_num, site, codon, "num_overlap_ORF_nts", variable_sites, ' + ", ".join(f'round({m} + 1e-11, 8) AS "{m}"' for m in _PC) + " FROM pcod")
 def pool_codon(spark, d):
-    return rounded(pool.pool_codons(*_pool(spark, d)))
+    return rounded(_off_ties(pool.pool_codons(*_pool(spark, d))))
 
 
-@query(P + """ SELECT file, product, CAST(codon_num AS INT) AS codon_num, codon, round(p, 10) AS p FROM hp WHERE p > 0""")
+@query(P + """ SELECT file, product, CAST(codon_num AS INT) AS codon_num, codon, round(p + 1e-13, 10) AS p FROM hp WHERE p > 0""")
 def pool_haplotypes(spark, d):
     """The haplotypes of each codon and their frequencies."""
     variants, cds, reference = _pool(spark, d)
     rows = pool.variant_codons(pool.with_diversity(pool.pool_counts(variants)), cds, pool.reference_codons(cds, reference))
-    return rows.select("file", "product", "codon_num", F.explode(pool.haplotypes()).alias("h")).select("file", "product", "codon_num", F.col("h.b").alias("codon"), (F.round("h.w", 10) + F.lit(0.0)).alias("p"))
+    return rows.select("file", "product", "codon_num", F.explode(pool.haplotypes()).alias("h")).select("file", "product", "codon_num", F.col("h.b").alias("codon"), F.round(F.col("h.w") + 1e-13, 10).alias("p"))
 
 
 _SUMS = ", ".join(f'round(sum({m}), 7) AS "{m}"' for m in pool.SUMS)
@@ -669,13 +674,13 @@ def pool_window(spark, d):
     return rounded(found.select("file", "product", "first_codon", "N_diffs", "S_sites"))
 
 
-@query(o.with_(o.TABLES, o.MINUS) + ' SELECT file, product, CAST(codon_num AS INT) AS codon_num, site, codon, ' + ", ".join(f'round({m}, 8) AS "{m}"' for m in _PC) + " FROM pcod")
+@query(o.with_(o.TABLES, o.MINUS) + ' SELECT file, product, CAST(codon_num AS INT) AS codon_num, site, codon, ' + ", ".join(f'round({m} + 1e-11, 8) AS "{m}"' for m in _PC) + " FROM pcod")
 def pool_minus_strand(spark, d):
     """Codons of the other strand's products, in its coordinates."""
     variants = reports.revcom_variants(views.variants(spark, d), views.GENOME)
     segments = revcom.revcom_segments(views.both_segments(spark), views.GENOME).where("strand = '+'")
     reference = views.reference(spark).select((F.lit(views.GENOME + 1) - F.col("site")).alias("site"), sequence.reverse_complement(F.col("ref_nt")).alias("ref_nt"))
-    return rounded(pool.pool_codons(variants, gtf.cds_sites(segments), reference).drop("num_overlap_ORF_nts", "variable_sites"))
+    return rounded(_off_ties(pool.pool_codons(variants, gtf.cds_sites(segments), reference).drop("num_overlap_ORF_nts", "variable_sites")))
 
 
 # Segments from the line items: a product for each order, whose lines alternate between the strands.

@@ -23,6 +23,7 @@ beyond id and text are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from functools import reduce
@@ -38,6 +39,29 @@ from .shared import stored
 
 #: Pairs that are sent to the tasks together, and bytes of text that are aligned together.
 SHARD, PIECE = 2_000_000, 1 << 21
+#: White space that the encoder by ranks is not given.
+LONG_SPACE = 4096
+_long_space = re.compile(r"\s{%d}" % LONG_SPACE)
+
+# Fixed value: the pattern by which byte-level vocabularies cut texts before merging.
+BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def by_ranks(byte_bpe: str):
+    """An encoder that merges by rank, or None unless the vocabulary is byte-level and its ids are the 256 bytes and then the merges in order."""
+    import tiktoken
+
+    spec = json.loads(byte_bpe)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    code, vocab = {c: i for i, c in enumerate(byte_alphabet())}, model["vocab"]
+    merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    if any(vocab.get(c, 256) >= 256 for c in code) or any(vocab.get(m) != 256 + i for i, m in enumerate(merged)):
+        return None
+    ranks = {bytes(code[c] for c in t): vocab[t] for t in (*code, *merged)}
+    return tiktoken.Encoding("byte_level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Vocabularies:
@@ -52,6 +76,7 @@ class Vocabularies:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        self.ranks = by_ranks(byte_bpe)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         code = {c: i for i, c in enumerate(byte_alphabet())}
         names = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
@@ -68,6 +93,11 @@ class Vocabularies:
             return bytes([int(re.fullmatch("<0x(..)>", piece)[1], 16)])
         return piece.replace("▁", " ").encode()
 
+    def encode_a(self, text: str) -> list[int]:
+        if self.ranks is None or _long_space.search(text):
+            return self.a.encode(text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(text)
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both; none where a tokenizer does not give the bytes back.
 
@@ -75,7 +105,7 @@ class Vocabularies:
         loses nothing that the length would not show; the second's bytes are compared.
         """
         some = [t for t in texts if t]
-        first = [e.ids for e in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
+        first = [self.encode_a(" " + t) for t in some]
         second = self.b.encode(some, num_threads=1) if some else []
         pairs = zip(first, second)
         none = np.zeros(0, np.int64)

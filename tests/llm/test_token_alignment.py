@@ -1,6 +1,8 @@
 """Alignment of tokens against plain union-find over every pair of tokens, and counts by hand."""
 
 import hashlib
+import json
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -95,6 +97,33 @@ def test_no_documents_and_no_tokens(spark):
     assert [tuple(r) for r in al.align_documents(awkward(spark, [(1, None, None)]), *paths).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
+@pytest.fixture(scope="module")
+def vocab():
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f, open(tokenizer_path("piece_bpe_32k.model"), "rb") as g:
+        return al.Vocabularies(f.read(), g.read())
+
+
+def test_ids_by_ranks_are_those_of_the_library(vocab):
+    def library(texts):
+        return [e.ids for e in vocab.a.encode_batch(texts, add_special_tokens=False)]
+
+    tokens = [t for b in vocab.a_bytes if (t := b.decode(errors="ignore")) and t.encode() == b]
+    draw = random.Random(5)
+    alphabets = ["a=- \n中é\u0301\U0001f600 \t\x1c\x85", "abcdefghijklmnopqrstuvwxyz '", "=-_*#.", "  \n\t\r", "0123456789٣Ⅷ ,.", "éèàüñçаеиотн ", "中国的一是不"]
+    runs = ["".join(draw.choice(draw.choice(alphabets)) * draw.choice([1, 1, 2, 3, 40]) for _ in range(draw.randrange(1, 60))) for _ in range(3000)]
+    points = [f"{x}{chr(c)}{x}" for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000 for x in ("a", "1", " ")]
+    long = [" " * 300_000 + "x", "a" + "\n" * 300_000, "ab" * 100_000]
+    texts = [*tokens, *runs, *points, *long, *(t for t in TEXTS if t)]
+    assert vocab.ranks is not None and [vocab.encode_a(t) for t in texts] == library(texts)
+
+
+def test_other_vocabularies_are_encoded_by_their_own_library(vocab):
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**spec["model"], "merges": spec["model"]["merges"][::-1]}}, {"model": {**spec["model"], "ignore_merges": True}}):
+        assert al.by_ranks(json.dumps({**spec, **change})) is None
+
+
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
 def test_components_of_arrays(links):
     u, v = (np.array([x[i] for x in links], dtype=np.int64) for i in (0, 1))

@@ -14,12 +14,13 @@ fetched, for the first context of each content. Their suffixes are sorted by
 text, the common-prefix intervals are walked with a stack, and those whose left
 neighbours differ are the maximal repeats, with all their occurrences.
 
-Anchors with up to ``BLOCK`` such contexts are walked whole. The contexts of the
-others are sorted over all tasks, first by what stands left of the anchor, read
-backwards, then by what follows it. A context shares most with a neighbour in
-each order, so what its neighbours do not share is cut off, and hardly more than
-the repeated part is left. Blocks of neighbours are walked; the strings that come first in a block meet
-those of other blocks by hash. Each context gives a few rows at every size of its group.
+The contexts are sorted over all tasks, first by anchor and what stands left of
+it, read backwards, then by anchor and what follows it. A context shares most
+with a neighbour in each order, so what its neighbours do not share is cut off,
+and hardly more than the repeated part is left. Blocks of neighbours, cut by
+their bytes alone, are walked. Where a block ends inside an anchor, the strings
+that come first in it meet those of the other blocks byte by byte. Every anchor
+takes this way, and each context gives a few rows, however many there are.
 
 No task holds a group that grows with the corpus: counts are combined before they
 are shuffled, joins on hot anchors can be split by Spark, sorts are by range of
@@ -48,8 +49,8 @@ from .shared import stored, whole_ids
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
-#: Contexts of one anchor walked together; bytes of contexts sorted together.
-BLOCK, SORTED_BYTES = 1024, 1 << 19
+#: Bytes of contexts walked together.
+SORTED_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -256,69 +257,45 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-CONTEXT = [*PLACE, "last", "anchor", "bytes"]
-CONTEXT_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-CONTEXT_SCHEMA = "doc long, sub long, first int, last int, anchor long, bytes binary"
-
-
-def edges(contexts: DataFrame) -> DataFrame:
-    """Repeats among contexts (anchor, block, doc, sub, first, last, bytes), sorted by anchor and place: doc, sub, first, last.
-
-    A block of -1 is walked whole. Contexts of other blocks pass, with anchor and bytes.
-    """
-
-    def walked(held):
-        runs = repeated_runs([r[6] for r in held], [r[2:5] for r in held])
-        return [(r[2], r[3], r[4] + a, r[4] + b, None, None) for r, own in zip(held, runs) for a, b in own]
-
-    def find(batches):
-        held, size, last = [], 0, None
-        for batch in batches:
-            passed = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if last is not None and row[:5] == last[:5]:
-                    continue  # an equal row of the same document
-                if row[1] >= 0:
-                    passed.append((*row[2:6], row[0], row[6]))
-                else:
-                    if held and row[0] != held[-1][0] and size >= SORTED_BYTES:
-                        yield _batch(walked(held), CONTEXT, CONTEXT_KINDS)
-                        held, size = [], 0
-                    held.append(row)
-                    size += len(row[6])
-                last = row
-            yield _batch(passed, CONTEXT, CONTEXT_KINDS)
-        if held:
-            yield _batch(walked(held), CONTEXT, CONTEXT_KINDS)
-
-    return contexts.mapInArrow(find, CONTEXT_SCHEMA)
+# --- contexts cut at the anchor -----------------------------------------------------------------------------------
 
+SIDES = ["anchor", "left", "right", "doc", "sub", "at", "lo", "hi"]
+SIDE_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+SIDE_SCHEMA = "anchor long, left binary, right binary, doc long, sub long, at int, lo int, hi int"
 
-# --- anchors with many contexts ---------------------------------------------------------------------------------
 
-SIDES = ["anchor", "left", "right", *PLACE, "lo", "hi"]
-SIDE_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-SIDE_SCHEMA = "anchor long, left binary, right binary, doc long, sub long, first int, lo int, hi int"
+def anchor_places(contexts: list[bytes], first: list[int], anchor: list[int]) -> list[int]:
+    """Where each context has its anchor: the leftmost such gram from ``first`` on, which all its strings hold."""
+    sizes = np.array([len(c) for c in contexts])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    at = np.arange(len(data) - GRAM + 1)
+    grams = hashes(prefix_sums(data), at, at + GRAM).view(np.int64)
+    owner = np.repeat(np.arange(len(contexts)), sizes)[: len(at)]
+    here = np.flatnonzero((grams == np.array(anchor, np.int64)[owner]) & (at >= starts[owner] + np.array(first)[owner]) & (at + GRAM <= starts[owner + 1]))
+    _, leftmost = np.unique(owner[here], return_index=True)
+    return (here[leftmost] - starts[:-1]).tolist()
 
 
-def sides(contexts: DataFrame) -> DataFrame:
-    """Contexts cut at the anchor: ``left`` runs backwards from it, ``right`` begins with it.
+def sides(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Contexts (doc, sub, first, last, anchor) with their bytes from the texts: ``left`` runs backwards from the anchor, ``right`` begins with it.
 
-    A string is named by the bytes it has left of the anchor; lo to hi of them are a context's strings.
+    A string is named by the bytes it has left of the anchor, which is at ``at`` of its text; lo to hi of them are a context's strings.
     """
+    per_doc = wanted.groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("wanted"))
 
-    def cut(batches):
+    def fetch(batches):
         for batch in batches:
             out = []
-            for doc, sub, first, last, anchor, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(text, np.uint8)
-                at = np.arange(len(data) - GRAM + 1)
-                grams = hashes(prefix_sums(data), at, at + GRAM).view(np.int64)
-                place = last - first + int(np.argmax(grams[last - first :] == anchor))
-                out.append((anchor, text[:place][::-1], text[place:], doc, sub, first, place - (last - first), place))
+            for doc, sub, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                data = (text or "").encode("utf-8", "surrogatepass")
+                texts = [data[w["first"] : w["last"] + LENGTH] for w in wanted]
+                places = anchor_places(texts, [w["last"] - w["first"] for w in wanted], [w["anchor"] for w in wanted])
+                for w, t, p in zip(wanted, texts, places, strict=True):
+                    out.append((w["anchor"], t[:p][::-1], t[p:], doc, sub, w["first"] + p, p - (w["last"] - w["first"]), p))
             yield _batch(out, SIDES, SIDE_KINDS)
 
-    return contexts.select(*CONTEXT).mapInArrow(cut, SIDE_SCHEMA)
+    return rows.join(per_doc, ["doc", "sub"]).mapInArrow(fetch, SIDE_SCHEMA)
 
 
 def _common(one: bytes, two: bytes) -> int:
@@ -333,11 +310,14 @@ def _neighbours(batches, side: int):
     """(row, most): how many bytes of that side a row shares with a neighbour of the same anchor, over rows sorted by it.
 
     The first and the last row of a task may have a neighbour elsewhere: they share all they have.
+    Equal rows, of one document that a table holds twice, are one.
     """
     held = None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held is not None:
+                if row == held[0]:
+                    continue
                 both = _common(held[0][side], row[side]) if held[0][0] == row[0] else 0
                 yield held[0], max(held[1], both)
                 held = (row, both)
@@ -347,64 +327,65 @@ def _neighbours(batches, side: int):
         yield held[0], len(held[0][side])
 
 
+def _sorted(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by, "doc", "sub", "at")
+
+
 def trimmed(rows: DataFrame) -> DataFrame:
-    """``sides`` rows less the strings that reach further left than any other context does."""
+    """``sides`` rows less the strings, and the bytes, that reach further left than any other context does."""
 
     def trim(batches):
         out = []
         for row, most in _neighbours(batches, 1):
             hi = min(row[7], most)
             if hi >= row[6]:
-                out.append((*row[:7], hi))
+                out.append((row[0], row[1][:hi], *row[2:7], hi))
             if len(out) >= 5000:
                 yield _batch(out, SIDES, SIDE_KINDS)
                 out = []
         yield _batch(out, SIDES, SIDE_KINDS)
 
-    return rows.repartitionByRange("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right").mapInArrow(trim, SIDE_SCHEMA)
+    return _sorted(rows, "anchor", "left", "right").mapInArrow(trim, SIDE_SCHEMA)
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """Repeats among ``trimmed`` rows as doc, sub, first, last; strings that come first in their block have two hashes.
+def walked(rows: DataFrame) -> DataFrame:
+    """Repeats among ``trimmed`` rows as doc, sub, first, last, and the strings that blocks have to compare with each other.
 
     Sorted by what follows the anchor, strings that need more of it than any other context shares go, and blocks of
-    neighbours are walked. A block that holds all of its anchor leaves no hashes.
+    neighbours are walked. Strings that come first in a block have their bytes in ``string`` where other blocks may hold contexts of the same anchor.
     """
-    names, kinds = [*PLACE, "last", "one", "two"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names, kinds = [*PLACE, "last", "string"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
-    def walk(held, whole):
-        if not held:
-            return []
+    def walk(held, shared):
         # Bytes from hi left of the anchor to what the string with lo of them needs to the right.
         texts = [left[:hi][::-1] + right[: LENGTH - lo] for _, left, right, *_, lo, hi in held]
-        begins = [r[5] + len(r[1]) - r[7] for r in held]
+        begins = [r[5] - r[7] for r in held]
         runs = repeated_runs(texts, [(r[3], r[4], b) for r, b in zip(held, begins)])
         out = []
         for row, text, begin, own in zip(held, texts, begins, runs):
-            out += [(row[3], row[4], begin + a, begin + b, None, None) for a, b in own]
-            if not whole:
-                data = np.frombuffer(text, np.uint8)
-                free = np.ones(len(data) - LENGTH + 1, bool)
+            out += [(row[3], row[4], begin + a, begin + b, None) for a, b in own]
+            if row[0] in shared:
+                free = np.ones(len(text) - LENGTH + 1, bool)
                 for a, b in own:
                     free[a : b + 1] = False
-                at = np.flatnonzero(free)
-                one = hashes(prefix_sums(data), at, at + LENGTH).view(np.int64)
-                two = hashes(prefix_sums(data ^ 0xA5), at, at + LENGTH).view(np.int64)
-                out += [(row[3], row[4], begin + s, begin + s, x, y) for s, x, y in zip(at.tolist(), one.tolist(), two.tolist())]
-        return out
+                out += [(row[3], row[4], begin + s, begin + s, text[s : s + LENGTH]) for s in np.flatnonzero(free).tolist()]
+        return _batch(out, names, kinds)
 
     def find(batches):
-        held, whole, anchor = [], False, None  # a task's first anchor may have begun elsewhere
+        held, size, begun = [], 0, None  # begun: the anchor of which there may be contexts before the block
         for row, most in _neighbours(batches, 2):
-            if anchor != row[0] or len(held) >= BLOCK:
-                yield _batch(walk(held, whole and anchor != row[0]), names, kinds)
-                whole, anchor, held = anchor is not None and anchor != row[0], row[0], []
+            begun = row[0] if begun is None else begun
+            if size >= SORTED_BYTES:
+                yield walk(held, {begun, row[0]})
+                held, size, begun = [], 0, held[-1][0]
             lo = max(row[6], LENGTH - most)
             if lo <= row[7]:
                 held.append((*row[:6], lo, row[7]))
-        yield _batch(walk(held, False), names, kinds)
+                size += LENGTH - lo + row[7]
+        if held:
+            yield walk(held, {begun, held[-1][0]})
 
-    return rows.repartitionByRange("anchor", "right", "left").sortWithinPartitions("anchor", "right", "left").mapInArrow(find, "doc long, sub long, first int, last int, one long, two long")
+    return _sorted(rows, "anchor", "right", "left").mapInArrow(find, "doc long, sub long, first int, last int, string binary")
 
 
 def repeats(rows: DataFrame) -> DataFrame:
@@ -417,29 +398,10 @@ def repeats(rows: DataFrame) -> DataFrame:
     runs = [*PLACE, "last"]
     not_at = (F.col("doc") != F.col("_at.doc")) | (F.col("sub") != F.col("_at.sub")) | (F.col("first") != F.col("_at.first"))
     later = again.join(firsts.select("anchor", "context", "_at"), ["anchor", "context"]).where(not_at).select(*runs)
-    open_ = firsts.where("differ").select("anchor", "context", "_at.*")
-    sizes = stored(open_.groupBy("anchor").agg(F.count("*").alias("_n")).select("anchor", F.when(F.col("_n") > BLOCK, F.ceil(F.col("_n") / BLOCK)).cast("int").alias("_blocks")))
-    placed = open_.join(sizes, "anchor").withColumn("block", F.coalesce(F.pmod("context", "_blocks").cast("int"), F.lit(-1)))
-    per_doc = placed.groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "block", "first", "last")).alias("wanted"))
-
-    def fetch(batches):
-        for batch in batches:
-            out = []
-            for doc, sub, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                out += [(w["anchor"], w["block"], doc, sub, w["first"], w["last"], data[w["first"] : w["last"] + LENGTH]) for w in wanted]
-            yield _batch(out, ["anchor", "block", *CONTEXT[:4], "bytes"], [pa.int64(), pa.int32(), *CONTEXT_KINDS[:4], pa.binary()])
-
-    contexts = rows.join(per_doc, ["doc", "sub"]).mapInArrow(fetch, "anchor long, block int, doc long, sub long, first int, last int, bytes binary")
-    near = stored(edges(contexts.repartition("anchor", "block").sortWithinPartitions("anchor", "block", *PLACE)))
-    parts = [found.where(F.col("anchor").isNull()), later, near.where(F.col("anchor").isNull())]
-    many = near.where(F.col("anchor").isNotNull())
-    if not many.isEmpty():
-        split = stored(crowded(stored(trimmed(stored(sides(many))))))
-        parts.append(split.where(F.col("one").isNull()))
-        strings = split.where(F.col("one").isNotNull())
-        several = stored(strings.groupBy("one", "two").agg(F.count("*").alias("_n"), F.min(F.struct(*PLACE)).alias("_at")).where(F.col("_n") > 1).drop("_n"))
-        parts.append(strings.join(several, ["one", "two"]).where(not_at))
+    near = stored(walked(stored(trimmed(stored(sides(rows, firsts.where("differ").select("anchor", "_at.*")))))))
+    strings = near.where(F.col("string").isNotNull())
+    several = stored(strings.groupBy("string").agg(F.count("*").alias("_n"), F.min(F.struct(*PLACE)).alias("_at")).where(F.col("_n") > 1).drop("_n"))
+    parts = [found.where(F.col("anchor").isNull()), later, near.where(F.col("string").isNull()), strings.join(several, "string").where(not_at)]
     return reduce(DataFrame.unionByName, [p.select(*runs) for p in parts])
 
 

@@ -110,29 +110,40 @@ def _rows(codes: np.ndarray, kind: int, order: int) -> tuple[np.ndarray, ...]:
 
 NAMES = ("kind", "gram", "context", "low", "low_context", "lowest", "lowest_context", "free", "n")
 SCHEMA = "kind byte, gram long, context long, low long, low_context long, lowest long, lowest_context long, free boolean, n long"
-HELD_ROWS = 500_000
+#: Rows that a task gathers before it combines them, and twice as many combined ones before it hands them on, ``SENT_ROWS`` at a time.
+HELD_ROWS, SENT_ROWS = 500_000, 50_000
 #: kind: class 0 or 1, or the shared counts.
 ALL = 2
 
 
+def _combined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row for each gram of a kind; a column at a time, as each takes memory of its own."""
+    gram, first, where = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
+    n = np.bincount(where, np.concatenate([p[8] for p in parts])).astype(np.int64)
+    return (parts[0][0][:1].repeat(len(gram)), gram, *[np.concatenate([p[i] for p in parts])[first] for i in range(2, 8)], n)
+
+
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
     """Counts of grams by class, and of the shared orders' grams over all rows of (label, text).
 
-    A task combines about ``HELD_ROWS`` rows before it hands them on.
+    A task combines rows as they come, however many of them a batch of texts gives.
     """
 
     def count(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        size = 0
 
-        def flush():
+        def combine() -> int:
             for kind, parts in held.items():
-                joined = [np.concatenate(x) for x in zip(*parts)]
-                gram, first, where = np.unique(joined[1], return_index=True, return_inverse=True)
-                n = np.bincount(where, joined[8]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in joined[:8]] + [pa.array(n)], list(NAMES))
+                held[kind] = [_combined(parts)]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def flush():
+            for (columns,) in held.values():
+                for begin in range(0, len(columns[0]), SENT_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[begin : begin + SENT_ROWS]) for x in columns], list(NAMES))
             held.clear()
 
-        size = 0
         for batch in batches:
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for kind, k in ((0, order), (1, order), (ALL, SHARED[0] + 1)):
@@ -142,9 +153,11 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
                     if len(codes) > 1:
                         held.setdefault(kind, []).append(_rows(codes, kind, k))
                         size += len(held[kind][-1][0])
-            if size > HELD_ROWS:
-                yield from flush()
-                size = 0
+                    if size > HELD_ROWS:
+                        size = 0
+                        if combine() > 2 * HELD_ROWS:
+                            yield from flush()
+        combine()
         yield from flush()
 
     return docs.mapInArrow(count, SCHEMA)

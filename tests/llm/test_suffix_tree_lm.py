@@ -89,3 +89,18 @@ def test_without_training_texts_and_without_texts(spark):
     found = lm.score_texts(awkward(spark, [(1, "a b", None)]), F.lit(False)).collect()
     assert [tuple(r) for r in found] == [(1, 3, 0, 0, 0.0, 0.0)]
     assert lm.score_texts(awkward(spark, []), F.lit(True)).collect() == []
+
+
+def test_rare_strings_count_in_a_long_corpus(spark):
+    """Over a million tokens, strings that occur twice or once are in the tree like all others, whichever chunks have them."""
+    rare = [" ".join(f"r{i}x{j % 7}" for j in range(i, i + 40)) for i in range(4)]
+    texts = ["the cat sat on the mat " * 260_000, *rare, *rare, *[f"the cat {r} sat" for r in rare], *[prose(i, 40) for i in range(30)]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    found = {r.doc_id: r for r in lm.score_texts(docs, ~in_fold("doc_id", 7, 2)).collect()}
+    whole = lm.SuffixTree(share=0.0, least=1)
+    plain = Plain([t for i, t in rows if not held(i)], whole)
+    assert plain.total > 1_000_000 and not held(0) and len(found) == len(rows)
+    for i, t in rows:
+        assert found[i].score == pytest.approx(plain.score(t, whole.depth), rel=1e-9)

@@ -876,9 +876,11 @@ def vcf_many_files(spark, d):
         values = [F.concat_ws(":", F.lit("0/1"), reads(j), F.col("dp").cast("string")).alias(s) for j, s in enumerate(samples)]
         part = rows.where(F.col("dp") % 3 == k).select(F.lit(f"r{k}").alias("CHROM"), "POS", F.lit(".").alias("ID"), "REF", "ALT", F.lit(".").alias("QUAL"), F.lit("PASS").alias("FILTER"), F.lit(".").alias("INFO"), F.lit("GT:AD:DP").alias("FORMAT"), *values)
         reports.write_vcf(part, f"{path}/{k}", _HEAD, [*_NAMES, "FORMAT", *samples])
-    lines = spark.read.text(f"{path}/*").select(F.regexp_extract("_metadata.file_path", r"/(\d)/[^/]*$", 1).alias("_report"), F.col("_metadata.file_name").alias("_name"), "value")
-    found = reports.parse_vcf_lines(lines.select(F.concat_ws("/", "_report", "_name").alias("file"), "value"), 4)
-    return rounded(found.select(F.substring("file", 1, 1).cast("int").alias("report"), F.regexp_extract("file", "([^:]*)$", 1).alias("sample"), "site", "ref", "alt", "count", "coverage", "freq"), 6)
+    # A file by its report and its name.
+    lines = spark.read.text(f"{path}/*").select(F.substring_index("_metadata.file_path", "/", -2).alias("file"), "value")
+    found = reports.parse_vcf_lines(lines, 4)
+    # Reads of format 4 are whole numbers, so that shares alone are rounded.
+    return found.select(F.substring("file", 1, 1).cast("int").alias("report"), F.substring_index("file", ":", -1).alias("sample"), "site", "ref", "alt", "count", "coverage", (F.floor(F.col("freq") * 1e6 + 0.5) / 1e6).alias("freq"))
 
 
 @query(W + f' SELECT grp AS "group", product, codon_num, variability, CAST(n AS DOUBLE) AS num_defined_seqs, {o.FOUR} FROM wc')

@@ -6,7 +6,6 @@ products (array of the annotations the report names; null where it names none).
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,8 @@ from codonframe.functions.sequence import reverse_complement_allele
 HEADER_BYTES = 64 << 20
 COLUMNS = ("file", "site", "ref", "alt", "count", "coverage", "freq", "products")
 CLC = {"site": "Reference Position", "type": "Type", "ref": "Reference", "alt": "Allele", "count": "Count", "coverage": "Coverage", "freq": "Frequency", "products": "Overlapping annotations"}
+#: Columns of a VCF line that are read by name.
+_READ = ("POS", "REF", "ALT", "INFO", "FORMAT")
 GENEIOUS = {"site": "Minimum", "last": "Maximum", "type": "Polymorphism Type", "product": "product", "change": "Change", "coverage": "Coverage", "freq": "Variant Frequency"}
 
 
@@ -59,7 +60,34 @@ def _info(key: str) -> Column:
 
 
 def _numbers(text: Column) -> Column:
-    return F.transform(F.split(text, ","), lambda x: x.try_cast("double"))
+    return F.split(text, ",").try_cast("array<double>")
+
+
+def _place_of_ad() -> Column:
+    """The place of AD among a line's FORMAT, 0 where it has none."""
+    keys = F.split("FORMAT", ":")
+    twice = F.raise_error(F.concat_ws("", F.lit("AD is twice in the FORMAT of a line of "), "file")).cast("int")
+    return F.when(F.size(F.array_remove(keys, "AD")) < F.size(keys) - 1, twice).otherwise(F.array_position(keys, "AD").cast("int"))
+
+
+def _reads_of_samples(lines: DataFrame) -> DataFrame:
+    """The rows of format 4: file, site, ref, _alts, _place (of AD) and _each (sample and value) of each line.
+
+    What belongs to a line is made before its samples are rows, and what belongs to a
+    sample before its alternatives are. Arrays are taken apart by outer explosion, as an
+    inner one makes each array once more to ask for its size; what has no element has no
+    share and goes with those. DP either equals the sum of AD or gives way to it.
+    """
+    each = lines.select("file", "site", "ref", "_alts", "_place", F.explode_outer("_each").alias("_s"))
+    ad = _numbers(F.when(F.col("_place") > 0, F.split_part("_s.value", F.lit(":"), F.col("_place"))))
+    each = each.select(F.concat_ws(":", "file", "_s.sample").alias("file"), "site", "ref", "_alts", ad.alias("_ad"))
+    summed = F.aggregate("_ad", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    each = each.withColumn("coverage", summed).select("file", "site", "ref", "_ad", "coverage", F.posexplode_outer("_alts").alias("_i", "alt"))
+    reads, some = F.get("_ad", F.col("_i") + 1), F.col("coverage") > 0
+    # An alternative beyond the end of AD is unknown; one whose sample has no reads has none.
+    freq = F.when(F.size("_ad") > F.col("_i") + 1, F.when(some, reads / F.col("coverage")).otherwise(0.0))
+    out = each.select("file", "site", "ref", "alt", F.when(some, reads).otherwise(0.0).alias("count"), "coverage", freq.alias("freq"), F.lit(None).cast("array<string>").alias("products"))
+    return out.where(F.col("freq").isNotNull()).select(*COLUMNS)
 
 
 def parse_vcf(rows: DataFrame, vcf_format: int, samples: list[str] | None = None) -> DataFrame:
@@ -83,12 +111,7 @@ def parse_vcf(rows: DataFrame, vcf_format: int, samples: list[str] | None = None
         if not samples and "_samples" not in rows.columns:
             raise ValueError("format 4 needs the names of the sample columns")
         each = F.col("_samples") if not samples else F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"`{s}`").alias("value")) for s in samples])
-        long = rows.select(*base, "FORMAT", F.explode(each).alias("_s"))
-        values = F.map_from_arrays(F.split("FORMAT", ":"), F.slice(F.concat(F.split("_s.value", ":"), F.array_repeat(F.lit(""), F.size(F.split("FORMAT", ":")))), F.lit(1), F.size(F.split("FORMAT", ":"))))
-        long = long.withColumn("_v", values).withColumn("_ad", _numbers(F.try_element_at("_v", F.lit("AD"))))
-        summed = F.aggregate("_ad", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-        # DP either equals the sum or gives way to it.
-        found = long.select(F.concat_ws(":", "file", "_s.sample").alias("file"), "site", "ref", "_alts", summed.alias("coverage"), F.transform(F.slice("_ad", 2, F.size("_alts")), lambda x: F.when(summed > 0, x / summed).otherwise(0.0)).alias("_freqs"))
+        return _reads_of_samples(rows.select(*base, _place_of_ad().alias("_place"), each.alias("_each")))
     else:
         raise ValueError(f"no VCF format {vcf_format}")
     each = found.select("file", "site", "ref", "coverage", F.explode(F.arrays_zip(F.col("_alts").alias("alt"), F.col("_freqs").alias("freq"))).alias("_x"))
@@ -108,16 +131,16 @@ def parse_vcf_lines(lines: DataFrame, vcf_format: int) -> DataFrame:
     found = lines.where(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.min("value").alias("_least"), F.max("value").alias("_most"))
     two = F.raise_error(F.concat(F.lit("two different #CHROM lines in "), "file")).cast("string")
     names = F.split(F.regexp_replace(F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(two), "^#", ""), "\t")
-    headers = found.select("file", names.alias("_names"))
+    # Places are found once a file, not once a line.
+    headers = found.select("file", names.alias("_names")).select("file", *[F.array_position("_names", n).cast("int").alias(f"_at_{n}") for n in _READ], F.slice("_names", 10, F.size("_names")).alias("_who"))
     if (found.agg(F.sum(F.length("_least") + F.length("file"))).first()[0] or 0) <= HEADER_BYTES:
         headers = F.broadcast(headers)
     body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("file", F.split("value", "\t").alias("_part"))
-    none = F.raise_error(F.concat_ws("", F.lit("no #CHROM line in "), "file")).cast("array<string>")
-    body = body.join(headers, "file", "left").withColumn("_names", F.coalesce("_names", none))
-    at = lambda name: F.get("_part", F.array_position("_names", name).cast("int") - 1).alias(name)
-    rows = body.select("file", *[at(n) for n in ("POS", "REF", "ALT", "INFO", "FORMAT")], F.col("_part"), F.col("_names"))
-    pair = F.arrays_zip(F.slice("_names", 10, F.size("_names")).alias("sample"), F.slice("_part", 10, F.greatest(F.size("_names") - 9, F.lit(0))).alias("value"))
-    return parse_vcf(rows.withColumn("_samples", pair).drop("_part", "_names"), vcf_format)
+    none = lambda kind: F.raise_error(F.concat_ws("", F.lit("no #CHROM line in "), "file")).cast(kind)
+    body = body.join(headers, "file", "left").withColumn("_who", F.coalesce("_who", none("array<string>")))
+    at = lambda name: F.get("_part", F.coalesce(f"_at_{name}", none("int")) - 1).alias(name)
+    pair = F.arrays_zip(F.col("_who").alias("sample"), F.slice("_part", 10, F.size("_who")).alias("value"))
+    return parse_vcf(body.select("file", *[at(n) for n in _READ], pair.alias("_samples")), vcf_format)
 
 
 def read_vcf(spark: SparkSession, path: str | list[str], vcf_format: int) -> DataFrame:
@@ -139,18 +162,12 @@ def read_vcf_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]
 
 def write_vcf(rows: DataFrame, path: str, head: list[str], names: list[str]) -> None:
     """Text files in the order of POS, each with the whole header, so that each is a VCF of its own."""
-    body = rows.select("POS", F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit(".")) for n in names]).alias("value"))
+    text = F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit(".")) for n in names])
     top = "\n".join([*head, "#" + "\t".join(names)])
-
-    def headed(batches):
-        begun = False
-        for batch in batches:
-            if batch.num_rows and not begun:
-                begun = True
-                yield pa.RecordBatch.from_arrays([pa.array([top])], schema=batch.schema)
-            yield batch
-
-    body.repartitionByRange("POS").sortWithinPartitions("POS").select("value").mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+    # The low 33 bits of the id number a task's rows, which are a file's.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    body = rows.repartitionByRange("POS").sortWithinPartitions("POS")
+    body.select(F.when(first, F.concat(F.lit(f"{top}\n"), text)).otherwise(text).alias("value")).write.mode("overwrite").text(path)
 
 
 def revcom_variants(variants: DataFrame, length: Column | int) -> DataFrame:

@@ -76,6 +76,36 @@ def test_vcf_files_with_headers_of_their_own(spark, tmp_path, monkeypatch, limit
         variants.read_vcf(spark, str(tmp_path), 4).collect()
 
 
+def test_reads_of_vcf_samples_are_whole_and_summed_once(spark):
+    top = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2"
+    line = lambda pos, alt, form, *values: "\t".join(["c", str(pos), ".", "A", alt, ".", ".", ".", form, *values])
+    rows = [
+        line(1, "G", "GT:AD:DP", "0/1:20,29:9", "0/1:6,7:9"), line(2, "G,T", "AD", "1,x,2", ".,.,."), line(3, "G", "GT:AD", "0/1", "."), line(4, "G,T", "AD:DP", "3,4:7", "0,0,0,5"),
+        line(5, "G", "GT:DP", "0/1:9", "0/1:9"), line(6, "G", "AD", "", "1,2,3"), line(7, ".", "AD", "7", "0,0"), line(8, "G", "ADF:AD", "8,9:1,3"),
+    ]
+    lines = spark.createDataFrame([("f", x) for x in (top, *rows)], "file string, value string")
+    found = variants.parse_vcf_lines(lines, 4)
+    at = {(r.site, r.file[2:], r.alt): (r["count"], r.coverage, r.freq) for r in found.collect()}
+    assert at == {
+        (1, "S1", "G"): (29, 49, 29 / 49), (1, "S2", "G"): (7, 13, 7 / 13), (2, "S1", "T"): (2, 3, 2 / 3), (2, "S2", "G"): (0, 0, 0), (2, "S2", "T"): (0, 0, 0), (4, "S1", "G"): (4, 7, 4 / 7),
+        (4, "S2", "G"): (0, 5, 0), (4, "S2", "T"): (0, 5, 0), (6, "S2", "G"): (2, 6, 2 / 6), (7, "S2", "."): (0, 0, 0), (8, "S1", "G"): (3, 4, 0.75),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1  # not once more for each alternative
+    with pytest.raises(Exception, match="AD is twice"):
+        variants.parse_vcf_lines(spark.createDataFrame([("f", top), ("f", line(1, "G", "AD:GT:AD", "1,2:3:4,5"))], "file string, value string"), 4).collect()
+
+
+def test_vcf_files_are_headed_without_python(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(60).select((59 - F.col("id")).alias("POS"), F.lit("A").alias("REF"), F.when(F.col("id") > 9, "G").alias("ALT"))
+    variants.write_vcf(rows, str(tmp_path / "out"), ["##h", "##i"], ["POS", "REF", "ALT"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "out").glob("part-*"))]
+    assert len(parts) > 1 and all(x[:3] == ["##h", "##i", "#POS\tREF\tALT"] for x in parts)
+    assert [y for x in parts for y in x[3:]] == [f"{i}\tA\t{'G' if i < 50 else '.'}" for i in range(60)]
+
+
 def test_clc_and_geneious_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text('Mapping\tReference Position\tType\tReference\tAllele\tCount\tCoverage\tFrequency\tOverlapping annotations\nm\t7\tSNV\tA\tG\t30\t"1,200"\t2.5\t"CDS: O1, CDS: O2"\nm\t8\tMNV\tAA\tGG\t1\t2\t50\t\n')
     r = variants.read_clc(spark, str(tmp_path / "c.txt")).collect()

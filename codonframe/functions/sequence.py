@@ -12,7 +12,7 @@ CODON = "^[ACGT]{3}$"
 
 def cleaned(seq: Column) -> Column:
     """Upper case, U as T, white space and carriage returns removed."""
-    return F.translate(F.upper(F.regexp_replace(seq, r"\s", "")), "U", "T")
+    return F.replace(F.upper(F.regexp_replace(seq, r"\s+", "")), F.lit("U"), F.lit("T"))
 
 
 def is_defined(codon: Column, strict_reference_missing: bool = False) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonframe.functions.sequence import cleaned
+from codonframe.functions.sequence import cleaned, codons
 
 #: Bases of a piece, and bytes of runs up to which they are sent to all tasks.
 PIECE, BROADCAST_BYTES = 1 << 14, 64 << 20
@@ -45,8 +45,9 @@ def pieces_of_lines(lines: DataFrame, piece: int | None = None) -> DataFrame:
     text = cleaned(F.col("value"))
     header = F.col("value").startswith(">")
     rows = lines.select("group", "part", "line", header.alias("_h"), F.when(header, F.trim(F.substring(F.regexp_replace("value", "[\\r\\n]", ""), 2, 1 << 30))).alias("_name"), F.when(header, "").otherwise(text).alias("_bases"))
+    rows = rows.withColumn("_n", F.length("_bases"))  # before they are dealt out, so that what needs no bases moves none
     before = Window.partitionBy("group", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_records": F.count_if("_h").over(before), "_sum": F.sum(F.length("_bases")).over(before) - F.length("_bases"), "_n": F.length("_bases")})
+    rows = rows.withColumns({"_records": F.count_if("_h").over(before), "_sum": F.sum("_n").over(before) - F.col("_n")})
     # A part's share: its headers, its bases, and the bases after its last header.
     last = F.max(F.when(F.col("_h"), F.struct("line", "_sum")))
     parts = rows.groupBy("group", "part").agg(F.count_if("_h").alias("_heads"), F.sum("_n").alias("_total"), last.alias("_last"))
@@ -64,8 +65,10 @@ def pieces_of_lines(lines: DataFrame, piece: int | None = None) -> DataFrame:
     until = F.least((F.col("piece").cast("long") + 1) * size + 2 - F.col("_at"), F.col("_n"))
     shares = shares.select("group", "sequence", "piece", "_at", F.substring(F.col("_bases").cast("binary"), (skip + 1).cast("int"), (until - skip).cast("int")).cast("string").alias("_b")).where(F.length("_b") > 0)
     whole = shares.groupBy("group", "sequence", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_b"))), lambda x: x["_b"]), "").alias("bases"))
-    about = placed.groupBy("group", "sequence").agg(F.max("_name").alias("header"), F.sum("_n").alias("length"))
-    return whole.join(about, ["group", "sequence"]).select("group", "sequence", "header", "length", "piece", "bases")
+    about = placed.groupBy("group", "sequence").agg(F.max("_name").alias("header"), F.sum("_n").alias("length")).where(F.col("length") > 0)
+    # A row for each piece, so that a long sequence's pieces stay where they are, dealt out by their numbers.
+    about = about.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))))
+    return whole.join(about, ["group", "sequence", "piece"]).select("group", "sequence", "header", "length", "piece", "bases")
 
 
 def read_fasta_pieces(spark, path: str | list[str], extensions: str | None = None) -> DataFrame:
@@ -126,9 +129,10 @@ def unbroken_codons(pieces: DataFrame, products: DataFrame, by: tuple[str, ...],
     checked = pieces.withColumn("bases", F.when(F.col("length") >= (reach["stop"] or 0), F.col("bases")).otherwise(beyond))
     met = checked.join(sent(runs(products, size), F.coalesce(F.length("product"), F.lit(0)) + 48), "piece")
     offset = (F.col("site") - F.col("piece").cast("long") * size).cast("int")
-    raw = F.col("bases").cast("binary")
-    found = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("codon_num") + i).alias("codon_num"), F.substring(raw, offset + 3 * i, F.lit(3)).cast("string").alias("codon")))
-    return met.select(*by, "product", F.explode(found).alias("_c")).select(*by, "product", "_c.codon_num", "_c.codon")
+    # A run is cut from its piece once. It has a codon at least, so that outer explosion adds no row; an inner one would make the codons twice.
+    run = F.substring(F.col("bases").cast("binary"), offset, 3 * F.col("n")).cast("string")
+    found = met.select(*by, "product", F.col("codon_num").alias("_first"), run.alias("_run")).select(*by, "product", "_first", F.posexplode_outer(codons("_run")).alias("_i", "codon"))
+    return found.select(*by, "product", (F.col("_first") + F.col("_i")).alias("codon_num"), "codon")
 
 
 def codon_rows(pieces: DataFrame, products: DataFrame, by: tuple[str, ...] = ("group", "sequence"), piece: int | None = None) -> DataFrame:

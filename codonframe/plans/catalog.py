@@ -195,18 +195,24 @@ c AS (SELECT product, nt, row_number() OVER (PARTITION BY product ORDER BY site)
 k AS (SELECT product, q // 3 + 1 AS codon_num, string_agg(nt, '' ORDER BY q) AS codon FROM c GROUP BY ALL)"""
 
 
+def _kept(spark, df):
+    path = views.scratch(spark)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _long(spark, d):
-    """Pieces of one sequence that all documents make, and its products."""
-    dna = views.dna(spark, d)
+    """Pieces of one sequence that all documents make, and its products. Texts are read once: their letters and the pieces are kept as tables, as both are read several times."""
+    dna = _kept(spark, views.dna(spark, d))
     lines = dna.select(F.lit("all").alias("group"), F.floor(F.col("doc_id") / 100).alias("part"), F.col("doc_id").alias("line"), F.col("seq").alias("value"))
     # Before the first document.
     head = dna.agg(F.min("doc_id").alias("least")).select(F.lit("all").alias("group"), F.floor(F.col("least") / 100).alias("part"), (F.col("least") - 1).alias("line"), F.lit(">all").alias("value"))
-    n = F.col("l")
+    n = F.lit(dna.agg(F.sum(F.length("seq"))).first()[0]).cast("long")
     fifth, half = F.floor(n / 5), F.floor(n / 2)
     parts = [("P1", F.lit(1), 3 * F.floor(n / 6)), ("P2", F.lit(2), 1 + fifth), ("P2", half, half + fifth), ("P2", half + fifth + 5, half + 2 * fifth + 6)]
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("product"), a.cast("int").alias("start"), z.cast("int").alias("stop"), F.lit("+").alias("strand")) for p, a, z in parts])).alias("_s")
-    segments = dna.agg(F.sum(F.length("seq")).alias("l")).select(each).select("_s.*")
-    return pieces.pieces_of_lines(lines.unionByName(head)), gtf.coding_products(segments)
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("product"), a.cast("long").alias("start"), z.cast("long").alias("stop"), F.lit("+").alias("strand")) for p, a, z in parts])).alias("_s")
+    segments = spark.range(1).select(each).select("_s.*")
+    return _kept(spark, pieces.pieces_of_lines(lines.unionByName(head))), gtf.coding_products(segments)
 
 
 @query(_LONG + " SELECT product, codon, count(*) AS n, CAST(sum(codon_num) AS BIGINT) AS numbers FROM k GROUP BY ALL")

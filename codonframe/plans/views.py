@@ -99,5 +99,5 @@ def fasta_products(spark: SparkSession) -> DataFrame:
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, seq: the letters A, C, G and T of each document's text."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper(F.col("text")), "[^ACGT]", "").alias("seq"))
+    """doc_id, seq: the letters A, C, G and T of each document's text, large or small. Others go first, in runs: in capitals some of them are several letters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^ACGTacgt]+", "")).alias("seq"))

@@ -117,6 +117,24 @@ def test_annotations_of_any_size(spark, monkeypatch):
     assert codons.codon_columns(seqs, products.limit(0)).count() == 0
 
 
+def test_products_beyond_two_thousand_million_bases(spark):
+    far = 3_000_000_000
+    products = coding_products(spark.createDataFrame([("P", far, far + 3, "+"), ("P", far + 16384, far + 16388, "+")], "product string, start long, stop long, strand string"))
+    assert [(r.piece * 16384 < r.site <= (r.piece + 1) * 16384, r.site - far, r.codon_num, r.n) for r in pieces.runs(products).orderBy("site").collect()] == [(True, 0, 1, 1), (True, 16386, 3, 1)]
+    assert [(r.codon_num, [x - far for x in r.sites]) for r in pieces.spliced_codons(products).collect()] == [(2, [3, 16384, 16385])]
+
+
+def test_codons_are_cut_from_runs_and_pieces_stay_with_their_numbers(spark):
+    products = coding_products(spark.createDataFrame([("P", 1, 9, "+")], "product string, start int, stop int, strand string"))
+    lines = spark.createDataFrame([("a", 0, 0, ">s"), ("a", 0, 1, "ACGTACGTAC")], "group string, part int, line long, value string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = pieces.codon_rows(pieces.pieces_of_lines(lines), products)
+    assert sorted((r.codon_num, r.codon) for r in found.collect()) == [(1, "ACG"), (2, "TAC"), (3, "GTA")]
+    assert "transform(sequence(" not in plan(found)  # which copies the piece for each codon
+    joins = [x for x in plan(pieces.pieces_of_lines(lines)).splitlines() if "Join Inner" in x]
+    assert "piece" in joins[0]  # not by sequence alone, which is one key
+
+
 @pytest.mark.parametrize("piece", [3, 7, 1 << 14])
 def test_fasta_lines_become_pieces(spark, tmp_path, piece):
     """Several records, headers at the edge of a part, empty records and lines, parts of any size."""

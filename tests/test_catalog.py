@@ -34,6 +34,18 @@ def test_other_queries_run(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
 
 
+def test_long_sequence_of_odd_texts(spark, tmp_path):
+    """Texts are read once, before the result's plan, and letters that capitals turn into several are left out, as in SQL."""
+    texts = [None, "", "\ufb05\ufb06 cat \u1e97ag", "no\nbases? \u00df" * 3, *(f"A{'cgt' * k}\ttTg\u00e4C {k}" for k in range(30))]
+    spark.createDataFrame([(90 + 7 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("fasta_long", "fasta_long_sites", "revcomp"):
+        expected, found = con.sql(catalog.oracle_sql()[name]), catalog.queries()[name](spark, str(tmp_path))
+        assert ordered(found.columns, found.collect()) == ordered(expected.columns, expected.fetchall())
+        assert name == "revcomp" or not any("documents.parquet" in f for f in found.inputFiles())
+
+
 def test_significance_belongs_to_the_whole_group(spark):
     """n is every row of a supplier, and D is that of n."""
     con = duckdb.connect()
